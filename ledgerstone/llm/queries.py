@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, toxicity
+from . import langid, mixing, secrets, toxicity
 
 QUERIES = {
+    "op5_langid": langid.op5_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op10_secrets": secrets.op10_secrets,
