@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, toxicity
+from . import decontam, langid, mixing, secrets, toxicity
 
 QUERIES = {
     "op5_langid": langid.op5_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
+    "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
