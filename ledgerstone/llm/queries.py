@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, secrets, toxicity
+from . import decontam, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
