@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, ngram_join, secrets, toxicity
+from . import ann, decontam, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
+    "op2_ann": ann.op2_ann,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
     "op7_toxicity": toxicity.op7_toxicity,
