@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, mixing, ngram_join, secrets, toxicity
+from . import ann, chat, decontam, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op2_ann": ann.op2_ann,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
+    "op6_chat": chat.op6_chat,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
+    "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
