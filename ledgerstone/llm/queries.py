@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, mixing, ngram_join, secrets, toxicity
+from . import ann, chat, decontam, langid, mixing, ngram_join, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_ann": ann.op2_ann,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
