@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from ledgerstone.llm import mixing, secrets
+from ledgerstone.llm import decontam, mixing, ngram_join, secrets, toxicity
 from ledgerstone.llm.common import materialise, table
 
 
+def reject_toxic(spark, docs, sf_dir):
+    """Documents predicted toxic go; learned from the labels of documents in docs."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark, docs, sf_dir):
+    """One document of each class of near copies stays: that of least id."""
+    return ngram_join.keep_one(docs)
+
+
+def remove_leaks(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark, docs, sf_dir):
+    """Secrets in texts give way to a mark; all documents stay."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
+    """How many words the mix takes of each document."""
     return mixing.mix(docs)
 
 
-STAGES = [("secrets", redact_secrets), ("mixing", mix_sources)]
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", keep_one_of_each),
+    ("decontamination", remove_leaks),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+ORACLE_SQL = None  # stages 1 to 3 learn, hash and align: tests compare them with brute force
 
 
 def run(spark, sf_dir):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, mixing, ngram_join, secrets, toxicity, warc
+from . import ann, chat, decontam, langid, mixing, ngram_join, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ann": ann.op2_ann,
+    "op3_pii": pii.op3_pii,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
     "op6_chat": chat.op6_chat,
