@@ -5,8 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -29,24 +29,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import DATA
 
     con = duckdb.connect()
     for name in "events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return con
-
-
-def same_rows(df, con, sql):
-    """Both engines' rows, columns by name, floats to nine digits."""
-
-    def cell(v):
-        return "null" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
-
-    columns = sorted(df.columns)
-    got = sorted(tuple(cell(r[c]) for c in columns) for r in df.collect())
-    found = con.execute(sql)
-    names = [x[0] for x in found.description]
-    assert sorted(names) == columns
-    want = sorted(tuple(cell(r[names.index(c)]) for c in columns) for r in found.fetchall())
-    assert got == want
-    return len(got)

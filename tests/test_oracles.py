@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from ledgerstone.plans import registry
 
