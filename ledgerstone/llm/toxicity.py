@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled=40
     """Feature -> weight, and the coefficients of Scorer.summary(). Uses at most max_labelled labelled rows, drawn by hash of the id, so that what is broadcast and gathered is bounded.
 
     A feature counts if toxic documents hold it in `contexts` different contexts at least (copies share their contexts, so that what a copied
-    document happens to say doesn't count) and if it is 20 times likelier there than elsewhere. No labelled rows give no features.
+    document happens to say doesn't count) and if it is 20 times likelier there than elsewhere. Without rows of both labels there are no features, and nothing is toxic.
     """
     drawn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"]).filter(in_training(F.col("id")))
     drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled=40
     sums = pairs.groupBy("f").agg(F.count_if(toxic & ~document).alias("contexts"), F.sum(F.when(toxic & document, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(~toxic, F.col("n")).otherwise(0)).alias("c"))
     sums = materialise(sums.filter((F.col("f") == "") | (F.col("contexts") >= contexts)), "toxic-features")
     size = sums.filter("f = ''").first()
-    if not size or not size["t"]:
+    if not size or not size["t"] or not size["c"]:
         return {}, np.array([-3.0, 0, 0, 0, 0])
     t, c = size["t"], size["c"]
     weight = F.log((F.least("t", "contexts") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
