@@ -16,7 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One with fewer splits than there are cores, as one small file has, is dealt over all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
