@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -341,14 +341,19 @@ def fit(crf: Crf, tokens: list[list[str]], labels: np.ndarray, rng, rounds=4, ba
 def train(docs: DataFrame, max_docs=1200, sequences=4000, seed=7, id_col="doc_id", text_col="text", lang_col="lang") -> Crf | None:
     """None if no row may be learned from. Languages are the non-null values of lang in the training fold."""
     fold = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(in_training(F.col("id"))).dropna()
-    langs = sorted(r["lang"] for r in fold.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["count"] for r in fold.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
     crf = Crf(langs, count_lexicon(fold, langs), np.zeros((WEIGHTS, len(langs))), np.eye(len(langs)) * 0.1, np.eye(len(langs)))
     each = max(1, max_docs // len(langs))
-    parts = [fold.filter(F.col("lang") == x).orderBy(F.xxhash64("id"), "id").limit(each).select(F.substring("text", 1, 20_000).alias("text")).collect() for x in langs]
-    texts = [r["text"] for p in parts for r in p]
-    y = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    # A hash lets about twice as many through as are wanted, of which the first are taken: what is gathered is bounded, whatever the input.
+    dice = F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1 << 30))
+    through = F.coalesce(*(F.when(F.col("lang") == x, dice <= min(1.0, 2 * each / n) * (1 << 30)) for x, n in sizes.items()))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))
+    drawn = fold.withColumn("dice", dice).filter(through).select("lang", "id", "dice", F.substring("text", 1, 20_000).alias("text"))
+    parts = drawn.withColumn("place", place).filter(F.col("place") <= each).orderBy("lang", "place").select("lang", "text").collect()
+    texts, y = [r["text"] for r in parts], np.array([langs.index(r["lang"]) for r in parts], int)
     rng = np.random.default_rng(seed)
     tokens, labels = stitched(texts, y, sequences, rng)
     fit(crf, tokens, labels, rng)
