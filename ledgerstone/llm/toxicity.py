@@ -176,18 +176,17 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled=40
 
     def observe(batches):
         for batch in batches:
-            rows: Counter = Counter()
-            n = [0, 0]
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for t in text.lower().split() for w in words_of(t, model)] + spaced_words(text)
-                n[y] += 1
-                rows.update((f, y, 0) for f in {f for w in set(words) for f in features(w)})
-                if y:
-                    around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                    rows.update({(f, y, hash_of(a, b)) for a, w, b in around for f in features(w)})
-            rows.update({("", y, 0): n[y] for y in (0, 1) if n[y]})
-            keys = list(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["f", "y", "context", "n"])
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                rows: Counter = Counter()
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = [w for t in text.lower().split() for w in words_of(t, model)] + spaced_words(text)
+                    rows.update((f, y, 0) for f in {"", *(f for w in set(words) for f in features(w))})
+                    if y:
+                        around = zip(["", *words], words, [*words[1:], ""], strict=False)
+                        rows.update({(f, y, hash_of(a, b)) for a, w, b in around for f in features(w)})
+                keys = list(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["f", "y", "context", "n"])
 
     sample = materialise(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id").select("text", "y"), "toxic-sample")
     toxic, document = F.col("y") == 1, F.col("context") == 0
