@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, table
 from .ngram_join import grouped, starts_of
 
-NEIGHBOURS, BLOCK, DEALS, ROUNDS, ENOUGH = 64, 4096, 2, 8, 0.01
-EXPAND, HOPS, SPARE = 24, 4, 2
+NEIGHBOURS, BLOCK, DEALS, ROUNDS, ENOUGH = 64, 1024, 2, 10, 0.02
+OFFER = 10  # of a neighbourhood's nodes, how many are offered to each of them: the nearest
+TASK_VECTORS = 400_000  # vectors that a task may hold
+BEAM, EXPAND, HOPS, SPARE = 64, 24, 5, 2
 
 
 def matrix(column, kind=np.float32) -> np.ndarray:
@@ -39,28 +41,37 @@ def list_array(values, sizes, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
 
 
-def top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
-    """The k largest of each owner, without repeats: owner, ids, sims by owner and falling sim, ties by id."""
-    order = np.lexsort((ids, owner))
-    o, i, s = owner[order], ids[order], sims[order]
+def top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, flags: np.ndarray, k: int):
+    """The k largest of each owner, of repeats the one with the least flag: owner, ids, sims, flags by owner and falling sim, ties by id."""
+    order = np.lexsort((flags, ids, owner))
+    o, i, s, f = owner[order], ids[order], sims[order], flags[order]
     first = np.ones(len(o), bool)
     first[1:] = (o[1:] != o[:-1]) | (i[1:] != i[:-1])
-    o, i, s = o[first], i[first], s[first]
+    o, i, s, f = o[first], i[first], s[first], f[first]
     order = np.lexsort((i, -s, o))
-    o, i, s = o[order], i[order], s[order]
+    o, i, s, f = o[order], i[order], s[order], f[order]
     starts = starts_of(o) if len(o) else np.zeros(0, np.int64)
     rank = np.arange(len(o)) - np.repeat(starts, np.diff([*starts, len(o)]))
     keep = rank < k
-    return o[keep], i[keep], s[keep]
+    return o[keep], i[keep], s[keep], f[keep]
 
 
-def by_owner(o, i, s, names):
+def by_owner(o, i, s, f):
     starts = starts_of(o) if len(o) else np.zeros(0, np.int64)
     sizes = np.diff([*starts, len(o)])
-    return pa.RecordBatch.from_arrays([pa.array(o[starts], pa.int64()), list_array(i, sizes, pa.int64()), list_array(s, sizes, pa.float32())], names)
+    return pa.RecordBatch.from_arrays([pa.array(o[starts], pa.int64()), list_array(i, sizes, pa.int64()), list_array(s, sizes, pa.float32()), list_array(f, sizes, pa.int8())], ["id", "near", "sims", "flags"])
 
 
-GRAPH = "id long, near array<long>, sims array<float>"
+def flat(batch, first: int):
+    """owner, ids, sims, flags of the lists in columns first (id) to first + 3."""
+    offsets, near = lists(batch.column(first + 1))
+    _, sims = lists(batch.column(first + 2), np.float32)
+    _, flags = lists(batch.column(first + 3), np.int8)
+    a, b = offsets[0], offsets[-1]
+    return np.repeat(batch.column(first).to_numpy(), np.diff(offsets)), near[a:b], sims[a:b], flags[a:b]
+
+
+GRAPH = "id long, near array<long>, sims array<float>, flags array<tinyint>"  # a flag is 0 if the place is new, or else 1
 
 
 def nodes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +132,7 @@ def first_graph(points: DataFrame, blocks: int, k: int) -> DataFrame:
                     s[np.arange(d - c), np.arange(c - a, d - a)] = -np.inf
                     near = np.argpartition(-s, m - 1, 1)[:, :m] if m < b - a else np.argsort(-s, 1)[:, :m]
                     sims = np.take_along_axis(s, near, 1)
-                    sizes = np.full(d - c, m)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[c:d]), list_array(ids[a:b][near].ravel(), sizes, pa.int64()), list_array(sims.ravel(), sizes, pa.float32())], ["id", "near", "sims"])
+                    yield by_owner(np.repeat(ids[c:d], m), ids[a:b][near].ravel(), sims.ravel(), np.zeros(sims.size, np.int8))
 
     dealt = points.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(t)), F.lit(blocks)) * DEALS + t for t in range(DEALS)))).alias("block"), "id", "x")
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, GRAPH)
@@ -132,116 +142,122 @@ def block_of(col, blocks: int):
     return F.pmod(F.xxhash64(F.col(col), F.lit("block")), F.lit(blocks)).cast("int")
 
 
-def merge(rows: DataFrame, blocks: int, k: int) -> DataFrame:
-    """rows: id, near, sims, old. One list a node, the k nearest; fresh: how many of them come from rows that aren't old."""
+def merge(rows: DataFrame, blocks: int, k: int, compare_with_old=True) -> DataFrame:
+    """rows: id, near, sims, flags. One list a node, the k nearest. Places that no row with flag 1 holds are new: flag 0.
+
+    compare_with_old: of repeats the old one counts, otherwise the new one.
+    """
 
     def run(batches):
         for batch in grouped(batches, 1):
-            ids, old = batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-            offsets, near = lists(batch.column(2))
-            _, sims = lists(batch.column(3), np.float32)
-            size = np.diff(offsets)
-            near, sims = near[offsets[0] : offsets[-1]], sims[offsets[0] : offsets[-1]]
-            owner = np.repeat(ids, size)
-            was = np.repeat(old, size)
-            known = np.stack([owner[was], near[was]], 1).copy().view("i8,i8").ravel()
-            o, i, s = top(owner, near, sims, k)
-            now = np.stack([o, i], 1).copy().view("i8,i8").ravel()
-            new = ~np.isin(now.view("V16"), known.view("V16")) if len(known) else np.ones(len(now), bool)
-            out = by_owner(o, i, s, ["id", "near", "sims"])
-            starts = starts_of(o)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.add.reduceat(new, starts, dtype=np.int32))], ["id", "near", "sims", "fresh"])
-
-    keyed = rows.select(block_of("id", blocks).alias("block"), "id", "near", "sims", "old")
-    return keyed.repartition("block").sortWithinPartitions("block").mapInArrow(run, f"{GRAPH}, fresh int")
+            owner, near, sims, flags = flat(batch, 1)
+            o, i, s, f = top(owner, near, sims, -flags if compare_with_old else flags, k)
+            if len(o):
+                yield by_owner(o, i, s, np.abs(f))
+
+    keyed = rows.select(block_of("id", blocks).alias("block"), "id", "near", "sims", "flags")
+    return keyed.repartition("block").sortWithinPartitions("block").mapInArrow(run, GRAPH)
 
 
 def both_ways(graph: DataFrame, blocks: int, k: int) -> DataFrame:
-    """id, near, sims: each node's list and the k nearest of those that list it."""
+    """Each node's list and the k nearest of those that list it; new if either place is."""
 
     def turn(batches):
         for batch in grouped(batches, 1):
-            ids = batch.column(1).to_numpy()
-            offsets, near = lists(batch.column(2))
-            _, sims = lists(batch.column(3), np.float32)
-            owner = np.repeat(ids, np.diff(offsets))
-            yield by_owner(*top(near[offsets[0] : offsets[-1]], owner, sims[offsets[0] : offsets[-1]], k), ["id", "near", "sims"])
+            owner, near, sims, flags = flat(batch, 1)
+            yield by_owner(*top(near, owner, sims, flags, k))
 
-    keyed = graph.select(block_of("id", blocks).alias("block"), "id", "near", "sims")
-    reverse = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(turn, GRAPH)
-    reverse = merge(reverse.withColumn("old", F.lit(False)), blocks, k)
-    return merge(graph.select("id", "near", "sims").unionByName(reverse.select("id", "near", "sims")).withColumn("old", F.lit(False)), blocks, 2 * k).select("id", "near", "sims")
+    keyed = graph.select(block_of("id", blocks).alias("block"), "id", "near", "sims", "flags")
+    reverse = merge(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(turn, GRAPH), blocks, k, False)
+    return merge(graph.unionByName(reverse), blocks, 2 * k, False)
 
 
 def compare(adjacent: DataFrame, points: DataFrame, graph: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The join of neighbours with neighbours: id, near, sims of pairs that would improve a list."""
+    """The join of neighbours with neighbours: the pairs, one of them new at least, that would improve a list."""
 
     def run(batches):
         for batch in grouped(batches, 1):
             kind = batch.column(1).to_numpy()
-            here = np.flatnonzero(kind == 0)
-            vec = batch.take(pa.array(here))
-            ids, x = vec.column(2).to_numpy(), matrix(vec.column(4))
-            worst = vec.column(5).to_numpy()
+            vec = batch.take(pa.array(np.flatnonzero(kind == 0)))
+            ids, x, worst = vec.column(2).to_numpy(), matrix(vec.column(5)), vec.column(6).to_numpy()
             order = np.argsort(ids)
             ids, x, worst = ids[order], x[order], worst[order]
             rest = batch.take(pa.array(np.flatnonzero(kind == 1)))
             offsets, near = lists(rest.column(3))
+            _, flags = lists(rest.column(4), np.int8)
             at = np.searchsorted(ids, near)
             own = np.searchsorted(ids, rest.column(2).to_numpy())
-            parts, size = [], 0
-            best = None
+            parts, size, best = [], 0, None
             for n in range(len(own)):
-                b = np.append(at[offsets[n] : offsets[n + 1]], own[n])
-                s = x[b] @ x[b].T
-                np.fill_diagonal(s, -np.inf)
-                i, j = np.nonzero(s > worst[b][:, None])
-                parts.append((b[i], b[j], s[i, j]))
-                size += len(i)
-                if size > 2_000_000 or n == len(own) - 1:
+                b = at[offsets[n] : offsets[n + 1]]
+                new = np.flatnonzero(flags[offsets[n] : offsets[n + 1]] == 0)
+                if len(new):
+                    b = np.append(b, own[n])
+                    s = x[b] @ x[b].T
+                    fresh = np.zeros(len(b), bool)
+                    fresh[new] = True
+                    s[~(fresh[:, None] | fresh[None, :])] = -np.inf
+                    np.fill_diagonal(s, -np.inf)
+                    m = min(OFFER, len(b) - 1)
+                    j = np.argpartition(-s, m - 1, 1)[:, :m]
+                    v = np.take_along_axis(s, j, 1)
+                    better = v > worst[b][:, None]
+                    i, c = np.nonzero(better)
+                    parts.append((b[i], b[j[i, c]], v[i, c]))
+                    size += len(i)
+                if parts and (size > 2_000_000 or n == len(own) - 1):
                     o, i, s = (np.concatenate([p[c] for p in parts] + ([best[c]] if best else [])) for c in range(3))
-                    best, parts, size = top(o, i, s, k), [], 0
+                    best, parts, size = top(o, i, s, np.zeros(len(o), np.int8), k), [], 0
             if best and len(best[0]):
-                yield by_owner(ids[best[0]], ids[best[1]], best[2].astype(np.float32), ["id", "near", "sims"])
+                yield by_owner(ids[best[0]], ids[best[1]], best[2].astype(np.float32), best[3])
 
     block = block_of("id", blocks)
-    wanted = adjacent.select(block.alias("block"), F.explode(F.concat("near", F.array("id"))).alias("id")).distinct()
-    full = points.select("id", "x").join(graph.select("id", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(float("-inf"))).alias("worst")), "id", "left")
+    busy = adjacent.filter(F.array_contains("flags", F.lit(0).cast("tinyint")))
+    wanted = busy.select(block.alias("block"), F.explode(F.concat("near", F.array("id"))).alias("id")).distinct()
+    lowest = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(float("-inf")))
+    full = points.select("id", "x").join(graph.select("id", lowest.alias("worst")), "id", "left")
     none = F.lit(None)
-    vectors = wanted.join(full, "id").select("block", F.lit(0).alias("kind"), "id", none.cast("array<long>").alias("near"), "x", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
-    rows = adjacent.select(block.alias("block"), F.lit(1).alias("kind"), "id", "near", none.cast("binary").alias("x"), F.lit(0.0).cast("float").alias("worst"))
+    vectors = wanted.join(full, "id").select("block", F.lit(0).alias("kind"), "id", none.cast("array<long>").alias("near"), none.cast("array<tinyint>").alias("flags"), "x", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
+    rows = busy.select(block.alias("block"), F.lit(1).alias("kind"), "id", "near", "flags", none.cast("binary").alias("x"), F.lit(0.0).cast("float").alias("worst"))
     return vectors.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, GRAPH)
 
 
+def work_blocks(spark, n: int) -> int:
+    """Blocks of nodes that a task works on, with the vectors of all their neighbours: as many as there are cores while all vectors fit into one task, or else so many that a block's do."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, 1 if n <= TASK_VECTORS else math.ceil(n * 2 * NEIGHBOURS / TASK_VECTORS))
+
+
 def build(points: DataFrame, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH) -> DataFrame:
-    """points: id, x. The graph: id, near, sims. Ends when less than `enough` of all list places change in a round."""
+    """points: id, x. The graph: id, near, sims, flags. Ends when less than `enough` of all list places are new after a round."""
     spark, n = points.sparkSession, points.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-    graph = materialise(merge(first_graph(points, blocks, k).withColumn("old", F.lit(False)), blocks, k), "graph")
-    for _ in range(rounds if blocks > 1 else 0):
+    blocks, dealt = work_blocks(spark, n), max(1, math.ceil(n / BLOCK))
+    graph = materialise(merge(first_graph(points, dealt, k), blocks, k), "graph")
+    for _ in range(rounds if dealt > 1 else 0):
         adjacent = materialise(both_ways(graph, blocks, k), "adjacent")
-        better = compare(adjacent, points, graph, blocks, k).withColumn("old", F.lit(False))
-        new = materialise(merge(graph.select("id", "near", "sims").withColumn("old", F.lit(True)).unionByName(better), blocks, k), "graph")
+        better = compare(adjacent, points, graph, blocks, k)
+        aged = graph.withColumn("flags", F.transform("flags", lambda _: F.lit(1).cast("tinyint")))
+        new = materialise(merge(aged.unionByName(better), blocks, k), "graph")
         drop(adjacent)
         drop(graph)
         spark._jvm.System.gc()  # lets the context cleaner remove shuffle files of past rounds
-        graph, changed = new, new.agg(F.sum("fresh")).first()[0] or 0
-        if changed < enough * n * k:
+        graph = new
+        if (new.agg(F.sum(F.size(F.filter("flags", lambda f: f == 0)))).first()[0] or 0) < enough * n * k:
             break
     return graph
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, expand=EXPAND, hops=HOPS) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, beam=BEAM, expand=EXPAND, hops=HOPS) -> DataFrame:
     """queries: id of nodes. Greedy search from each query's own node: id, near, sims, the `want` nearest found and the node itself.
 
-    Each hop looks at the neighbours, both ways, of the `expand` nearest nodes found that haven't been looked at, until no list changes.
+    Each hop looks at the neighbours, both ways, of the `expand` nearest nodes of the beam that haven't been looked at, until no list of
+    `want` changes. Nearness is that of the query with its last component zero, which is the inner product of the original vectors.
     """
-    n = points.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-    pieces = max(1, math.ceil(queries.count() / 1024))
+    blocks = work_blocks(points.sparkSession, points.count())
+    pieces = max(1, math.ceil(queries.count() / 4096))
     adjacent = materialise(both_ways(graph, blocks, NEIGHBOURS), "adjacent").select("id", F.col("near").alias("beside"))
-    state = graph.select("id", F.slice("near", 1, want).alias("near"), F.slice("sims", 1, want).alias("sims")).join(queries, "id").withColumn("seen", F.array("id")).withColumn("fresh", F.lit(1))
-    state = materialise(queries.join(state, "id", "left").select("id", *(F.coalesce(c, F.expr(f"cast(array() as array<{t}>)")).alias(c) for c, t in (("near", "long"), ("sims", "float"), ("seen", "long"))), F.lit(1).alias("fresh")), "found")
+    empty = {c: F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("near", "long"), ("sims", "float"), ("seen", "long"))}
+    state = materialise(queries.select("id", *empty.values(), F.lit(1).alias("fresh")), "found")
 
     def run(batches):
         for batch in grouped(batches, 1):
@@ -266,10 +282,12 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, exp
                 if q in of:
                     c = np.setdiff1d(np.concatenate(of[q]), np.append(near, q))
                     at = np.searchsorted(ids, c)
-                    s = x[at] @ x[np.searchsorted(ids, q)]
+                    centre = x[np.searchsorted(ids, q)].copy()
+                    centre[-1] = 0
+                    s = x[at] @ centre
                     ids_, sims_ = np.concatenate([near, c]), np.concatenate([sims, s])
-                    best = np.lexsort((ids_, -sims_))[:want]
-                    fresh = int((best >= len(near)).sum())
+                    best = np.lexsort((ids_, -sims_))[:beam]
+                    fresh = int((best[:want] >= len(near)).sum())
                     near, sims = ids_[best], sims_[best]
                 out.append((q, near, sims, seen[r], fresh))
             size = [len(o[1]) for o in out]
@@ -280,8 +298,8 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, exp
 
     piece = F.pmod(F.xxhash64("id", F.lit("piece")), F.lit(pieces)).cast("int").alias("piece")
     for _ in range(hops):
-        front = state.filter("fresh > 0").withColumn("go", F.slice(F.array_except("near", "seen"), 1, expand))
-        step = materialise(front.select(F.col("id").alias("q"), F.explode(F.concat("go", F.array("id"))).alias("id")).join(adjacent, "id").select(F.col("q").alias("id"), "beside"), "step")
+        front = state.filter("fresh > 0").withColumn("go", F.when(F.size("seen") == 0, F.array("id")).otherwise(F.slice(F.array_except("near", "seen"), 1, expand)))
+        step = materialise(front.select(F.col("id").alias("q"), F.explode("go").alias("id")).join(adjacent, "id").select(F.col("q").alias("id"), "beside"), "step")
         wanted = step.select(piece, F.explode("beside").alias("id")).union(state.select(piece, "id")).distinct()
         blank = {"near": "array<long>", "sims": "array<float>", "x": "binary", "seen": "array<long>"}
 
@@ -290,13 +308,13 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, exp
 
         marked = state.join(front.select("id", "go"), "id", "left").withColumn("seen", F.array_union("seen", F.coalesce("go", F.expr("cast(array() as array<long>)"))))
         rows = shaped(wanted.join(points.select("id", "x"), "id"), 0, x="x").unionByName(shaped(marked.select("*", piece), 1, near="near", sims="sims", seen="seen")).unionByName(shaped(step.select("*", piece), 2, near="beside"))
-        new = materialise(rows.repartition("piece").sortWithinPartitions("piece", "kind").mapInArrow(run, f"{GRAPH}, seen array<long>, fresh int"), "found")
+        new = materialise(rows.repartition("piece").sortWithinPartitions("piece", "kind").mapInArrow(run, "id long, near array<long>, sims array<float>, seen array<long>, fresh int"), "found")
         drop(step)
         drop(state)
         state = new
         if state.filter("fresh > 0").isEmpty():
             break
-    return state.select("id", F.concat(F.array("id"), "near").alias("near"))
+    return state.select("id", F.concat(F.array("id"), F.slice("near", 1, want)).alias("near"))
 
 
 def rank(found: DataFrame, points: DataFrame, k: int) -> DataFrame:
