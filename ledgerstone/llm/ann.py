@@ -254,7 +254,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, bea
     `want` changes. Nearness is that of the query with its last component zero, which is the inner product of the original vectors.
     """
     blocks = work_blocks(points.sparkSession, points.count())
-    pieces = max(1, math.ceil(queries.count() / 4096))
+    pieces = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(queries.count() / 1024))
     adjacent = materialise(both_ways(graph, blocks, NEIGHBOURS), "adjacent").select("id", F.col("near").alias("beside"))
     empty = {c: F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("near", "long"), ("sims", "float"), ("seen", "long"))}
     state = materialise(queries.select("id", *empty.values(), F.lit(1).alias("fresh")), "found")
