@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question with other numbers or names in it
 has the same template. Hashes of template windows of documents are joined with those of benchmark items. Windows of
 an item that line up in a document count if the values in their slots are consistent: one value of the
-item stands for one value of the document throughout.
+item stands for one value of the document throughout. An item whose windows are nearly all slots would match
+anything by template: its windows are literal instead, without regard to case, so that its copies are found.
 
 A Bloom filter of fixed size, built from the benchmark's windows, keeps windows that can't match out of
 the shuffle; the join itself is exact on 64-bit hashes.
@@ -31,6 +32,7 @@ WINDOW, LITERALS, SHORTEST = 6, 3, 3
 BLOOM = 1 << 22
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 OUTER = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
+SIGN = re.compile(r"[-+*/=^<>×÷·−]+")
 ENDS = re.compile(r"[.!?:;][\"')\]»”]*$")
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 MARKS = np.array([0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47], np.uint64)
@@ -73,9 +75,11 @@ class Templates:
                 self.hash[i], self.kind[i], self.ends[i], _ = found
             else:
                 self.kind[i] = -1
+                if SIGN.fullmatch(t):
+                    self.hash[i] = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
 
     def read(self, texts: list[str]):
-        """Tokens of all texts in a row, each one's template hash, whether it is a slot, and where each text begins."""
+        """Tokens of all texts in a row, the text of each, its template hash, whether it is a slot, its literal hash, and the signs of arithmetic before it."""
         docs = [t.split() for t in texts]
         if len(self.ids) > self.remember:
             self.forget()
@@ -85,9 +89,15 @@ class Templates:
         ids = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(docs)), np.int64, int(length.sum()))
         owner = np.repeat(np.arange(len(docs)), length)
         real = self.kind[ids] >= 0
-        where = np.flatnonzero(real)
-        ids, owner = ids[real], owner[real]
+        where, marks = np.flatnonzero(real), np.flatnonzero(~real & (self.hash[ids] != 0))
+        signs, ids, owner = self.hash[ids[marks]], ids[real], owner[real]
         kind, ends = self.kind[ids].copy(), self.ends[ids]
+        after = np.searchsorted(where, marks)  # the token that follows a sign; one of its neighbours has to be a number
+        beside = np.zeros(len(ids) + 1, bool)
+        beside[:-1] = kind == NUM
+        beside[1:] |= kind == NUM
+        before = np.zeros(len(ids) + 1, np.uint64)
+        np.add.at(before, after[beside[after]], signs[beside[after]])
         first = np.ones(len(ids), bool)
         first[1:] = owner[1:] != owner[:-1]
         fresh = first.copy()
@@ -97,31 +107,39 @@ class Templates:
         after[1:] = (kind[:-1] == NUM) & ~first[1:]
         kind[(kind == UNIT) & ~after] = LITERAL
         h = np.where(kind == LITERAL, self.hash[ids], MARKS[kind])
-        return docs, where, owner, h, kind != LITERAL
+        return docs, where, owner, h, kind != LITERAL, self.hash[ids], before[:-1]
 
-    def windows(self, texts: list[str], sizes=(WINDOW,), keep=None):
-        """(text, place in it, window size, hash, slot values) of every window with enough literals that keep() lets through."""
-        docs, where, owner, h, slot = self.read(texts)
+    def windows(self, texts: list[str], forms=((WINDOW, False),), keep=None):
+        """(text, place in it, window size, hash, slot values) of every window that keep() lets through. forms: sizes, and whether windows
+        are literal: those have no slots, but hold the signs between their numbers; the others need enough literals.
+        """
+        docs, where, owner, template, slot, literal, before = self.read(texts)
         begin = np.searchsorted(owner, np.arange(len(texts)))
         flat = None
-        for size in sizes:
+        for size, exact in forms:
+            h = literal if exact else template
             n = len(h) - size + 1
             if n <= 0:
                 continue
             total, literals = np.zeros(n, np.uint64), np.zeros(n, np.int8)
             for j in range(size):
                 total = total * np.uint64(0x100000001B3) + h[j : j + n]
-                literals += ~slot[j : j + n]
-            total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * size)
+                if not exact:
+                    literals += ~slot[j : j + n]
+                elif j:
+                    total += before[j : j + n]
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * size + 64 * exact)
             total ^= total >> np.uint64(32)
-            ok = (owner[: n] == owner[size - 1 :]) & (literals >= min(LITERALS, size))
+            ok = owner[: n] == owner[size - 1 :]
+            if not exact:
+                ok &= literals >= min(LITERALS, size)
             at = np.flatnonzero(ok)
             if keep is not None:
                 at = at[keep(total[at])]
             if len(at) and flat is None:
                 flat = list(chain.from_iterable(docs))
             for a in at.tolist():
-                values = [look(flat[where[i]])[3] for i in range(a, a + size) if slot[i]]
+                values = [look(flat[where[i]])[3] for i in range(a, a + size) if slot[i] and not exact]
                 yield int(owner[a]), a - int(begin[owner[a]]), size, int(total[a].astype(np.int64)), values
 
 
@@ -138,7 +156,9 @@ def blocks(texts: list[str], size=1_500_000):
 
 
 def item_windows(benchmark: DataFrame, id_col="item_id", text_col="text") -> DataFrame:
-    """item_id, n (its windows), h, at, slots. An item shorter than a window is one window of its own length; under three words it has none."""
+    """item_id, n (its windows), size, exact, h, at, slots. An item shorter than a window is one window of its own length; under three words it
+    has none. If no window has enough literals, all are literal (exact).
+    """
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -148,13 +168,17 @@ def item_windows(benchmark: DataFrame, id_col="item_id", text_col="text") -> Dat
             out = []
             for i, t in zip(ids, texts, strict=True):
                 m = len(maker.read([t])[3])
-                found = list(maker.windows([t], (min(WINDOW, m),))) if m >= SHORTEST else []
-                out += [(i, len(found), size, h, at, values) for _, at, size, h, values in found]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.list_(pa.string()))], ["item_id", "n", "size", "h", "at", "slots"])
+                for exact in (False, True) if m >= SHORTEST else ():
+                    found = list(maker.windows([t], ((min(WINDOW, m), exact),)))
+                    out += [(i, len(found), size, exact, h, at, values) for _, at, size, h, values in found]
+                    if found:
+                        break
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "size", "exact", "h", "at", "slots"])
 
     own = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).dropna().dropDuplicates()
-    return materialise(own.mapInArrow(run, f"item_id {kind}, n int, size int, h long, at int, slots array<string>"), "bench-windows")
+    return materialise(own.mapInArrow(run, f"item_id {kind}, n int, size int, exact boolean, h long, at int, slots array<string>"), "bench-windows")
 
 
 def bloom(windows: DataFrame) -> np.ndarray:
@@ -189,7 +213,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="te
     """k1, k2 (text_key of a text), item_id, matched, windows, share: the texts that hold least_share of an item's windows at least."""
     items = item_windows(benchmark)
     bits = bloom(items)
-    sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
+    forms = tuple(sorted(map(tuple, items.select("size", "exact").distinct().collect())))
 
     def keep(h):
         def bit(x):
@@ -206,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="te
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
-                found = list(maker.windows(texts[a:b], sizes, keep))
+                found = list(maker.windows(texts[a:b], forms, keep))
                 if not found:
                     continue
                 row = pa.array([a + x[0] for x in found], pa.int64())
@@ -233,8 +257,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="te
 def leaks(docs: DataFrame, benchmark: DataFrame, least_share=0.5, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, item_id, matched, windows, share: a row for each row of docs and each item that it holds.
 
-    Null and empty texts hold nothing; null and empty items, and those under three words, are in no document. Repeated rows are reported
-    each, repeated items once. Without items or rows the result is empty. Only id and text columns are read.
+    Null and empty texts hold nothing; null and empty items, and those under three words, are in no document; every other item is
+    searched for. Repeated rows are reported each, repeated items once. Without items or rows the result is empty. Only id and text columns are read.
     """
     found = matches(docs, benchmark, least_share, text_col)
     keys = docs.select(F.col(id_col).alias("doc_id"), *text_key(F.col(text_col)))

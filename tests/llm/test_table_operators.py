@@ -184,6 +184,14 @@ def test_templates(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_numbers_and_names(spark):
+    items = ["What is 17 + 28?", "Compute 12 * 7 - 5.", "Who Wrote Pride And Prejudice?", "Add 3 4 5 6 7 8 9 10 11 12"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [f"Some words before. {t} And after it." for t in items] + ["what is 17 + 28", "What is 17 - 28?", "What is 17 + 29?", "Compute 12 * 7 + 5.", "Who Wrote War And Peace?", "12 * 7 - 5 = 79"]
+    got = decontam.leaks(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)}
+
+
 def test_slots_must_agree():
     good = [(0, ["a", "b"], ["x", "y"]), (1, ["b"], ["y"]), (2, ["a"], ["x"])]
     assert decontam.consistent(good) == [0, 1, 2]
