@@ -13,12 +13,24 @@ def entity_overlap(rows: DataFrame, entity: str, split: str) -> DataFrame:
     return both.filter("splits > 1")
 
 
+def content_key(text="text"):
+    """A hash of the text but for case, marks and blanks."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(F.col(text)), r"(?U)\W+", " ")), 256)
+
+
 def content_overlap(left: DataFrame, right: DataFrame, text="text", left_id="doc_id", right_id="item_id") -> DataFrame:
     """Pairs of left and right rows with the same text, but for case, marks and blanks."""
-    key = F.sha2(F.trim(F.regexp_replace(F.lower(F.col(text)), r"(?U)\W+", " ")), 256).alias("key")
+    key = content_key(text).alias("key")
     return left.select(left_id, key).join(right.select(right_id, key), "key").select(left_id, right_id)
 
 
+def overlap_classes(rows: DataFrame, text="text", id_col="doc_id") -> DataFrame:
+    """id, key, first_id, n: the class of every row that shares its text with another (but for case, marks and blanks), by least id and size. No pairs are listed."""
+    keyed = rows.select(id_col, content_key(text).alias("key"))
+    classes = keyed.groupBy("key").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(classes, "key").select(id_col, "key", "first_id", "n")
+
+
 def group_split(rows: DataFrame, group: str, parts=10) -> DataFrame:
     """Adds split: by a hash of the group, so that no group is in two splits."""
     return rows.withColumn("split", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(parts)).cast("int"))

@@ -275,6 +275,11 @@ def content_overlap(spark, d):
     return leakage.content_overlap(docs, docs.select(F.col("doc_id").alias("item_id"), "text").filter("item_id % 100 = 0")).filter("doc_id <> item_id")
 
 
+def overlap_classes(spark, d):
+    """The overlaps of all documents; content_overlap, as its SQL, sees pairs with every hundredth."""
+    return leakage.overlap_classes(table(spark, d, "documents"))
+
+
 def phrase_scan(spark, d):
     return scan.phrase_scan(table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text")), {"english": ("the", "of"), "german": ("der", "die")}, id_col="conv_id")
 
@@ -377,7 +382,7 @@ QUERIES = {
     for f in (
         clean_text_stats, content_checksums, duplicate_texts, sentence_lengths, number_sentences, lexicon_scores, phrase_theme_scores, active_themes, theme_frequency, evidence_top, metric_entities, page_links,
         quality_gate, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, semantic_strata, centroid_distance,
-        split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, phrase_scan, repeated_openers, routing, registry_checks, best_runs, decision_tally, claim_checks, review_triage, gate_report,
+        split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, overlap_classes, phrase_scan, repeated_openers, routing, registry_checks, best_runs, decision_tally, claim_checks, review_triage, gate_report,
     )
 }
 
@@ -417,6 +422,8 @@ FROM (SELECT lang, quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS s FROM label
     "calibration_bins": "SELECT least(floor(s * 10), 9)::INT AS bin, count(*) AS n, round(avg(quality), 6) AS observed FROM (SELECT quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS s FROM labels JOIN documents USING (doc_id)) GROUP BY 1",
     "content_overlap": r"""WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))) AS k FROM documents)
 SELECT a.doc_id, b.doc_id AS item_id FROM k a JOIN k b USING (k) WHERE b.doc_id % 100 = 0 AND a.doc_id <> b.doc_id""",
+    "overlap_classes": r"""WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))) AS key FROM documents)
+SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS first_id, count(*) OVER (PARTITION BY key) AS n FROM k WHERE key IS NOT NULL QUALIFY n > 1""",
     "registry_checks": REGISTRY_SQL,
     "best_runs": f"SELECT campaign, max_by(run_id, primary_value::DOUBLE) AS run_id, max(primary_value::DOUBLE) AS primary_value FROM {RUN_SQL} WHERE decision = 'keep' AND status = 'completed' AND try_cast(primary_value AS DOUBLE) IS NOT NULL GROUP BY campaign",
     "decision_tally": f"SELECT campaign, {', '.join(f'count(*) FILTER (decision = {chr(39)}{x}{chr(39)}) AS n_{x}' for x in ('keep', 'discard', 'blocked', 'exploratory'))} FROM {RUN_SQL} GROUP BY campaign",

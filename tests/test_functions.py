@@ -211,6 +211,14 @@ def test_other_ledgers(spark):
     assert [r["risk_tolerance"] for r in kept.collect()] == ["conservative", "balanced"]
 
 
+def test_every_overlap_has_a_class(spark, tmp_path):
+    texts = {1: "The same, text!", 101: "the  same text", 207: "THE SAME\ntext", 3: "other", 205: "Other.", 6: "alone", 7: None, 8: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["overlap_classes"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["first_id"], r["n"]) for r in got} == {(1, 1, 3), (101, 1, 3), (207, 1, 3), (3, 3, 2), (205, 3, 2)}
+    assert len(got) == 5 and len({r["key"] for r in got}) == 2
+
+
 def test_clusters_hold_their_invariants(spark):
     docs = spark.createDataFrame([(i, f"{'cat dog' if i % 2 else 'sun moon'} word{i % 3} word{i % 3}") for i in range(30)], "doc_id long, text string")
     weights = strata.tfidf(docs, "text")
