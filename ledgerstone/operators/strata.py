@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def terms(docs: DataFrame, text: str, stop=(), id_col="doc_id") -> DataFrame:
-    """id, term, tf: words of two or more word characters that aren't stop words, and pairs of neighbours among them."""
+    """id, term, tf: words of two or more word characters that aren't stop words, and pairs of neighbours among them. Counted inside a row: ids are unique."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
-    held = docs.select(id_col, words.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return held.select(id_col, F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.expr("cast(array() as array<string>)")))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    held = docs.select(id_col, words.alias("w")).filter(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    held = held.select(id_col, F.sort_array(F.concat("w", pairs)).alias("t"))
+    held = held.select(id_col, "t", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))).alias("first"))
+    runs = F.transform("first", lambda i, j: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("first", j + 1), F.size("t")) - i).alias("tf")))
+    return held.select(id_col, F.explode(runs).alias("r")).select(id_col, "r.term", "r.tf")
 
 
 def tfidf(docs: DataFrame, text: str, features=40_000, min_df=2, max_df=0.92, stop=(), id_col="doc_id") -> DataFrame:
@@ -22,9 +25,11 @@ def tfidf(docs: DataFrame, text: str, features=40_000, min_df=2, max_df=0.92, st
     n = docs.agg(F.count("*").alias("docs"))
     known = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     known = known.orderBy(F.desc("total"), "term").limit(features).withColumn("idf", 1 + F.log((1 + F.col("docs")) / (1 + F.col("df"))))
-    raw = found.join(known.select("term", "idf"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    length = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, id_col).select(id_col, "term", (F.col("raw") / F.col("length")).alias("weight"))
+    known = known.select("term", "idf", F.row_number().over(Window.orderBy(F.desc("total"), "term")).alias("place")).persist()
+    raw = (1 + F.log("tf")) * F.col("idf")
+    held = found.join(F.broadcast(known), "term").groupBy(id_col).agg(F.collect_list(F.struct("place", "tf")).alias("held"), F.sqrt(F.sum(raw * raw)).alias("length"))
+    held = held.select(id_col, "length", F.explode("held").alias("h")).select(id_col, "length", "h.place", "h.tf")
+    return held.join(F.broadcast(known), "place").select(id_col, "term", (raw / F.col("length")).alias("weight"))
 
 
 def project(weights: DataFrame, dims=160, seed=3407, id_col="doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Quota, Role, Weight
+from ..config import Audit, Quota, Role, Weight
 from ..functions import extract, text
 from ..operators import leakage, ledger, quality, scan, select, strata, summary
 from ..schemas import CLAIM_COLUMNS, CLAIMS, GATES, REGISTRY, REGISTRY_COLUMNS, REVIEWS
@@ -13,6 +13,7 @@ LEXICON = {"nouns": ("tion", "ment"), "articles": ("the ", "les "), "endings": (
 PHRASES = {"english": ("the", "of", "and"), "french": ("que", "les"), "german": ("der", "die", "und"), "spanish": ("los", "del")}
 QUOTAS = (Quota("german", 40), Quota("spanish", 30), Quota("french", 60), Quota("english", 100))
 TARGET = 200
+STRATA = Audit.strata
 SEVERITIES = ("validity-critical", "method-critical", "evidence-critical", "presentation-critical", "style-preference")
 CLAIM_TYPES = ("literature fact", "method design", "implementation result", "performance comparison", "ablation finding", "robustness finding", "limitation", "future work")
 CLAIM_STATUSES = ("supported", "partially_supported", "unsupported", "pending_validation", "superseded", "invalidated")
@@ -235,10 +236,16 @@ SELECT item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id
 """
 
 
+def tfidf_documents(spark, d):
+    """The weights of all documents; tfidf_terms, as its SQL, weighs the benchmark's items with 5,000 terms."""
+    return strata.tfidf(table(spark, d, "documents"), "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 def semantic_strata(spark, d):
-    """Clusters of the benchmark's items; labels aren't comparable across libraries."""
-    weights = strata.tfidf(table(spark, d, "benchmark"), "text", id_col="item_id")
-    return strata.cluster(strata.project(weights, 64, id_col="item_id"), 5, rounds=10, id_col="item_id")
+    """Clusters of the documents; labels aren't comparable across libraries. Documents without a weight are in cluster -1."""
+    docs = table(spark, d, "documents")
+    found = strata.cluster(strata.project(strata.tfidf(docs, "text")), STRATA)
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
 
 
 def centroid_distance(spark, d):
@@ -381,7 +388,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text_stats, content_checksums, duplicate_texts, sentence_lengths, number_sentences, lexicon_scores, phrase_theme_scores, active_themes, theme_frequency, evidence_top, metric_entities, page_links,
-        quality_gate, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, semantic_strata, centroid_distance,
+        quality_gate, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, tfidf_documents, semantic_strata, centroid_distance,
         split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, overlap_classes, phrase_scan, repeated_openers, routing, registry_checks, best_runs, decision_tally, claim_checks, review_triage, gate_report,
     )
 }

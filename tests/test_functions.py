@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +232,28 @@ def test_clusters_hold_their_invariants(spark):
     found = strata.cluster(strata.project(weights, 32), 2)
     assert found.count() == 30 and found.select("cluster_id").distinct().count() == 2
     assert strata.largest_share(found).first()[0] < 0.9
+
+
+def brute_tfidf(texts):
+    """(id, term): weight, of texts small enough that every term fits."""
+    held = {}
+    for i, t in texts.items():
+        w = re.findall(r"\b\w\w+\b", t.lower())
+        held[i] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    df, n, out = Counter(t for c in held.values() for t in c), len(texts), {}
+    for i, c in held.items():
+        raw = {t: (1 + math.log(tf)) * (1 + math.log((1 + n) / (1 + df[t]))) for t, tf in c.items() if 2 <= df[t] <= 0.92 * n}
+        length = math.sqrt(sum(v * v for v in raw.values()))
+        out |= {(i, t): v / length for t, v in raw.items()}
+    return out
+
+
+def test_documents_have_weights_and_strata(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["Über", "cat", "dog", "a", "sun", "moon", "tree", "x1"]) for _ in range(rng.randint(3, 30))) for i in range(60)} | {60: "", 61: "nowhere else"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in registry.QUERIES["tfidf_documents"](spark, str(tmp_path)).collect()}
+    want = brute_tfidf(texts)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+    found = {r["doc_id"]: r["cluster_id"] for r in registry.QUERIES["semantic_strata"](spark, str(tmp_path)).collect()}
+    assert found.keys() == texts.keys() and {i for i, c in found.items() if c == -1} == {60, 61} and len(set(found.values())) > 20
