@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question with other numbers or names in it
 has the same template. Hashes of template windows of documents are joined with those of benchmark items. Windows of
 an item that line up in a document count if the values in their slots are consistent: one value of the
-item stands for one value of the document throughout. An item whose windows are nearly all slots would match
-anything by template: its windows are literal instead, without regard to case, so that its copies are found.
+item stands for one value of the document throughout. Capitals make a name a slot or not, and
+an item may be nearly all slots: so each item also has literal windows, without regard to case, and either form finds it.
 
 A Bloom filter of fixed size, built from the benchmark's windows, keeps windows that can't match out of
 the shuffle; the join itself is exact on 64-bit hashes.
@@ -157,7 +157,7 @@ def blocks(texts: list[str], size=1_500_000):
 
 def item_windows(benchmark: DataFrame, id_col="item_id", text_col="text") -> DataFrame:
     """item_id, n (its windows), size, exact, h, at, slots. An item shorter than a window is one window of its own length; under three words it
-    has none. If no window has enough literals, all are literal (exact).
+    has none. Template windows need enough literals; literal ones (exact) are there for every item. n counts those of the same form.
     """
     kind = benchmark.schema[id_col].dataType.simpleString()
 
@@ -171,8 +171,6 @@ def item_windows(benchmark: DataFrame, id_col="item_id", text_col="text") -> Dat
                 for exact in (False, True) if m >= SHORTEST else ():
                     found = list(maker.windows([t], ((min(WINDOW, m), exact),)))
                     out += [(i, len(found), size, exact, h, at, values) for _, at, size, h, values in found]
-                    if found:
-                        break
             columns = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "size", "exact", "h", "at", "slots"])
@@ -210,7 +208,7 @@ def text_key(text) -> list:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="text") -> DataFrame:
-    """k1, k2 (text_key of a text), item_id, matched, windows, share: the texts that hold least_share of an item's windows at least."""
+    """k1, k2 (text_key of a text), item_id, matched, windows, share: the texts that hold least_share of an item's windows of one form at least; the form of larger share."""
     items = item_windows(benchmark)
     bits = bloom(items)
     forms = tuple(sorted(map(tuple, items.select("size", "exact").distinct().collect())))
@@ -240,18 +238,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="te
 
     texts = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text")).dropna(subset=["text"])
     hits = texts.mapInArrow(run, "k1 long, k2 long, h long, place int, found array<string>")
-    lined = hits.join(items, "h").groupBy("k1", "k2", "item_id", (F.col("place") - F.col("at")).alias("offset"))
+    lined = hits.join(items, "h").groupBy("k1", "k2", "item_id", "exact", (F.col("place") - F.col("at")).alias("offset"))
     lined = lined.agg(F.first("n").alias("n"), F.collect_set(F.struct("at", "slots", "found")).alias("pairs"))
 
     def check(batches):
         for batch in batches:
-            good = [consistent([(p["at"], p["slots"], p["found"]) for p in pairs]) for pairs in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), pa.array(good, pa.list_(pa.int32()))], ["k1", "k2", "item_id", "n", "good"])
+            good = [consistent([(p["at"], p["slots"], p["found"]) for p in pairs]) for pairs in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3, 5)), pa.array(good, pa.list_(pa.int32()))], ["k1", "k2", "item_id", "exact", "n", "good"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    good = lined.mapInArrow(check, f"k1 long, k2 long, item_id {kind}, n int, good array<int>")
-    whole = good.groupBy("k1", "k2", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("matched"), F.first("n").alias("windows"))
-    return whole.withColumn("share", F.col("matched") / F.col("windows")).filter(F.col("share") >= least_share)
+    good = lined.mapInArrow(check, f"k1 long, k2 long, item_id {kind}, exact boolean, n int, good array<int>")
+    whole = good.groupBy("k1", "k2", "item_id", "exact").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("matched"), F.first("n").alias("windows"))
+    whole = whole.withColumn("share", F.col("matched") / F.col("windows")).filter(F.col("share") >= least_share)
+    best = whole.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("share", "matched", "windows")).alias("best"))
+    return best.select("k1", "k2", "item_id", "best.matched", "best.windows", "best.share")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_share=0.5, id_col="doc_id", text_col="text") -> DataFrame:

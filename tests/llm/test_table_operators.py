@@ -192,6 +192,14 @@ def test_items_of_numbers_and_names(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)}
 
 
+def test_copies_in_other_capitals_and_after_headings(spark):
+    short = "What is the capital of France?"
+    bench = spark.createDataFrame([(1, ITEM), (2, short)], "item_id long, text string")
+    rows = [(5, ITEM.upper()), (6, f"Words. {ITEM.lower()} More."), (7, f"Geography\n{short}"), (8, f"so {short.upper()}"), (9, "What is the capital of it?"), (10, f"{ITEM} {short}")]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(5, 1), (6, 1), (7, 2), (8, 2), (10, 1), (10, 2)]
+
+
 def test_slots_must_agree():
     good = [(0, ["a", "b"], ["x", "y"]), (1, ["b"], ["y"]), (2, ["a"], ["x"])]
     assert decontam.consistent(good) == [0, 1, 2]
