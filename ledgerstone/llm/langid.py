@@ -265,9 +265,9 @@ def count_lexicon(train: DataFrame, langs: list[str]) -> np.ndarray:
     return (log - log.mean(1, keepdims=True)).astype(np.float32)
 
 
-def stitched(texts: list[str], y: np.ndarray, n: int, rng, words=24):
-    """n sequences of runs of words from documents drawn at random: languages switch within most of them."""
-    runs = [[short(w) for w in words_of(x)[:3000]] for x in texts]
+def stitched(texts: list[str], y: np.ndarray, n: int, rng, words=24, max_words=3000):
+    """n sequences of runs of words from the first max_words of documents drawn at random: languages switch within most of them."""
+    runs = [[short(w) for w in words_of(x)[:max_words]] for x in texts]
     usable = [i for i in np.arange(len(runs)) if len(runs[i]) >= 4]
     if not usable:
         return [], np.zeros((0, words), int)
@@ -338,8 +338,11 @@ def fit(crf: Crf, tokens: list[list[str]], labels: np.ndarray, rng, rounds=4, ba
                 x += rate * dx / np.sqrt(g)
 
 
-def train(docs: DataFrame, max_docs=1200, sequences=4000, seed=7, id_col="doc_id", text_col="text", lang_col="lang") -> Crf | None:
-    """None if no row may be learned from. Languages are the non-null values of lang in the training fold."""
+def train(docs: DataFrame, max_docs=1200, sequences=4000, max_chars=20_000, max_words=3000, seed=7, id_col="doc_id", text_col="text", lang_col="lang") -> Crf | None:
+    """None if no row may be learned from. Languages are the non-null values of lang in the training fold.
+
+    Weights are fitted on max_docs documents, on the first max_words words in the first max_chars characters of each; lexicon counts cover whole texts.
+    """
     fold = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(in_training(F.col("id"))).dropna()
     sizes = {r["lang"]: r["count"] for r in fold.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -351,11 +354,11 @@ def train(docs: DataFrame, max_docs=1200, sequences=4000, seed=7, id_col="doc_id
     dice = F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1 << 30))
     through = F.coalesce(*(F.when(F.col("lang") == x, dice <= min(1.0, 2 * each / n) * (1 << 30)) for x, n in sizes.items()))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))
-    drawn = fold.withColumn("dice", dice).filter(through).select("lang", "id", "dice", F.substring("text", 1, 20_000).alias("text"))
+    drawn = fold.withColumn("dice", dice).filter(through).select("lang", "id", "dice", F.substring("text", 1, max_chars).alias("text"))
     parts = drawn.withColumn("place", place).filter(F.col("place") <= each).orderBy("lang", "place").select("lang", "text").collect()
     texts, y = [r["text"] for r in parts], np.array([langs.index(r["lang"]) for r in parts], int)
     rng = np.random.default_rng(seed)
-    tokens, labels = stitched(texts, y, sequences, rng)
+    tokens, labels = stitched(texts, y, sequences, rng, max_words=max_words)
     fit(crf, tokens, labels, rng)
     crf.weights = crf.weights.astype(np.float32)
     return crf

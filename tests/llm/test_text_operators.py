@@ -220,3 +220,9 @@ def test_chat_odd_rows(spark):
     got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(turns)).collect()}
     assert got[None]["n_turns"] == 1 and got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 1 and got[2]["loss_chars"] == 100000
     assert chat.digests(chat.format_chats(turns.limit(0))).count() == 0
+
+
+def test_training_runs_reach_as_far_as_asked():
+    text = "early " * 3000 + "late " * 3000
+    drawn = [langid.stitched([text], np.zeros(1, int), 50, np.random.default_rng(0), max_words=m)[0] for m in (3000, 6000)]
+    assert ["late" in str(x) for x in drawn] == [False, True]
