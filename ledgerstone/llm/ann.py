@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy search over it answers queries.
 
-Equal vectors are one node. The first graph comes from brute force inside random blocks of bounded size, dealt
-more than once so that blocks are linked. Each round joins every node's neighbours, forward and reverse, with
-their vectors, compares them with one another, and keeps what improves a list, until few lists change.
-Work is dealt in blocks of nodes; a block asks for each vector once.
+Equal vectors are one node. Nodes are numbered in the order of a random projection tree, so that neighbours tend to have near numbers. The
+first graph comes from brute force inside blocks of bounded size along that order and along a second tree's. Each round joins every node's
+neighbours, forward and reverse, with their vectors, compares them with one another, and keeps what improves a list, until few lists change.
+Work is dealt in blocks of consecutive nodes, one partition a block; a block asks for each vector once.
 
 For the largest inner product, vectors get one more component that makes all norms equal, so that near means
 near for the graph too; queries have zero there. Results are scored on the original vectors in double precision.
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, table
 from .ngram_join import grouped, starts_of
 
-NEIGHBOURS, BLOCK, DEALS, ROUNDS, ENOUGH = 64, 1024, 2, 10, 0.02
+NEIGHBOURS, BLOCK, DEALS, ROUNDS, ENOUGH = 64, 1024, 2, 12, 0.02
 OFFER = 10  # of a neighbourhood's nodes, how many are offered to each of them: the nearest
-TASK_VECTORS = 400_000  # vectors that a task may hold
-BEAM, EXPAND, HOPS, SPARE = 64, 24, 5, 2
+WORK = 8192  # nodes that a task works on, with the vectors of all their neighbours
+SAMPLE, SURE = 16_384, 10  # vectors that the trees' cuts are learned from, and levels that have a cut for each cell
+BEAM, EXPAND, SPARE = 64, 24, 2
+ROW_BITS = 33  # of a node's number; the bits above them say in which range of nodes it is
 
 
 def matrix(column, kind=np.float32) -> np.ndarray:
@@ -72,10 +74,81 @@ def flat(batch, first: int):
 
 
 GRAPH = "id long, near array<long>, sims array<float>, flags array<tinyint>"  # a flag is 0 if the place is new, or else 1
+PACK = "block int, owner array<long>, near array<long>, sims array<float>, flags array<tinyint>"  # places of many nodes of a block in one row
 
 
-def nodes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (vec_id, node) of usable vectors, and nodes: id (least vec_id of equal vectors), exact (doubles), x (floats, norms made equal), members (the SPARE + 20 least)."""
+def packs(o, i, s, f, blocks: int):
+    """A row for each block that places (owner, near, sim, flag) are for."""
+    block = (o >> ROW_BITS) % blocks
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    starts = starts_of(block) if len(block) else np.zeros(0, np.int64)
+    sizes = np.diff([*starts, len(block)])
+    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int32()), *(list_array(a[order], sizes, t) for a, t in ((o, pa.int64()), (i, pa.int64()), (s, pa.float32()), (f, pa.int8())))], ["block", "owner", "near", "sims", "flags"])
+
+
+def unpacked(batch, first: int):
+    """owner, near, sims, flags of all rows, in columns first to first + 3."""
+    out = []
+    for c, kind in zip(range(first, first + 4), (np.int64, np.int64, np.float32, np.int8), strict=True):
+        offsets, values = lists(batch.column(c), kind)
+        out.append(values[offsets[0] : offsets[-1]])
+    return out
+
+
+def packed(graph: DataFrame, blocks: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield packs(*flat(batch, 0), blocks)
+
+    return graph.mapInArrow(run, PACK)
+
+
+def whole(batches):
+    """All batches of a partition as one, if there are rows."""
+    held = [b for b in batches if len(b)]
+    return [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if held else []
+
+
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def work_blocks(df: DataFrame, n: int) -> int:
+    """Blocks of at most WORK nodes, and one for each core unless they would be tiny."""
+    return max(1, min(cores(df), math.ceil(n / 512)), math.ceil(n / WORK))
+
+
+def by_block(rows: DataFrame, blocks: int, column="block") -> DataFrame:
+    """A partition of its own for each block: no block waits for another, and nothing has to be sorted."""
+    return rows.repartitionById(blocks, column)
+
+
+def grow_tree(sample: np.ndarray, n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of a random projection tree with cells of about half a block: a direction, and a cut for each cell above (one cut for all beyond SURE levels)."""
+    rng, code, tree = np.random.default_rng(seed), np.zeros(len(sample), np.int64), []
+    for level in range(max(0, math.ceil(math.log2(max(1, n) / BLOCK * 2)))):
+        plane = rng.standard_normal(sample.shape[1]).astype(np.float32)
+        at = sample @ plane
+        cuts = np.full(1 << level if level <= SURE else 1, np.median(at), np.float32)
+        if level <= SURE:
+            for c in np.unique(code):
+                cuts[c] = np.median(at[code == c])
+            code = 2 * code + (at > cuts[code])
+        tree.append((plane, cuts))
+    return tree
+
+
+def cells(x: np.ndarray, tree) -> np.ndarray:
+    code = np.zeros(len(x), np.int64)
+    for plane, cuts in tree:
+        code = 2 * code + (x @ plane > (cuts[code] if len(cuts) > 1 else cuts[0]))
+    return code
+
+
+def nodes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Members (vec_id, node) of usable vectors; nodes: id (its place), node (least vec_id of equal vectors), exact (doubles), x (floats, norms made equal), members (the k + 1 least), cell (in the second tree); how many."""
 
     def read(batches):
         for batch in batches:
@@ -94,89 +167,131 @@ def nodes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFr
     least = usable.groupBy("exact").agg(F.min("vec_id").alias("node"))
     members = materialise(usable.join(least, "exact"), "members")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    few = members.select("node", "vec_id").withColumn("rank", rank).filter(F.col("rank") <= 20 + SPARE).groupBy("node").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+    few = members.select("node", "vec_id").withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("node").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
 
     def norms(batches):
         for batch in batches:
             x = matrix(batch.column(1), np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((x * x).sum(1) if len(batch) else [], pa.float64())], ["id", "exact", "members", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((x * x).sum(1) if len(batch) else [], pa.float64())], ["node", "exact", "members", "norm"])
 
-    distinct = members.filter("vec_id = node").select(F.col("node").alias("id"), "exact").join(few.withColumnRenamed("node", "id"), "id")
-    distinct = materialise(distinct.select("id", "exact", "members").mapInArrow(norms, "id long, exact binary, members array<long>, norm double"), "distinct")
-    most = distinct.agg(F.max("norm")).first()[0] or 0.0
+    distinct = members.filter("vec_id = node").select("node", "exact").join(few, "node")
+    distinct = materialise(distinct.select("node", "exact", "members").mapInArrow(norms, "node long, exact binary, members array<long>, norm double"), "distinct")
+    n, most = distinct.agg(F.count("*"), F.max("norm")).first()
+    most = most or 0.0
+
+    def levelled(exact, norm):
+        x = matrix(exact, np.float64)
+        return np.column_stack([x, np.sqrt(np.maximum(most - np.asarray(norm), 0))]).astype(np.float32)
+
+    drawn = distinct.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(math.ceil(max(1, n) / SAMPLE))) == 0).select("exact", "norm").limit(2 * SAMPLE).toArrow()
+    sample = levelled(drawn.column(0), drawn.column(1).to_numpy()) if len(drawn) else np.zeros((0, 1), np.float32)
+    trees = [grow_tree(sample, n if len(sample) else 0, seed) for seed in range(DEALS)]
 
     def level(batches):
         for batch in batches:
             if len(batch):
-                x, norm = matrix(batch.column(1), np.float64), batch.column(3).to_numpy()
-                full = np.column_stack([x, np.sqrt(np.maximum(most - norm, 0))]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r.tobytes() for r in full], pa.binary())], ["id", "exact", "members", "x"])
-
-    return members.select("vec_id", "node"), materialise(distinct.mapInArrow(level, "id long, exact binary, members array<long>, x binary"), "nodes")
-
+                x = levelled(batch.column(1), batch.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r.tobytes() for r in x], pa.binary()), *(pa.array(cells(x, t)) for t in trees)], ["node", "exact", "members", "x", "place", "cell"])
 
-def first_graph(points: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The nearest nodes inside random blocks."""
-
-    def run(batches):
-        for batch in grouped(batches, 1):
-            block, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
-            starts = starts_of(block)
-            for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
-                m = min(max(1, math.ceil(k / DEALS)), b - a - 1)
-                if m < 1:
-                    continue
-                for c in range(a, b, 512):
-                    d = min(c + 512, b)
-                    s = x[c:d] @ x[a:b].T
-                    s[np.arange(d - c), np.arange(c - a, d - a)] = -np.inf
-                    near = np.argpartition(-s, m - 1, 1)[:, :m] if m < b - a else np.argsort(-s, 1)[:, :m]
-                    sims = np.take_along_axis(s, near, 1)
-                    yield by_owner(np.repeat(ids[c:d], m), ids[a:b][near].ravel(), sims.ravel(), np.zeros(sims.size, np.int8))
+    laid = distinct.mapInArrow(level, "node long, exact binary, members array<long>, x binary, place long, cell long")
+    order = ["place", F.xxhash64("node"), "node"]
+    numbered = laid.repartitionByRange(work_blocks(laid, n), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    return members.select("vec_id", "node"), materialise(numbered.select("id", "node", "exact", "members", "x", "cell"), "nodes"), n
 
-    dealt = points.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(t)), F.lit(blocks)) * DEALS + t for t in range(DEALS)))).alias("block"), "id", "x")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, GRAPH)
 
+def chunks(batches, size: int):
+    """The rows of batches again in batches of `size` to 2 * `size`, the last one whatever is left."""
+    held, have = [], 0
+    for batch in batches:
+        held, have = [*held, batch], have + len(batch)
+        while have >= 2 * size:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield whole.slice(0, size)
+            held, have = [whole.slice(size)], have - size
+    if have:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def block_of(col, blocks: int):
-    return F.pmod(F.xxhash64(F.col(col), F.lit("block")), F.lit(blocks)).cast("int")
 
+def first_graph(points: DataFrame, n: int, k: int) -> DataFrame:
+    """The nearest nodes inside blocks of consecutive nodes, once in the order of each tree."""
+    m = max(1, math.ceil(k / DEALS))
 
-def merge(rows: DataFrame, blocks: int, k: int, compare_with_old=True) -> DataFrame:
-    """rows: id, near, sims, flags. One list a node, the k nearest. Places that no row with flag 1 holds are new: flag 0.
-
-    compare_with_old: of repeats the old one counts, otherwise the new one.
-    """
+    def run(batches):
+        for batch in chunks(batches, BLOCK):
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            near_by = min(m, len(ids) - 1)
+            if near_by < 1:
+                continue
+            for c in range(0, len(ids), 512):
+                d = min(c + 512, len(ids))
+                s = x[c:d] @ x.T
+                s[np.arange(d - c), np.arange(c, d)] = -np.inf
+                near = np.argpartition(-s, near_by - 1, 1)[:, :near_by]
+                sims = np.take_along_axis(s, near, 1)
+                yield by_owner(np.repeat(ids[c:d], near_by), ids[near].ravel(), sims.ravel(), np.zeros(sims.size, np.int8))
+
+    parts = max(min(cores(points), math.ceil(n / BLOCK)), math.ceil(n / (16 * BLOCK)), 1)
+    second = ["cell", F.xxhash64("id"), "id"]
+    orders = [points.select("id", "x").repartitionByRange(parts, "id").sortWithinPartitions("id"), points.select("id", "x", "cell").repartitionByRange(parts, *second).sortWithinPartitions(*second).select("id", "x")]
+    return orders[0].mapInArrow(run, GRAPH).unionByName(orders[1].mapInArrow(run, GRAPH))
+
+
+def merge(places: DataFrame, blocks: int, k: int) -> DataFrame:
+    """places: packed ones. One list a node, the k nearest. Places that come with no flag 1 are new: flag 0."""
 
     def run(batches):
-        for batch in grouped(batches, 1):
-            owner, near, sims, flags = flat(batch, 1)
-            o, i, s, f = top(owner, near, sims, -flags if compare_with_old else flags, k)
+        for batch in whole(batches):
+            owner, near, sims, flags = unpacked(batch, 1)
+            o, i, s, f = top(owner, near, sims, -flags, k)
             if len(o):
                 yield by_owner(o, i, s, np.abs(f))
 
-    keyed = rows.select(block_of("id", blocks).alias("block"), "id", "near", "sims", "flags")
-    return keyed.repartition("block").sortWithinPartitions("block").mapInArrow(run, GRAPH)
+    return by_block(places, blocks).mapInArrow(run, GRAPH)
+
+
+ADJACENT = "block int, id long, near array<long>, flags array<tinyint>"
 
 
 def both_ways(graph: DataFrame, blocks: int, k: int) -> DataFrame:
-    """Each node's list and the k nearest of those that list it; new if either place is."""
+    """Each node's list and the k nearest of those that list it, a place new if either is; and for each block a row without id: all nodes that nodes with a new place are beside, and they themselves."""
 
     def turn(batches):
-        for batch in grouped(batches, 1):
-            owner, near, sims, flags = flat(batch, 1)
-            yield by_owner(*top(near, owner, sims, flags, k))
-
-    keyed = graph.select(block_of("id", blocks).alias("block"), "id", "near", "sims", "flags")
-    reverse = merge(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(turn, GRAPH), blocks, k, False)
-    return merge(graph.unionByName(reverse), blocks, 2 * k, False)
+        for batch in batches:
+            owner, near, sims, flags = flat(batch, 0)
+            if len(owner):
+                yield packs(*top(near, owner, sims, flags, k), blocks)
+
+    def join(batches):
+        for batch in whole(batches):
+            kind = batch.column(5).to_numpy()
+            own, other = (unpacked(batch.take(pa.array(np.flatnonzero(kind == c))), 1) for c in range(2))
+            other = top(*other, k)
+            o, i, s, f = top(*(np.concatenate([a, b]) for a, b in zip(own, other, strict=True)), 2 * k)
+            starts = starts_of(o) if len(o) else np.zeros(0, np.int64)
+            sizes = np.diff([*starts, len(o)])
+            busy = np.repeat(np.minimum.reduceat(f, starts) == 0, sizes) if len(o) else np.zeros(0, bool)
+            wanted = np.unique(np.concatenate([o[busy], i[busy]]))
+            block = np.full(len(starts) + 1, batch.column(0)[0].as_py(), np.int32)
+            near = list_array(np.concatenate([i, wanted]), [*sizes, len(wanted)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([*o[starts].tolist(), None], pa.int64()), near, list_array(f, [*sizes, 0], pa.int8())], ["block", "id", "near", "flags"])
+
+    own, other = packed(graph, blocks).withColumn("kind", F.lit(0)), graph.mapInArrow(turn, PACK).withColumn("kind", F.lit(1))
+    return by_block(own.unionByName(other), blocks).mapInArrow(join, ADJACENT)
 
 
 def compare(adjacent: DataFrame, points: DataFrame, graph: DataFrame, blocks: int, k: int) -> DataFrame:
     """The join of neighbours with neighbours: the pairs, one of them new at least, that would improve a list."""
 
+    def offers(target, other, s, worst):
+        """For each target the OFFER nearest of the others that its list lacks room to ignore."""
+        m = min(OFFER, len(other))
+        j = np.argpartition(-s, m - 1, 1)[:, :m]
+        v = np.take_along_axis(s, j, 1)
+        a, c = np.nonzero(v > worst[target][:, None])
+        return target[a], other[j[a, c]], v[a, c]
+
     def run(batches):
-        for batch in grouped(batches, 1):
+        for batch in whole(batches):
             kind = batch.column(1).to_numpy()
             vec = batch.take(pa.array(np.flatnonzero(kind == 0)))
             ids, x, worst = vec.column(2).to_numpy(), matrix(vec.column(5)), vec.column(6).to_numpy()
@@ -189,165 +304,156 @@ def compare(adjacent: DataFrame, points: DataFrame, graph: DataFrame, blocks: in
             own = np.searchsorted(ids, rest.column(2).to_numpy())
             parts, size, best = [], 0, None
             for n in range(len(own)):
-                b = at[offsets[n] : offsets[n + 1]]
-                new = np.flatnonzero(flags[offsets[n] : offsets[n + 1]] == 0)
-                if len(new):
-                    b = np.append(b, own[n])
-                    s = x[b] @ x[b].T
-                    fresh = np.zeros(len(b), bool)
-                    fresh[new] = True
-                    s[~(fresh[:, None] | fresh[None, :])] = -np.inf
-                    np.fill_diagonal(s, -np.inf)
-                    m = min(OFFER, len(b) - 1)
-                    j = np.argpartition(-s, m - 1, 1)[:, :m]
-                    v = np.take_along_axis(s, j, 1)
-                    better = v > worst[b][:, None]
-                    i, c = np.nonzero(better)
-                    parts.append((b[i], b[j[i, c]], v[i, c]))
-                    size += len(i)
-                if parts and (size > 2_000_000 or n == len(own) - 1):
-                    o, i, s = (np.concatenate([p[c] for p in parts] + ([best[c]] if best else [])) for c in range(3))
-                    best, parts, size = top(o, i, s, np.zeros(len(o), np.int8), k), [], 0
+                b, old = at[offsets[n] : offsets[n + 1]], flags[offsets[n] : offsets[n + 1]] != 0
+                new, old = b[~old], np.append(b[old], own[n])
+                both = np.concatenate([new, old])
+                s = x[new] @ x[both].T
+                np.fill_diagonal(s, -np.inf)
+                parts += [offers(new, both, s, worst), offers(old, new, s[:, len(new) :].T, worst)]
+                size += sum(len(p[0]) for p in parts[-2:])
+                if size > 1_000_000 or n == len(own) - 1:
+                    o, i, v = (np.concatenate([p[c] for p in parts] + ([best[c]] if best else [])) for c in range(3))
+                    best, parts, size = top(o, i, v, np.zeros(len(o), np.int8), k), [], 0
             if best and len(best[0]):
-                yield by_owner(ids[best[0]], ids[best[1]], best[2].astype(np.float32), best[3])
+                yield packs(ids[best[0]], ids[best[1]], best[2].astype(np.float32), best[3], blocks)
 
-    block = block_of("id", blocks)
-    busy = adjacent.filter(F.array_contains("flags", F.lit(0).cast("tinyint")))
-    wanted = busy.select(block.alias("block"), F.explode(F.concat("near", F.array("id"))).alias("id")).distinct()
-    lowest = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(float("-inf")))
+    lowest = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(float("-inf"))).cast("float")
     full = points.select("id", "x").join(graph.select("id", lowest.alias("worst")), "id", "left")
     none = F.lit(None)
-    vectors = wanted.join(full, "id").select("block", F.lit(0).alias("kind"), "id", none.cast("array<long>").alias("near"), none.cast("array<tinyint>").alias("flags"), "x", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
-    rows = busy.select(block.alias("block"), F.lit(1).alias("kind"), "id", "near", "flags", none.cast("binary").alias("x"), F.lit(0.0).cast("float").alias("worst"))
-    return vectors.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, GRAPH)
-
-
-def work_blocks(spark, n: int) -> int:
-    """Blocks of nodes that a task works on, with the vectors of all their neighbours: as many as there are cores while all vectors fit into one task, or else so many that a block's do."""
-    cores = spark.sparkContext.defaultParallelism
-    return max(cores, 1 if n <= TASK_VECTORS else math.ceil(n * 2 * NEIGHBOURS / TASK_VECTORS))
-
-
-def build(points: DataFrame, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH) -> DataFrame:
-    """points: id, x. The graph: id, near, sims, flags. Ends when less than `enough` of all list places are new after a round."""
-    spark, n = points.sparkSession, points.count()
-    blocks, dealt = work_blocks(spark, n), max(1, math.ceil(n / BLOCK))
-    graph = materialise(merge(first_graph(points, dealt, k), blocks, k), "graph")
-    for _ in range(rounds if dealt > 1 else 0):
+    wanted = adjacent.filter("id is null").select("block", F.explode("near").alias("id"))
+    vectors = wanted.join(full, "id").select("block", F.lit(0).alias("kind"), "id", none.cast("array<long>").alias("near"), none.cast("array<tinyint>").alias("flags"), "x", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+    busy = adjacent.filter(F.col("id").isNotNull() & F.array_contains("flags", F.lit(0).cast("tinyint")))
+    rows = busy.select("block", F.lit(1).alias("kind"), "id", "near", "flags", none.cast("binary").alias("x"), F.lit(0.0).cast("float").alias("worst"))
+    return by_block(vectors.unionByName(rows), blocks).mapInArrow(run, PACK)
+
+
+def build(points: DataFrame, n: int, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH) -> DataFrame:
+    """points: id, x, cell; n: how many. The graph: id, near, sims, flags. Rounds end, after one at least, when less than `enough` of all list places are new."""
+    blocks = work_blocks(points, n)
+    graph = materialise(merge(packed(first_graph(points, n, k), blocks), blocks, k), "graph")
+    for _ in range(rounds):
         adjacent = materialise(both_ways(graph, blocks, k), "adjacent")
         better = compare(adjacent, points, graph, blocks, k)
         aged = graph.withColumn("flags", F.transform("flags", lambda _: F.lit(1).cast("tinyint")))
-        new = materialise(merge(aged.unionByName(better), blocks, k), "graph")
+        new = materialise(merge(packed(aged, blocks).unionByName(better), blocks, k), "graph")
         drop(adjacent)
         drop(graph)
-        spark._jvm.System.gc()  # lets the context cleaner remove shuffle files of past rounds
         graph = new
         if (new.agg(F.sum(F.size(F.filter("flags", lambda f: f == 0)))).first()[0] or 0) < enough * n * k:
             break
     return graph
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, want=22, beam=BEAM, expand=EXPAND, hops=HOPS) -> DataFrame:
-    """queries: id of nodes. Greedy search from each query's own node: id, near, sims, the `want` nearest found and the node itself.
+STATE = "id long, near array<long>, sims array<float>, seen array<long>, go array<long>"
+
 
-    Each hop looks at the neighbours, both ways, of the `expand` nearest nodes of the beam that haven't been looked at, until no list of
-    `want` changes. Nearness is that of the query with its last component zero, which is the inner product of the original vectors.
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want=22, beam=BEAM, expand=EXPAND) -> DataFrame:
+    """queries: id of nodes. Greedy search from each query's own node: id, near, the `want` nearest found and the node itself.
+
+    Each hop looks at the neighbours, both ways, of the `expand` nearest nodes of the beam that haven't been looked at, until all of the `want` nearest
+    have been. Nearness is that of the query with its last component zero, which is the inner product of the original vectors.
     """
-    blocks = work_blocks(points.sparkSession, points.count())
-    pieces = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(queries.count() / 1024))
-    adjacent = materialise(both_ways(graph, blocks, NEIGHBOURS), "adjacent").select("id", F.col("near").alias("beside"))
+    asked, beam = queries.count(), max(beam, want)
+    pieces = max(1, min(cores(points), math.ceil(asked / 64)), math.ceil(asked / 1024))
+    adjacent = materialise(both_ways(graph, work_blocks(points, n), NEIGHBOURS), "adjacent").filter("id is not null").select("id", F.col("near").alias("beside"))
     empty = {c: F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("near", "long"), ("sims", "float"), ("seen", "long"))}
-    state = materialise(queries.select("id", *empty.values(), F.lit(1).alias("fresh")), "found")
+    state = materialise(queries.select("id", *empty.values(), F.array("id").alias("go")), "found")
 
-    def run(batches):
-        for batch in grouped(batches, 1):
+    def gather(batches):
+        """What each query of a piece has to score, and, in a row without id, what the piece has."""
+        for batch in whole(batches):
             kind = batch.column(1).to_numpy()
-            vec = batch.take(pa.array(np.flatnonzero(kind == 0)))
-            ids, x = vec.column(2).to_numpy(), matrix(vec.column(5))
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            known, extra = batch.take(pa.array(np.flatnonzero(kind == 1))), batch.take(pa.array(np.flatnonzero(kind == 2)))
-            e_id = extra.column(2).to_numpy()
-            e_off, e_near = lists(extra.column(3))
+            known, extra = batch.take(pa.array(np.flatnonzero(kind == 0))), batch.take(pa.array(np.flatnonzero(kind == 1)))
+            offsets, beside = lists(extra.column(3))
             of: dict[int, list] = {}
-            for r, q in enumerate(e_id.tolist()):
-                of.setdefault(q, []).append(e_near[e_off[r] : e_off[r + 1]])
+            for r, q in enumerate(extra.column(2).to_pylist()):
+                of.setdefault(q, []).append(beside[offsets[r] : offsets[r + 1]])
             k_off, k_near = lists(known.column(3))
-            _, k_sims = lists(known.column(4), np.float32)
-            seen = known.column(6).to_pylist()
+            todo = []
+            for r, q in enumerate(known.column(2).to_pylist()):
+                todo.append(np.setdiff1d(np.concatenate([*of.get(q, []), np.zeros(0, np.int64)]), np.append(k_near[k_off[r] : k_off[r + 1]], q)))
+            wanted = np.unique(np.concatenate([*todo, known.column(2).to_numpy()]))
+            piece = pa.array(np.full(len(known) + 1, batch.column(0)[0].as_py(), np.int32))
+            yield pa.RecordBatch.from_arrays([piece, pa.concat_arrays([known.column(2), pa.array([None], pa.int64())]), list_array(np.concatenate([*todo, wanted]), [*map(len, todo), len(wanted)], pa.int64())], ["piece", "id", "todo"])
+
+    def score(batches):
+        for batch in whole(batches):
+            kind = batch.column(1).to_numpy()
+            vec, known = (batch.take(pa.array(np.flatnonzero(kind == c))) for c in range(2))
+            ids, x = vec.column(2).to_numpy(), matrix(vec.column(7))
+            order = np.argsort(ids)
+            ids, x = ids[order], x[order]
+            (n_off, n_flat), (t_off, t_flat), (g_off, g_flat), (w_off, w_flat) = (lists(known.column(c)) for c in (3, 5, 6, 8))
+            _, s_flat = lists(known.column(4), np.float32)
             out = []
             for r, q in enumerate(known.column(2).to_pylist()):
-                near, sims = k_near[k_off[r] : k_off[r + 1]], k_sims[k_off[r] : k_off[r + 1]]
-                fresh = 0
-                if q in of:
-                    c = np.setdiff1d(np.concatenate(of[q]), np.append(near, q))
-                    at = np.searchsorted(ids, c)
-                    centre = x[np.searchsorted(ids, q)].copy()
-                    centre[-1] = 0
-                    s = x[at] @ centre
-                    ids_, sims_ = np.concatenate([near, c]), np.concatenate([sims, s])
-                    best = np.lexsort((ids_, -sims_))[:beam]
-                    fresh = int((best[:want] >= len(near)).sum())
-                    near, sims = ids_[best], sims_[best]
-                out.append((q, near, sims, seen[r], fresh))
-            size = [len(o[1]) for o in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), list_array(np.concatenate([o[1] for o in out]), size, pa.int64()), list_array(np.concatenate([o[2] for o in out]).astype(np.float32), size, pa.float32()), pa.array([o[3] for o in out], pa.list_(pa.int64())), pa.array([o[4] for o in out], pa.int32())],
-                ["id", "near", "sims", "seen", "fresh"],
-            )
+                todo = t_flat[t_off[r] : t_off[r + 1]]
+                centre = x[np.searchsorted(ids, q)].copy()
+                centre[-1] = 0
+                near = np.concatenate([n_flat[n_off[r] : n_off[r + 1]], todo])
+                sims = np.concatenate([s_flat[n_off[r] : n_off[r + 1]], x[np.searchsorted(ids, todo)] @ centre])
+                best = np.lexsort((near, -sims))[:beam]
+                near, sims = near[best], sims[best]
+                seen = np.concatenate([g_flat[g_off[r] : g_off[r + 1]], w_flat[w_off[r] : w_off[r + 1]]])
+                fresh = ~np.isin(near, seen)
+                out.append((q, near, sims, seen, near[fresh][:expand] if fresh[:want].any() else near[:0]))
+            columns = [list_array(np.concatenate([o[c] for o in out]), [len(o[c]) for o in out], t) for c, t in ((1, pa.int64()), (2, pa.float32()), (3, pa.int64()), (4, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *columns], ["id", "near", "sims", "seen", "go"])
 
     piece = F.pmod(F.xxhash64("id", F.lit("piece")), F.lit(pieces)).cast("int").alias("piece")
-    for _ in range(hops):
-        front = state.filter("fresh > 0").withColumn("go", F.when(F.size("seen") == 0, F.array("id")).otherwise(F.slice(F.array_except("near", "seen"), 1, expand)))
-        step = materialise(front.select(F.col("id").alias("q"), F.explode("go").alias("id")).join(adjacent, "id").select(F.col("q").alias("id"), "beside"), "step")
-        wanted = step.select(piece, F.explode("beside").alias("id")).union(state.select(piece, "id")).distinct()
-        blank = {"near": "array<long>", "sims": "array<float>", "x": "binary", "seen": "array<long>"}
-
-        def shaped(df, kind, **cols):
-            return df.select("piece", F.lit(kind).alias("kind"), "id", *(F.col(cols[c]).alias(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
-
-        marked = state.join(front.select("id", "go"), "id", "left").withColumn("seen", F.array_union("seen", F.coalesce("go", F.expr("cast(array() as array<long>)"))))
-        rows = shaped(wanted.join(points.select("id", "x"), "id"), 0, x="x").unionByName(shaped(marked.select("*", piece), 1, near="near", sims="sims", seen="seen")).unionByName(shaped(step.select("*", piece), 2, near="beside"))
-        new = materialise(rows.repartition("piece").sortWithinPartitions("piece", "kind").mapInArrow(run, "id long, near array<long>, sims array<float>, seen array<long>, fresh int"), "found")
-        drop(step)
-        drop(state)
-        state = new
-        if state.filter("fresh > 0").isEmpty():
-            break
-    return state.select("id", F.concat(F.array("id"), F.slice("near", 1, want)).alias("near"))
+    blank = {"near": "array<long>", "sims": "array<float>", "todo": "array<long>", "seen": "array<long>", "x": "binary", "go": "array<long>"}
+
+    def shaped(df, kind, piece=piece, **cols):
+        return df.select(piece, F.lit(kind).alias("kind"), "id", *(F.col(cols[c]).alias(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+
+    ended = None
+    while not state.isEmpty():
+        step = state.select(F.col("id").alias("q"), F.explode("go").alias("id")).join(adjacent, "id").select(F.col("q").alias("id"), "beside")
+        rows = shaped(state, 0, near="near").unionByName(shaped(step, 1, near="beside")).select("piece", "kind", "id", "near")
+        lists_ = materialise(by_block(rows, pieces, "piece").mapInArrow(gather, "piece int, id long, todo array<long>"), "todo")
+        wanted = lists_.filter("id is null").select("piece", F.explode("todo").alias("id")).join(points.select("id", "x"), "id")
+        live = state.join(lists_.filter("id is not null").select("id", "todo"), "id")
+        rows = shaped(wanted, 0, F.col("piece"), x="x").unionByName(shaped(live, 1, near="near", sims="sims", todo="todo", seen="seen", go="go"))
+        new = materialise(by_block(rows, pieces, "piece").mapInArrow(score, STATE), "found")
+        drop(lists_)
+        state, finished = new.filter("size(go) > 0"), new.filter("size(go) = 0").select("id", "near")
+        ended = finished if ended is None else ended.unionByName(finished)
+    found = ended if ended is not None else state.select("id", "near")
+    return found.select("id", F.concat(F.array("id"), F.slice("near", 1, want)).alias("near"))
 
 
 def rank(found: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """found: id, near. Scores every member of the nodes found in double precision: id, ids, scores, the k + 1 best, ties by vec_id."""
+    """found: id, near. Scores every member of the nodes found in double precision: node, ids, scores, the k + 1 best, ties by vec_id."""
 
     def run(batches):
         for batch in grouped(batches, 1):
-            q, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, members = matrix(batch.column(2), np.float64), batch.column(3).to_pylist()
+            q, other = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x, members, node = matrix(batch.column(2), np.float64), batch.column(3).to_pylist(), batch.column(4).to_numpy()
             starts = starts_of(q)
             out = []
             for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
-                scores = x[a:b] @ x[a + int(np.flatnonzero(node[a:b] == q[a])[0])]
+                me = a + int(np.flatnonzero(other[a:b] == q[a])[0])
+                scores = x[a:b] @ x[me]
                 best = sorted((-s, m) for s, row in zip(scores.tolist(), members[a:b], strict=True) for m in row)[: k + 1]
-                out.append((int(q[a]), [m for _, m in best], [-s for s, _ in best]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["id", "ids", "scores"])
+                out.append((int(node[me]), [m for _, m in best], [-s for s, _ in best]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["node", "ids", "scores"])
 
-    rows = found.select(F.col("id").alias("q"), F.explode("near").alias("id")).join(points.select("id", "exact", "members"), "id").select("q", "id", "exact", "members")
-    return rows.repartition("q").sortWithinPartitions("q").mapInArrow(run, "id long, ids array<long>, scores array<double>")
+    rows = found.select(F.col("id").alias("q"), F.explode("near").alias("id")).join(points.select("id", "exact", "members", "node"), "id").select("q", "id", "exact", "members", "node")
+    return rows.repartition("q").sortWithinPartitions("q").mapInArrow(run, "node long, ids array<long>, scores array<double>")
 
 
 def neighbours(rows: DataFrame, is_query, k=20, id_col="vec_id", vec_col="embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row that is_query(vec_id) holds for.
+    """query_id, rank, vec_id, score: the k nearest found of each row that is_query(vec_id) holds for; any k, of copies as of others.
 
     Nearness is the inner product. Vectors that are null, empty, zero, hold null or non-finite components or aren't of the commonest length take no part, nor
     do null ids; of an id's several vectors the least in byte order counts. Ties go to the smaller vec_id. Fewer candidates give fewer
     rows; no rows give none. Other columns are ignored.
     """
-    members, points = nodes(rows, id_col, vec_col)
+    members, points, n = nodes(rows, id_col, vec_col, k)
     asked = materialise(members.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "node"), "asked")
-    graph = build(points)
-    found = search(graph, points, asked.select(F.col("node").alias("id")).distinct(), want=k + SPARE)
-    best = rank(found, points, k).withColumnRenamed("id", "node")
+    graph = build(points, n)
+    queries = points.select("id", "node").join(asked.select("node").distinct(), "node", "left_semi").select("id")
+    best = rank(search(graph, points, queries, n, want=k + SPARE), points, k)
     others = F.filter(F.arrays_zip("ids", "scores"), lambda z: z["ids"] != F.col("query_id"))
     out = asked.join(best, "node").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("i", "z"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
