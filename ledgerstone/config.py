@@ -17,9 +17,10 @@ SECTION_PATTERNS: dict[str, tuple[str, ...]] = {
     "references": (r"\breferences\b",),
 }
 EXPECTED_SECTIONS = ("abstract", "introduction", "method", "experiments", "conclusion")
-# Hosts that make a link a code link; words that aren't data set names.
+# Hosts that make a link a code link; words that aren't data set names, those of the first and those of the second audit.
 CODE_HOSTS = ("github.com", "gitlab.com", "huggingface.co", "project")
 NOT_DATASETS = ("the", "our", "this", "new", "large", "public")
+GENERIC = ("open", "training", "comprehensive", "enhanced", "each", "our", "new", "public", "large", "real", "synthetic", "benchmark", "evaluation", "test", "validation", "image", "video", "medical", "multimodal", "multi-modal")
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ class Audit:
     lexicon: dict[str, tuple[str, ...]]
     phrases: dict[str, tuple[str, ...]] = field(default_factory=dict)
     datasets: tuple[str, ...] = ()
+    not_datasets: tuple[str, ...] = tuple(dict.fromkeys(NOT_DATASETS + GENERIC))
     metrics: tuple[str, ...] = ()
     direct: tuple[Weight, ...] = ()
     quotas: tuple[Quota, ...] = ()
@@ -82,6 +84,7 @@ class Audit:
     venue: str | None = None
     seed: int = 3407
     phrase_mode: bool = True
+    stop_words: tuple[str, ...] | None = None  # None: the English ones that Spark has
 
     def __post_init__(self):
         if self.target < 1 or self.strata < 1:

@@ -11,6 +11,11 @@ from ..config import CODE_HOSTS, NOT_DATASETS, Role
 from .text import dedup_key, has_result_number, phrase_pattern, sentences
 
 
+# A capitalised name before "dataset" or "benchmark", and a link with what is trimmed off its end.
+NAMED = r"\b([A-Z][A-Za-z0-9+\-]{2,20})\s+(?:dataset|benchmark)\b"
+LINK, LINK_TAIL = r"https?://[^\s\]\[)>(]+", ".,;"
+
+
 def occurrences(text: Column, word: str) -> Column:
     """How often a word stands in the text, not overlapping."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
@@ -43,7 +48,7 @@ def dataset_names(text: Column, names, stop=NOT_DATASETS, most=30, any_case=True
     """Known names, and capitalised words before "dataset" or "benchmark"; by lower case, then value."""
     case = "(?iu)" if any_case else ""
     known = F.filter(F.array(*map(F.lit, names)), lambda n: F.lit(False)) if not names else F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(f"{case}(?<![A-Za-z0-9]){re.escape(n)}(?![A-Za-z0-9])")), F.lit(n)) for n in names)), lambda n: n.isNotNull())
-    near = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z0-9+\-]{2,20})\s+(?:dataset|benchmark)\b"), F.lit(1))
+    near = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1))
     near = F.filter(near, lambda t: ~F.lower(t).isin(*stop))
     both = F.array_distinct(F.concat(known, near) if names else near)
     ordered = F.array_sort(F.transform(both, lambda t: F.struct(F.lower(t).alias("low"), t.alias("name"))))
@@ -56,7 +61,7 @@ def metric_names(text: Column, names, any_case=True) -> Column:
 
 
 def links(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s\]\[)>(]+"), F.lit(0)), lambda u: F.rtrim(u, F.lit(".,;")))
+    return F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.rtrim(u, F.lit(LINK_TAIL)))
 
 
 def code_links(text: Column, hosts=CODE_HOSTS, most=12) -> Column:

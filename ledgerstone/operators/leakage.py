@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,9 @@ def overlap_classes(rows: DataFrame, text="text", id_col="doc_id") -> DataFrame:
 
 
 def group_split(rows: DataFrame, group: str, parts=10) -> DataFrame:
-    """Adds split: by a hash of the group, so that no group is in two splits."""
-    return rows.withColumn("split", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(parts)).cast("int"))
+    """Adds split: by the first 32 bits of the group's MD5, so that no group is in two splits and any engine can tell which."""
+    first = F.conv(F.substring(F.md5(F.col(group).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("split", F.pmod(first, F.lit(parts)).cast("int"))
 
 
 def generalisation_gap(scores: DataFrame, threshold: float) -> DataFrame:
@@ -69,5 +70,31 @@ def auroc(rows: DataFrame, truth: str, score: str, bins=1000) -> DataFrame:
     return wins.join(hist.agg(F.sum("p").alias("p"), F.sum("n").alias("n"))).select(F.try_divide("wins", F.col("p") * F.col("n")).alias("auroc"))
 
 
+def auprc(rows: DataFrame, truth: str, score: str, bins=1000) -> DataFrame:
+    """One row: the area under the precision-recall curve as a sum of steps over a histogram of scores. Rows of one bin count as ties."""
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    hist = rows.groupBy(b.alias("b")).agg(F.sum(F.col(truth)).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = hist.select("p", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("all"))
+    return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p")).alias("auprc"))
+
+
+def signal_quality(rows: DataFrame, clean: str, seen: str, peak: float, by=()) -> DataFrame:
+    """mse, snr_db, psnr_db and ssim of a signal against its clean form, for each subgroup. ssim is of whole signals, with the usual constants."""
+    x, y = F.col(clean).cast("double"), F.col(seen).cast("double")
+    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    m = rows.groupBy(*by).agg(F.avg((x - y) * (x - y)).alias("mse"), F.avg(x * x).alias("power"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
+    mx, my = F.col("mx"), F.col("my")
+    ssim = (2 * mx * my + c1) * (2 * F.col("cxy") + c2) / ((mx * mx + my * my + c1) * (F.col("vx") + F.col("vy") + c2))
+    return m.select(*by, "mse", (10 * F.log10(F.col("power") / F.col("mse"))).alias("snr_db"), (10 * F.log10(peak * peak / F.col("mse"))).alias("psnr_db"), ssim.alias("ssim"))
+
+
+def bit_error_rate(rows: DataFrame, sent: str, received: str, width=32, by=()) -> DataFrame:
+    """bits, errors, rate over integers of `width` bits, for each subgroup."""
+    wrong = F.bit_count(F.col(sent).cast("long").bitwiseXOR(F.col(received).cast("long")).bitwiseAND(F.lit((1 << width) - 1)))
+    counts = rows.groupBy(*by).agg((F.count("*") * width).alias("bits"), F.sum(wrong).alias("errors"))
+    return counts.withColumn("rate", F.col("errors") / F.col("bits"))
+
+
 def rmse(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.agg(F.sqrt(F.avg(F.pow(F.col(truth) - F.col(guess), 2))).alias("rmse"))

@@ -75,6 +75,21 @@ def unjustified(registry: DataFrame, higher_is_better=True) -> DataFrame:
     return broken(rows.filter(wrong), "unjustified_decision", F.concat_ws(">", "decision", "expected"))
 
 
+def kept_by_review(registry: DataFrame, reviews: DataFrame, higher_is_better=True) -> DataFrame:
+    """Kept candidates whose review score rose over their parent's while the primary metric did not: campaign, run_id, rule, detail. reviews: run_id, score."""
+    score = reviews.filter("score is not null").groupBy("run_id").agg(F.max("score").alias("score"))
+    kept = gains(registry, higher_is_better).filter((F.col("decision") == "keep") & (F.col("role") == "candidate")).join(score, "run_id")
+    parent = score.select(F.col("run_id").alias("parent_run_id"), F.col("score").alias("before"))
+    rose = kept.join(parent, "parent_run_id", "left").filter((F.col("score") > F.coalesce("before", F.lit(float("-inf")))) & F.coalesce(F.col("gain") <= 0, F.lit(True)))
+    return broken(rose, "kept_by_review_score", F.col("score"))
+
+
+def selection_flags(audits: DataFrame, flags=("label_informed_pruning", "test_set_selection")) -> DataFrame:
+    """campaign, run_id, rule, detail: recorded flags that are set, or that nobody recorded."""
+    found = F.filter(F.array(*(F.struct(F.lit(f).alias("flag"), F.when(F.col(f).isNull(), "not recorded").when(F.col(f), "set").alias("state")) for f in flags)), lambda x: x["state"].isNotNull())
+    return audits.select("campaign", "run_id", F.explode(found).alias("x")).select("campaign", "run_id", F.col("x.flag").alias("rule"), F.col("x.state").alias("detail"))
+
+
 def check_registry(registry: DataFrame, higher_is_better=True) -> DataFrame:
     """campaign, run_id, rule, detail of everything that breaks a rule."""
     found = [*bad_values(registry), duplicate_runs(registry), orphans(registry), late_baselines(registry), scopes_without_baseline(registry), unjustified(registry, higher_is_better)]

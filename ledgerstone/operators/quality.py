@@ -37,22 +37,39 @@ def capped_sum(scores: Column, cap=8) -> Column:
     return F.aggregate(F.map_values(scores), F.lit(0), lambda a, v: (a + F.least(v, F.lit(cap))).cast("int"))
 
 
+# The weights of the scores.
+V1 = {"direct": 1.5, "capped": 0.35, "coverage": 6.0, "density": 0.8, "again": 0.8, "centrality": 4.0}
+V1_EVIDENCE = ("method_claims", "main_results", "ablation_evidence", "experiment_protocol", "limitation_evidence")
+V2 = {"coverage": 7.0, "datasets": 0.6, "code_urls": 1.5, "words": 7000.0, "most_words": 1.5}
+V2_EVIDENCE = {"research_problem": 0.8, "method_claims": 1.0, "experiment_protocol": 0.8, "main_results": 1.0, "ablation_evidence": 0.8, "limitation_evidence": 0.5}
+
+
+def density() -> Column:
+    return sum((F.size(c) for c in V1_EVIDENCE), F.lit(0))
+
+
+def reproducibility() -> Column:
+    return F.least(F.size("datasets"), F.lit(4)) + 2 * F.least(F.size("code_urls"), F.lit(2))
+
+
+def centrality(distance: Column) -> Column:
+    return 1.0 / (1.0 + distance)
+
+
 def v1_score(weights, distance: Column) -> Column:
     """Direct themes, capped themes, coverage, evidence density, reproducibility and centrality."""
     scores = F.col("theme_scores")
-    density = sum((F.size(c) for c in ("method_claims", "main_results", "ablation_evidence", "experiment_protocol", "limitation_evidence")), F.lit(0))
-    again = F.least(F.size("datasets"), F.lit(4)) + 2 * F.least(F.size("code_urls"), F.lit(2))
-    return F.round(1.5 * weighted(scores, weights) + 0.35 * capped_sum(scores) + 6.0 * F.col("section_coverage") + 0.8 * density + 0.8 * again + 4.0 / (1.0 + distance), 4)
+    parts = {"direct": weighted(scores, weights), "capped": capped_sum(scores), "coverage": F.col("section_coverage"), "density": density(), "again": reproducibility(), "centrality": centrality(distance)}
+    return F.round(sum((V1[k] * v for k, v in parts.items()), F.lit(0.0)), 4)
 
 
 def v2_evidence() -> Column:
-    sizes = {"research_problem": 0.8, "method_claims": 1.0, "experiment_protocol": 0.8, "main_results": 1.0, "ablation_evidence": 0.8, "limitation_evidence": 0.5}
     return (
-        7.0 * F.col("section_coverage")
-        + sum((w * F.size(c) for c, w in sizes.items()), F.lit(0.0))
-        + 0.6 * F.least(F.size("datasets"), F.lit(5))
-        + 1.5 * F.least(F.size("code_urls"), F.lit(2))
-        + F.least(F.col("word_count") / 7000.0, F.lit(1.5))
+        V2["coverage"] * F.col("section_coverage")
+        + sum((w * F.size(c) for c, w in V2_EVIDENCE.items()), F.lit(0.0))
+        + V2["datasets"] * F.least(F.size("datasets"), F.lit(5))
+        + V2["code_urls"] * F.least(F.size("code_urls"), F.lit(2))
+        + F.least(F.col("word_count") / V2["words"], F.lit(V2["most_words"]))
     )
 
 

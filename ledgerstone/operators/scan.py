@@ -9,20 +9,25 @@ from ..functions.extract import phrase_scores
 from ..functions.text import phrase_pattern, sentences, strip
 
 
+def ids_of(id_col) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
 def paragraphs(docs: DataFrame, text="text", id_col="doc_id") -> DataFrame:
-    """id, paragraph (from 0), body: blank lines part paragraphs; empty ones are left out."""
-    return docs.select(id_col, F.posexplode(F.split(text, r"\n[ \t]*\n\s*")).alias("paragraph", "body")).withColumn("body", strip(F.col("body"))).filter("body <> ''")
+    """id, paragraph (from 0), body: blank lines part paragraphs; empty ones are left out. id_col: a column or several."""
+    return docs.select(*ids_of(id_col), F.posexplode(F.split(text, r"\n[ \t]*\n\s*")).alias("paragraph", "body")).withColumn("body", strip(F.col("body"))).filter("body <> ''")
 
 
 def phrase_scan(docs: DataFrame, classes: dict[str, tuple[str, ...]], text="text", id_col="doc_id") -> DataFrame:
     """id, paragraph, class, n: how often phrases of a class stand in a paragraph."""
     found = F.array(*(F.struct(F.lit(name).alias("class"), sum((F.regexp_count("body", F.lit(phrase_pattern(p))) for p in words), F.lit(0)).cast("long").alias("n")) for name, words in classes.items()))
-    return paragraphs(docs, text, id_col).select(id_col, "paragraph", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(id_col, "paragraph", "x.*")
+    ids = ids_of(id_col)
+    return paragraphs(docs, text, id_col).select(*ids, "paragraph", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(*ids, "paragraph", "x.*")
 
 
 def repeated_openers(docs: DataFrame, least=3, share=0.5, text="text", id_col="doc_id") -> DataFrame:
     """id, paragraph, opener, n, of: paragraphs in which at least `share` of `least` or more sentences begin with the same word."""
-    first = F.transform(sentences(F.col("body"), 1, 100_000), lambda s: F.lower(F.regexp_extract(s, r"(?U)\A\W*(\w+)", 1)))
+    first = F.transform(sentences(F.col("body"), 1, None), lambda s: F.lower(F.regexp_extract(s, r"(?U)\A\W*(\w+)", 1)))
     opened = paragraphs(docs, text, id_col).select(id_col, "paragraph", F.explode(first).alias("opener"))
     counted = opened.groupBy(id_col, "paragraph", "opener").agg(F.count("*").alias("n"))
     best = counted.groupBy(id_col, "paragraph").agg(F.min(F.struct((-F.col("n")).alias("minus"), "opener")).alias("best"), F.sum("n").alias("of"))

@@ -1,6 +1,7 @@
 """Selection of exactly n rows: by stratum, by sequential quotas, round robin. Inputs are narrow: id, title, stratum, score, themes.
 
-All orders are total: score falling, lower-case title, id.
+All orders are total: score falling, lower-case title, id. A selection that reads its input more than once writes the narrow columns to the
+shared folder first, so that texts are scored once. No window sees more than n rows of a stratum or theme from any task.
 """
 
 from __future__ import annotations
@@ -10,15 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Quota
+from ..sources.work import materialise
 
 
 def order(id_col="doc_id"):
     return [F.desc("score"), F.lower("title"), F.col(id_col)]
 
 
-def ranked(rows: DataFrame, id_col="doc_id") -> DataFrame:
-    """Adds place: the row's rank within its stratum."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(*order(id_col))))
+def settled(rows: DataFrame, id_col="doc_id") -> DataFrame:
+    """The narrow columns, written once."""
+    return rows if hasattr(rows, "ledgerstone_path") else materialise(rows.select(id_col, "title", "stratum", "score", "themes"), "narrow")
+
+
+def ranked(rows: DataFrame, most: int, id_col="doc_id") -> DataFrame:
+    """Adds place: the row's rank within its stratum; the `most` first of each stratum stay."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(*order(id_col)))).filter(F.col("place") <= most)
 
 
 def stratum_quotas(rows: DataFrame, n: int, strata: int | None = None) -> DataFrame:
@@ -31,7 +38,8 @@ def stratum_quotas(rows: DataFrame, n: int, strata: int | None = None) -> DataFr
 
 def stratified(rows: DataFrame, n: int, strata: int | None = None, id_col="doc_id") -> DataFrame:
     """The best of each stratum up to its quota."""
-    return ranked(rows, id_col).join(F.broadcast(stratum_quotas(rows, n, strata)), "stratum").filter(F.col("place") <= F.col("quota")).drop("place", "quota")
+    rows = settled(rows, id_col)
+    return ranked(rows, n, id_col).join(stratum_quotas(rows, n, strata), "stratum").filter(F.col("place") <= F.col("quota")).drop("place", "quota")
 
 
 def fill(rows: DataFrame, chosen: DataFrame, n: int, id_col="doc_id") -> DataFrame:
@@ -41,29 +49,43 @@ def fill(rows: DataFrame, chosen: DataFrame, n: int, id_col="doc_id") -> DataFra
     return chosen.unionByName(rest.select(*chosen.columns))
 
 
-def v1_selection(rows: DataFrame, n: int, strata: int | None = None, id_col="doc_id") -> DataFrame:
-    """Stratified, then filled; selected_rank by score, stratum, title, id."""
-    both = fill(rows, stratified(rows, n, strata, id_col), n, id_col)
+def exactly(chosen: DataFrame, n: int) -> DataFrame:
+    """chosen, or an error if it hasn't n rows."""
+    found = chosen.count()
+    if found != n:
+        raise ValueError(f"{found} rows are selected; {n} are needed")
+    return chosen
+
+
+def v1_selection(rows: DataFrame, n: int, strata: int | None = None, id_col="doc_id", whole=False) -> DataFrame:
+    """Stratified, then filled; selected_rank by score, stratum, title, id. whole: fails if there are fewer than n rows."""
+    rows = settled(rows, id_col)
+    both = fill(rows, materialise(stratified(rows, n, strata, id_col), "chosen"), n, id_col)
     final = [F.desc("score"), F.col("stratum"), F.lower("title"), F.col(id_col)]
-    return both.orderBy(*final).limit(n).withColumn("selected_rank", F.row_number().over(Window.orderBy(*final)))
+    out = both.orderBy(*final).limit(n).withColumn("selected_rank", F.row_number().over(Window.orderBy(*final)))
+    return exactly(materialise(out, "selected"), n) if whole else out
 
 
 def sequential_quotas(rows: DataFrame, quotas: tuple[Quota, ...], id_col="doc_id") -> DataFrame:
     """Quotas in order of priority; a theme's members picked for earlier themes count. phase, step: in which order rows were picked.
 
-    Each step takes at most a quota, so that what the driver holds is bounded by the sum of quotas.
+    A quota's picks are among its theme's first rows, as many as all quotas so far: one pass finds those of every theme, and the driver, which holds
+    for each theme at most as many rows as all quotas add up to, picks. The number of documents has no part in it.
     """
-    spark, picked, theme_of = rows.sparkSession, [], {}
+    spark, most = rows.sparkSession, sum(q.quota for q in quotas)
     narrow = rows.select(id_col, "title", "stratum", "score", "themes")
     schema = narrow.schema
+    member = narrow.withColumn("theme", F.explode(F.array_intersect("themes", F.array(*(F.lit(q.theme) for q in quotas)))))
+    place = F.row_number().over(Window.partitionBy("theme").orderBy(*order(id_col)))
+    first: dict[str, list] = {q.theme: [] for q in quotas}
+    if quotas:
+        for r in member.withColumn("place", place).filter(F.col("place") <= most).orderBy("theme", "place").collect():
+            first[r["theme"]].append(r)
+    picked, theme_of = [], {}
     for phase, q in enumerate(quotas, 1):
-        have = sum(q.theme in theme_of[i] for i in theme_of)
-        if have >= q.quota:
-            continue
-        members = narrow.filter(F.array_contains("themes", q.theme))
-        if theme_of:
-            members = members.join(F.broadcast(spark.createDataFrame([(i,) for i in theme_of], [id_col])), id_col, "left_anti")
-        for step, r in enumerate(members.orderBy(*order(id_col)).limit(q.quota - have).collect(), 1):
+        have = sum(q.theme in themes for themes in theme_of.values())
+        free = [r for r in first[q.theme] if r[id_col] not in theme_of]
+        for step, r in enumerate(free[: max(0, q.quota - have)], 1):
             theme_of[r[id_col]] = set(r["themes"])
             picked.append((*(r[c] for c in schema.names), phase, step))
     return spark.createDataFrame(picked, StructType([*schema.fields, StructField("phase", IntegerType()), StructField("step", IntegerType())]))
@@ -71,18 +93,19 @@ def sequential_quotas(rows: DataFrame, quotas: tuple[Quota, ...], id_col="doc_id
 
 def round_robin(rows: DataFrame, n: int, id_col="doc_id") -> DataFrame:
     """n rows, one of each stratum in turn, the largest stratum first: by rank within the stratum, then the stratum's ordinal."""
+    rows = settled(rows, id_col)
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("size")).withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("size"), "stratum"))).drop("size")
-    dealt = ranked(rows, id_col).join(F.broadcast(sizes), "stratum")
-    chosen = dealt.orderBy("place", "ordinal").limit(n)
+    chosen = ranked(rows, n, id_col).join(sizes, "stratum").orderBy("place", "ordinal").limit(n)
     return chosen.withColumn("step", F.row_number().over(Window.orderBy("place", "ordinal"))).drop("place", "ordinal")
 
 
 def v2_selection(rows: DataFrame, n: int, quotas: tuple[Quota, ...], id_col="doc_id") -> DataFrame:
     """Quotas, then round robin. selected_rank: in order of insertion; score_rank: by score. Fails if fewer than n rows are there."""
+    rows = settled(rows, id_col)
     if rows.count() < n:
         raise ValueError(f"fewer than {n} eligible rows")
     by_quota = sequential_quotas(rows, quotas, id_col)
-    left = rows.select(id_col, "title", "stratum", "score", "themes").join(F.broadcast(by_quota.select(id_col)), id_col, "left_anti")
+    left = materialise(rows.join(by_quota.select(id_col), id_col, "left_anti"), "left")
     turn = round_robin(left, max(0, n - by_quota.count()), id_col).withColumn("phase", F.lit(len(quotas) + 1))
     both = by_quota.unionByName(turn.select(*by_quota.columns)).orderBy("phase", "step").limit(n)
     return both.withColumn("selected_rank", F.row_number().over(Window.orderBy("phase", "step"))).withColumn("score_rank", F.row_number().over(Window.orderBy(*order(id_col))))

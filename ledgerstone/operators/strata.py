@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import materialise
+
 
 def terms(docs: DataFrame, text: str, stop=(), id_col="doc_id") -> DataFrame:
     """id, term, tf: words of two or more word characters that aren't stop words, and pairs of neighbours among them. Counted inside a row: ids are unique."""
@@ -25,7 +27,7 @@ def tfidf(docs: DataFrame, text: str, features=40_000, min_df=2, max_df=0.92, st
     n = docs.agg(F.count("*").alias("docs"))
     known = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     known = known.orderBy(F.desc("total"), "term").limit(features).withColumn("idf", 1 + F.log((1 + F.col("docs")) / (1 + F.col("df"))))
-    known = known.select("term", "idf", F.row_number().over(Window.orderBy(F.desc("total"), "term")).alias("place")).persist()
+    known = materialise(known.select("term", "idf", F.row_number().over(Window.orderBy(F.desc("total"), "term")).alias("place")), "terms")
     raw = (1 + F.log("tf")) * F.col("idf")
     held = found.join(F.broadcast(known), "term").groupBy(id_col).agg(F.collect_list(F.struct("place", "tf")).alias("held"), F.sqrt(F.sum(raw * raw)).alias("length"))
     held = held.select(id_col, "length", F.explode("held").alias("h")).select(id_col, "length", "h.place", "h.tf")
@@ -43,7 +45,7 @@ def project(weights: DataFrame, dims=160, seed=3407, id_col="doc_id") -> DataFra
 
 def cluster(vectors: DataFrame, k: int, tries=1, rounds=20, seed=3407, id_col="doc_id") -> DataFrame:
     """id, cluster_id, distance to the own centroid; of several tries the one of least cost. Labels differ between libraries: only their invariants can be relied on."""
-    vectors = vectors.persist()
+    vectors = materialise(vectors, "vectors")
     k = min(k, vectors.select(F.xxhash64(vector_to_array("features"))).distinct().count())  # centres must differ
     if k < 2:
         return vectors.select(id_col, F.lit(0).alias("cluster_id"), F.lit(0.0).alias("distance"))
@@ -51,7 +53,7 @@ def cluster(vectors: DataFrame, k: int, tries=1, rounds=20, seed=3407, id_col="d
     model = min(models, key=lambda m: m.summary.trainingCost)
     spark = vectors.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, centre array<double>")
-    out = model.transform(vectors).join(F.broadcast(centres), "cluster_id")
+    out = model.transform(vectors).join(centres, "cluster_id")
     return out.select(id_col, "cluster_id", euclid(vector_to_array("features"), F.col("centre")).alias("distance"))
 
 
@@ -63,7 +65,7 @@ def centroid_distances(rows: DataFrame, vector: str, label: str, id_col: str) ->
     """id, label, distance of each vector to the mean of its label."""
     parts = rows.select(label, F.posexplode(vector).alias("at", "v")).groupBy(label, "at").agg(F.avg(F.col("v").cast("double")).alias("mean"))
     centres = parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("centre"))
-    return rows.join(F.broadcast(centres), label).select(id_col, label, euclid(F.transform(vector, lambda x: x.cast("double")), F.col("centre")).alias("distance"))
+    return rows.join(centres, label).select(id_col, label, euclid(F.transform(vector, lambda x: x.cast("double")), F.col("centre")).alias("distance"))
 
 
 def largest_share(labels: DataFrame) -> DataFrame:

@@ -31,6 +31,28 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
 
 
+LABEL = "extracted by a machine; claims that matter need a second pass by a person"
+
+
+def quality_summary(selected: DataFrame, sources: int, parsed: int, eligible: int, failed: int, quotas=()) -> dict:
+    """What the quality file says: counts along the way, the selection's least and median length, quotas wanted and met, rows by stratum."""
+    size = measures(selected, "word_count").first()
+    met = selected.agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("themes", q.theme)).alias(f"q{i}") for i, q in enumerate(quotas))).first()
+    return {
+        "sources": sources,
+        "parsed": parsed,
+        "eligible": eligible,
+        "selected": size["n"],
+        "word_count_least": size["least"],
+        "word_count_median": size["median"],
+        "quotas": {q.theme: q.quota for q in quotas},
+        "quotas_met": {q.theme: met[f"q{i}"] for i, q in enumerate(quotas)},
+        "strata": {str(r["cluster_id"]): r["n"] for r in histogram(selected, "cluster_id").collect()},
+        "failed": failed,
+        "integrity": LABEL,
+    }
+
+
 def summary(selected: DataFrame, parsed: int, failed: int) -> dict:
     """What the summary file says. Labels say that a machine made it and nobody read the texts."""
     size = measures(selected, "word_count").first().asDict()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Audit, roles
 from ..functions import extract, text
 from ..operators import quality, sections, select, strata
+from ..sources.work import materialise
 
 
 def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
@@ -44,7 +48,7 @@ def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
         F.array_sort(F.map_keys(parsed)).alias("section_names"),
         F.round(sections.coverage(parsed), 3).alias("section_coverage"),
         scorer(F.col("title"), body, audit.lexicon).alias("theme_scores"),
-        extract.dataset_names(head, audit.datasets).alias("datasets"),
+        extract.dataset_names(head, audit.datasets, audit.not_datasets).alias("datasets"),
         (extract.metric_names(head, audit.metrics) if audit.metrics else F.expr("cast(array() as array<string>)")).alias("metrics"),
         extract.code_links(head).alias("code_urls"),
         *(extract.evidence(role_text(r), r).alias(r.name) for r in roles(audit.phrases)),
@@ -57,9 +61,11 @@ def feature_text(rows: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.concat_ws(" ", "title", "abstract_excerpt", F.array_join(evidence, " ")).alias("features"))
 
 
-def with_strata(rows: DataFrame, audit: Audit, tries=1) -> DataFrame:
-    weights = strata.tfidf(feature_text(rows), "features", id_col="paper_id")
-    found = strata.cluster(strata.project(weights, seed=audit.seed, id_col="paper_id"), audit.strata, tries, seed=audit.seed, id_col="paper_id")
+def with_strata(rows: DataFrame, audit: Audit, tries=20, rounds=300, **options) -> DataFrame:
+    """rows with cluster_id and distance; -1 and 0 where a record has no known term. options: what tfidf() takes."""
+    stop = audit.stop_words if audit.stop_words is not None else tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    weights = strata.tfidf(feature_text(rows), "features", stop=stop, id_col="paper_id", **options)
+    found = strata.cluster(strata.project(weights, seed=audit.seed, id_col="paper_id"), audit.strata, tries, rounds, seed=audit.seed, id_col="paper_id")
     return rows.join(found, "paper_id", "left").withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "distance": F.coalesce("distance", F.lit(0.0))})
 
 
@@ -67,19 +73,23 @@ def narrow(rows: DataFrame) -> DataFrame:
     return rows.select("paper_id", "title", F.col("cluster_id").alias("stratum"), F.col("selection_score").alias("score"), "themes")
 
 
-def v2(parsed: DataFrame, audit: Audit) -> DataFrame:
-    """Quality gate, strata, capped scores, quotas, round robin. parsed: records, materialised. Ranks are those of insertion; score_rank is beside them."""
-    ok = with_strata(quality.gate(parsed, audit.least_words, audit.least_coverage), audit).withColumn("selection_score", quality.v2_score(audit.direct))
-    chosen = select.v2_selection(narrow(ok), audit.target, audit.quotas, "paper_id")
-    return ok.join(F.broadcast(chosen.select("paper_id", "selected_rank", "score_rank")), "paper_id")
+# Features, the largest share of documents a term may be in, starts and rounds of k-means, for the first and the second audit.
+V1_STRATA = {"features": 30_000, "max_df": 1.0, "tries": 10, "rounds": 150}
+V2_STRATA = {"features": 40_000, "max_df": 0.92, "tries": 20, "rounds": 300}
 
 
-def v1(parsed: DataFrame, audit: Audit) -> DataFrame:
-    """No gate; strata of all records, uncapped scores with centrality, quotas by stratum, then the best of the rest."""
-    from dataclasses import replace
+def v2(parsed: DataFrame, audit: Audit, **options) -> DataFrame:
+    """Quality gate, strata, capped scores, quotas, round robin. parsed: records, materialised. Ranks are those of insertion; score_rank is beside them. options replace V2_STRATA's."""
+    ok = with_strata(quality.gate(parsed, audit.least_words, audit.least_coverage), audit, **V2_STRATA | options).withColumn("selection_score", quality.v2_score(audit.direct))
+    ok = materialise(ok, "eligible")
+    chosen = select.v2_selection(narrow(ok), audit.target, audit.quotas, "paper_id")
+    return ok.join(chosen.select("paper_id", "selected_rank", "score_rank"), "paper_id")
+
 
+def v1(parsed: DataFrame, audit: Audit, **options) -> DataFrame:
+    """No gate; strata of all records, uncapped scores with centrality, quotas by stratum, then the best of the rest. Fails if the result isn't audit.target rows. options replace V1_STRATA's."""
     k = min(50, max(20, parsed.count() // 45))
-    ok = with_strata(parsed, replace(audit, strata=k))
-    ok = ok.withColumn("selection_score", quality.v1_score(audit.direct, F.col("distance")))
-    chosen = select.v1_selection(narrow(ok), audit.target, k, "paper_id")
-    return ok.join(F.broadcast(chosen.select("paper_id", "selected_rank")), "paper_id")
+    ok = with_strata(parsed, replace(audit, strata=k), **V1_STRATA | options)
+    ok = materialise(ok.withColumn("selection_score", quality.v1_score(audit.direct, F.col("distance"))), "scored")
+    chosen = select.v1_selection(narrow(ok), audit.target, k, "paper_id", whole=True)
+    return ok.join(chosen.select("paper_id", "selected_rank"), "paper_id")

@@ -41,6 +41,7 @@ def values_sql(columns, rows):
 # --- texts ---------------------------------------------------------------------------------------------------------------------------
 
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(0), ' '), chr(13), chr(10)), '-\n([a-z])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))"
+BROAD = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 COMPACT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 SENTENCES = rf"""sent AS (SELECT doc_id, title, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS place FROM (
   SELECT doc_id, 'document ' || doc_id AS title, list_filter(list_transform(string_split(regexp_replace({COMPACT}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || '•-')), lambda x: length(x) BETWEEN 35 AND 600) AS s FROM documents))"""
@@ -137,7 +138,8 @@ def page_links(spark, d):
 # --- gates and selections ----------------------------------------------------------------------------------------------------------------
 
 
-def quality_gate(spark, d):
+def labelled_quality(spark, d):
+    """Documents labelled as good and not toxic with 300 words or more; the audit's own gate is gated_records."""
     rows = documents(spark, d).select("doc_id", text.word_count(F.col("text")).alias("words"))
     return rows.join(table(spark, d, "labels").filter("quality = 1 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").filter("words >= 300")
 
@@ -288,7 +290,7 @@ def overlap_classes(spark, d):
 
 
 def phrase_scan(spark, d):
-    return scan.phrase_scan(table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text")), {"english": ("the", "of"), "german": ("der", "die")}, id_col="conv_id")
+    return scan.phrase_scan(table(spark, d, "conversations"), {"english": ("the", "of"), "german": ("der", "die")}, id_col=("conv_id", "turn"))
 
 
 def repeated_openers(spark, d):
@@ -296,7 +298,7 @@ def repeated_openers(spark, d):
 
 
 def routing(spark, d):
-    return scan.route(table(spark, d, "benchmark"), PHRASES, id_col="item_id")
+    return scan.route(table(spark, d, "documents"), PHRASES)
 
 
 # --- ledgers ---------------------------------------------------------------------------------------------------------------------------------
@@ -388,7 +390,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text_stats, content_checksums, duplicate_texts, sentence_lengths, number_sentences, lexicon_scores, phrase_theme_scores, active_themes, theme_frequency, evidence_top, metric_entities, page_links,
-        quality_gate, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, tfidf_documents, semantic_strata, centroid_distance,
+        labelled_quality, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, tfidf_documents, semantic_strata, centroid_distance,
         split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, overlap_classes, phrase_scan, repeated_openers, routing, registry_checks, best_runs, decision_tally, claim_checks, review_triage, gate_report,
     )
 }
@@ -406,7 +408,7 @@ ORACLES = {
     "evidence_top": EVIDENCE,
     "metric_entities": r"SELECT * FROM (SELECT doc_id, array_to_string(list_filter(['Apache', 'version', 'License'], lambda n: regexp_matches(text, '(?i)\b' || n || '\b')), ',') AS names FROM documents) WHERE names <> ''",
     "page_links": r"SELECT DISTINCT page_id, rtrim(unnest(regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\s\]\[)>(]+')), '.,;') AS link FROM pages",
-    "quality_gate": r"SELECT doc_id, len(regexp_split_to_array(trim(text), '\s+'))::BIGINT AS words FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AND words >= 300",
+    "labelled_quality": r"SELECT doc_id, len(regexp_split_to_array(trim(text), '\s+'))::BIGINT AS words FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AND words >= 300",
     "direct_scores": f"WITH {CANDIDATES} SELECT doc_id, score FROM cand",
     "direct_relevance": f"WITH {THEMES} SELECT doc_id FROM themes WHERE spanish > 0 OR french > 1 OR english > 0 AND german > 0",
     "stratified_topk": V1.format(quota=f"(SELECT {TARGET} // count(*) FROM sizes)", rest=f"(SELECT {TARGET} % count(*) FROM sizes)") + " SELECT doc_id, stratum, score FROM base",
@@ -424,6 +426,8 @@ SELECT doc_id, stratum, score, (row_number() OVER (ORDER BY score DESC, stratum,
 c AS (SELECT label, i, avg(v) AS m FROM p GROUP BY ALL)
 SELECT vec_id, label, round(sqrt(sum((v - m) * (v - m))), 4) AS distance FROM p JOIN c USING (label, i) GROUP BY vec_id, label""",
     "split_leakage": "SELECT user_id, count(DISTINCT event_id % 3) AS splits, count(*) AS n FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 3) > 1",
+    "group_splits": "SELECT (('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 10)::INT AS split, count(*) AS users FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1",
+    "routing": f"WITH {LONG_THEMES}, o AS (SELECT doc_id, theme, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, theme) AS i FROM long WHERE n > 0) SELECT d.doc_id, max(theme) FILTER (i = 1) AS primary, max(theme) FILTER (i = 2) AS secondary FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id",
     "task_metrics": """SELECT lang, count(*) FILTER (quality = 1 AND s >= 0.5) AS tp, count(*) FILTER (quality <> 1 AND s >= 0.5) AS fp, count(*) FILTER (quality = 1 AND s < 0.5) AS fn, count(*) FILTER (quality <> 1 AND s < 0.5) AS tn
 FROM (SELECT lang, quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS s FROM labels JOIN documents USING (doc_id)) GROUP BY lang""",
     "calibration_bins": "SELECT least(floor(s * 10), 9)::INT AS bin, count(*) AS n, round(avg(quality), 6) AS observed FROM (SELECT quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS s FROM labels JOIN documents USING (doc_id)) GROUP BY 1",

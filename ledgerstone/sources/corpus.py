@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decoded, title_from_path
+from ..functions.text import decoded, strip, title_from_path
 from ..schemas import REGISTRY
 
 
-def text_files(spark: SparkSession, root: str, glob="*.txt") -> DataFrame:
-    """Text files below root, at any depth: source_path, doc_id, title, text (invalid bytes replaced), content_sha256 (of the raw bytes), intact.
+def text_files(spark: SparkSession, root: str, glob="*.txt", keep_bytes=False) -> DataFrame:
+    """Text files below root, at any depth: source_path, doc_id, title, text (invalid bytes replaced), content_sha256 (of the raw bytes), intact; content if keep_bytes.
 
     A missing root fails. Ids come from the files' folders. Order isn't kept: sort by source_path where it matters.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     doc_id, title = title_from_path(F.col("path"))
-    return raw.select(F.col("path").alias("source_path"), doc_id.alias("doc_id"), title.alias("title"), decoded(F.col("content")).alias("text"), F.sha2("content", 256).alias("content_sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("intact"))
+    return raw.select(F.col("path").alias("source_path"), doc_id.alias("doc_id"), title.alias("title"), decoded(F.col("content")).alias("text"), F.sha2("content", 256).alias("content_sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("intact"), *(["content"] if keep_bytes else []))
 
 
 def unique_ids(docs: DataFrame, id_col="doc_id") -> DataFrame:
@@ -35,9 +35,18 @@ def at_least(docs: DataFrame, n: int) -> DataFrame:
 
 
 def dead_letters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be used, and the others with an error: null or empty texts."""
-    bad = F.col("text").isNull() | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
-    return docs.filter(~bad), docs.filter(bad).select("source_path", F.when(F.col("text").isNull(), "no text").otherwise("empty text").alias("error"))
+    """Rows that can be used, and the others with what is wrong: no id, no title, a null text, a text of blanks only."""
+    blank = lambda c: F.length(strip(F.coalesce(c, F.lit("")))) == 0
+    tests = {"text": [(F.col("text").isNull(), "no text"), (blank("text"), "empty text")], "doc_id": [(blank(F.col("doc_id").cast("string")), "no id")], "title": [(blank("title"), "no title")]}
+    error = F.coalesce(*(F.when(test, said) for column, some in tests.items() if column in docs.columns for test, said in some))
+    marked = docs.withColumn("error", error)
+    return marked.filter("error is null").drop("error"), marked.filter("error is not null").select("source_path", "error")
+
+
+def watched(docs: DataFrame, progress: Observation) -> DataFrame:
+    """docs, which tell progress, while they are read, how many rows and characters came and how many rows were not valid UTF-8. No pass of its own."""
+    damaged = [F.count_if(~F.col("intact")).alias("damaged")] if "intact" in docs.columns else []
+    return docs.observe(progress, F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"), *damaged)
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

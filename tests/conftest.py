@@ -26,12 +26,24 @@ def spark():
     return session
 
 
-@pytest.fixture(scope="session")
-def duck():
+def views(folder):
     import duckdb
-    from helpers import DATA
 
     con = duckdb.connect()
-    for name in "events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    for name in "orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    from helpers import DATA
+
+    return views(DATA)
+
+
+@pytest.fixture(scope="session")
+def larger():
+    from helpers import DATA
+
+    return views(DATA.replace("0.001", "0.01"))

@@ -1,9 +1,13 @@
+import hashlib
+import json
 import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerstone.config import Audit, Quota, Role, Weight
@@ -102,22 +106,33 @@ def write_corpus(root, n=12):
 
 def test_audit_end_to_end(spark, tmp_path):
     write_corpus(tmp_path / "in")
-    docs = corpus.unique_ids(corpus.at_least(corpus.text_files(spark, str(tmp_path / "in")), 6)).cache()
+    progress = Observation("scan")
+    docs = corpus.unique_ids(corpus.at_least(corpus.text_files(spark, str(tmp_path / "in"), keep_bytes=True), 6)).cache()
+    assert corpus.watched(docs, progress).count() == 12 and progress.get["rows"] == 12 and progress.get["damaged"] == 1
     assert docs.filter("not intact").count() == 1
     good, bad = corpus.dead_letters(docs)
     parsed = audit.records(good, AUDIT).cache()
     row = parsed.filter("paper_id = '001'").first()
     assert row["section_names"] == ["abstract", "conclusion", "experiments", "method"] and row["section_coverage"] == 0.8
     assert row["datasets"] == ["KITTI"] and row["themes"] == ["a", "b"] and row["main_results"]
-    chosen = audit.v2(parsed, AUDIT).cache()
+    chosen = audit.v2(parsed, AUDIT, tries=2, rounds=20).cache()
     assert sorted(r["selected_rank"] for r in chosen.collect()) == list(range(1, 7))
     assert chosen.select("paper_id").distinct().count() == 6
-    first = audit.v1(parsed, AUDIT)
+    first = audit.v1(parsed, AUDIT, tries=2, rounds=20)
     assert sorted(r["selected_rank"] for r in first.collect()) == list(range(1, 7))
-    found = sinks.write_outputs(parsed, chosen, docs, str(tmp_path / "out"), bad)
+    (tmp_path / "out" / "old").mkdir(parents=True)
+    found = sinks.write_outputs(parsed, chosen, docs, str(tmp_path / "out"), bad, AUDIT.quotas, 12, quality.directly_relevant(F.col("theme_scores"), strong=("b",)))
+    assert not (tmp_path / "out/old").exists()
     assert found["selected"] == 6 and not found["human_reading_claimed"]
     assert spark.read.csv(str(tmp_path / "out/registry.csv"), header=True).columns == sinks.CSV_COLUMNS
-    assert spark.read.text(str(tmp_path / "out/checksums")).count() == 6
+    sums = [r["value"].split("  ") for r in spark.read.text(str(tmp_path / "out/checksums")).collect()]
+    assert len(sums) == 6 and all(hashlib.sha256((tmp_path / "out" / name).read_bytes()).hexdigest() == want for want, name in sums)
+    checked = json.loads((tmp_path / "out/quality.json").read_text())
+    assert checked["selected"] == 6 and checked["quotas"] == {"a": 2, "b": 2} and checked["eligible"] == 12 and checked["word_count_least"] > 20
+    direct = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/direct.jsonl")).collect()]
+    assert direct and all("b" in r["themes"] for r in direct) and [r["selection_score"] for r in direct] == sorted((r["selection_score"] for r in direct), reverse=True)
+    with pytest.raises(ValueError):
+        audit.v1(parsed, replace(AUDIT, target=13), tries=1, rounds=5)
     assert (tmp_path / "out/summary.json").exists() and "Integrity" in (tmp_path / "out/report.md").read_text()
 
 
