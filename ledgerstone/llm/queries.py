@@ -20,4 +20,5 @@ ORACLES = {
     "op1_warc": warc.ORACLE,
     "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_secrets": secrets.ORACLE,
 }

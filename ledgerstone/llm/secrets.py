@@ -43,10 +43,11 @@ MORE = (
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
-SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+SPANS = "array<struct<rule:string,start:int,end:int>>"  # in the ledger: each span says which version of which rule found it
+FOUND = "array<struct<start:int,ord:int,kind:string,end:int>>"  # as callers see them; ord: the rule's place among the rules asked for
 
 
-def spans(text: Column, rule: Rule, ord_: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches in code points. The pieces between matches and the matches tell where each begins."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
@@ -61,7 +62,7 @@ def spans(text: Column, rule: Rule, ord_: int) -> Column:
     def step(acc, x):
         start = acc["at"] + x["s"]["gap"]
         end = (start + x["s"]["n"]).cast("int")
-        one = F.array(F.struct(start.cast("int").alias("start"), F.lit(ord_).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        one = F.array(F.struct(F.lit(rule.name).alias("rule"), start.cast("int").alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["k"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
     walked = F.aggregate(F.zip_with(sizes, kept, lambda s, k: F.struct(s.alias("s"), k.alias("k"))), begin, step, lambda acc: acc["found"])
@@ -98,37 +99,46 @@ def update(texts: DataFrame, ledger: str, rules=RULES, text_col="text") -> DataF
         partly = known.join(complete.select("blob"), "blob", "left_anti")
         todo = blobs.join(complete.select("blob"), "blob", "left_anti").dropDuplicates(["blob"]).join(partly, "blob", "left").withColumn("seen", F.coalesce("seen", none_seen))
     due = F.array_except(F.array(*map(F.lit, names)), "seen")
-    found = F.concat(*(F.when(F.array_contains("due", r.name), spans(F.col("text"), r, i)).otherwise(F.expr(f"cast(array() as {SPANS})")) for i, r in enumerate(rules)))
+    found = F.concat(*(F.when(F.array_contains("due", r.name), spans(F.col("text"), r)).otherwise(F.expr(f"cast(array() as {SPANS})")) for r in rules))
     todo.withColumn("due", due).select("blob", F.col("due").alias("rules"), found.alias("found")).write.mode("append").parquet(ledger)
     return read_ledger(spark, ledger)
 
 
+def findings(whole: DataFrame, rules=RULES) -> DataFrame:
+    """blob, found: what just these rule versions found in each blob of a ledger, by start, then rule. Blobs without findings are left out."""
+    names = F.array(*(F.lit(r.name) for r in rules))
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    place = lambda x: F.array_position(names, x["rule"]).cast("int")
+    hits = whole.filter(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    own = F.filter("found", lambda x: place(x) > 0)
+    seen = F.transform(own, lambda x: F.struct(x["start"].alias("start"), (place(x) - 1).alias("ord"), F.element_at(kinds, place(x)).alias("kind"), x["end"].alias("end")))
+    return hits.select("blob", F.array_sort(seen).alias("found")).filter(F.size("found") > 0)
+
+
 def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, found (spans by start, then rule) for every row of docs, through the ledger at that path (a new one if None).
 
-    Repeated rows and equal texts share a blob and each get its findings; a null text has none; a null id is kept. No rows give no rows.
-    Only the id and text columns are read. Only findings of the given rule versions are returned.
+    Repeated rows and equal texts share a blob and each get its findings, and so do all versions of a path that are given as rows; a null text has
+    none; a null id is kept. No rows give no rows. Only the id and text columns are read; others, whatever their names, are ignored. Only findings
+    of the given rule versions are returned, in whatever order they were once run. Texts are scanned whole.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
-    whole = update(own, ledger or work_path(spark, "ledger"), rules).filter(F.size(F.array_intersect("rules", F.array(*(F.lit(r.name) for r in rules)))) > 0)
-    hits = whole.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    hits = hits.withColumn("found", F.filter("found", lambda x: F.array_contains(kinds, x["kind"])))
-    return own.select("doc_id", digest(F.col("text")).alias("blob")).join(hits, "blob", "left").select("doc_id", F.coalesce("found", F.expr(f"cast(array() as {SPANS})")).alias("found"))
+    hits = findings(update(own, ledger or work_path(docs.sparkSession, "ledger"), rules), rules)
+    return own.select("doc_id", digest(F.col("text")).alias("blob")).join(hits, "blob", "left").select("doc_id", F.coalesce("found", F.expr(f"cast(array() as {FOUND})")).alias("found"))
 
 
 def spell(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark="[SECRET]", ledger: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
-    """docs with every span found replaced by mark; overlapping spans become one. Columns and rows stay; texts without findings are untouched."""
-    spark = docs.sparkSession
-    whole = update(docs, ledger or work_path(spark, "ledger"), RULES, text_col)
-    hits = whole.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), digest(F.col(text_col)).alias("blob")).join(hits, "blob", "left")
-    text = F.col(f"row.{text_col}")
+def redact(docs: DataFrame, mark="[SECRET]", ledger: str | None = None, id_col="doc_id", text_col="text", rules=RULES) -> DataFrame:
+    """docs with every span that the rules find replaced by mark; overlapping spans become one. Columns, whatever their names, and rows stay.
+
+    Null texts stay null, texts without findings are untouched, repeated rows are treated alike, texts are read whole; no rows give none.
+    """
+    hits = findings(update(docs, ledger or work_path(docs.sparkSession, "ledger"), rules, text_col), rules)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest(F.col(f"`{text_col}`")).alias("blob")).join(hits, "blob", "left")
+    text = F.col(f"row.`{text_col}`")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -146,3 +156,20 @@ def op10_secrets(spark, sf_dir):
     base = F.filter(found, lambda x: x["ord"] < len(BASE))
     count = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scan(table(spark, sf_dir, "documents")).select("doc_id", *(count(r.kind) for r in BASE), F.sha2(spell(base), 256).alias("base_sha256"), spell(found).alias("spans"))
+
+
+def _sql(rule: Rule) -> str:
+    """The rule's spans in DuckDB SQL: doc_id, kind, ord, start, stop. Matches begin a run, so that what stands before one needs no test."""
+    i, pattern = RULES.index(rule), rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")
+    kept = f"length(regexp_extract(m, '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+    return f"""SELECT doc_id, row_id, '{rule.kind}' AS kind, {i} AS ord, beg AS start, beg + length(m) AS stop FROM (
+  SELECT doc_id, row_id, m, place, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY row_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM (
+    SELECT doc_id, row_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(list_slice(regexp_split_to_array(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}')))) AS gap, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS place
+    FROM d WHERE regexp_matches(text, '{pattern}')) WINDOW w AS (PARTITION BY row_id ORDER BY place)) WHERE {kept}"""
+
+
+_SPELT = "kind || ':' || start::BIGINT || ':' || stop::BIGINT"
+ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_id FROM documents),
+s AS ({' UNION ALL '.join(map(_sql, RULES))}),
+g AS (SELECT row_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)}, string_agg({_SPELT}, ',' ORDER BY start, ord) FILTER (ord < {len(BASE)}) AS base, string_agg({_SPELT}, ',' ORDER BY start, ord) AS spans FROM s GROUP BY row_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row_id)"""
