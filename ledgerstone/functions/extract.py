@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CODE_HOSTS, NOT_DATASETS, Role
-from .text import dedup_key, has_result_number, phrase_pattern, sentences
+from .text import dedup_key, has_result_number, phrase_groups, phrase_pattern, sentences
 
 
 # A capitalised name before "dataset" or "benchmark", and a link with what is trimmed off its end.
@@ -35,7 +35,7 @@ def normal_phrases(words) -> list[str]:
 def phrase_scores(title: Column, text: Column, lexicon: dict[str, tuple[str, ...]], most=50_000) -> Column:
     """Theme -> count of its phrases as whole words."""
     hay = F.concat(title, F.lit("\n"), F.substring(text, 1, most))
-    return F.create_map(*(x for theme, words in lexicon.items() for x in (F.lit(theme), sum((F.regexp_count(hay, F.lit(phrase_pattern(w))) for w in normal_phrases(words)), F.lit(0)))))
+    return F.create_map(*(x for theme, words in lexicon.items() for x in (F.lit(theme), sum((F.regexp_count(hay, F.lit(phrase_pattern(*group))) for group in phrase_groups(normal_phrases(words))), F.lit(0)))))
 
 
 def active_themes(scores: Column) -> Column:

@@ -48,6 +48,9 @@ def test_phrases(spark):
     for raw, n in (("Low-light and low_light, low  light; lowlight slow light", 3), ("low light low light", 2)):
         assert one(spark, lambda x: extract.phrase_scores(F.lit(""), x, words), raw) == {"t": n}
     assert one(spark, lambda x: extract.substring_scores(F.lit(""), x, {"t": ("ct",)}), "object Act") == {"t": 2}
+    words = {"t": ("low light", "light weight", "c++", "c", "sea")}  # some share words, so that their matches can overlap
+    assert text.phrase_groups(words["t"]) == [["low light", "c", "sea"], ["light weight"], ["c++"]]
+    assert one(spark, lambda x: extract.phrase_scores(F.lit(""), x, words), "Low light weight, sea c++ C") == {"t": 6}
     assert extract.normal_phrases(("low light", "low-light")) == ["low-light"]
 
 
