@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.work import drop, materialise, remove, shared_dir, work_path
+
+__all__ = ["drop", "materialise", "remove", "shared_dir", "table", "work_path"]
+
 # Functions that run on executors travel by value, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
@@ -20,46 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.gettempdir()}/ledgerstone-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/ledgerstone/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        remove(spark, path)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.ledgerstone_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what materialise() wrote; only for tables that nothing lazy still reads."""
-    remove(df.sparkSession, df.ledgerstone_path)

@@ -21,14 +21,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialise, table
 
 WORDS, THRESHOLD = 5, 0.8
 COORDS, SMALL, TILE, DEPTH = 64, 2000, 512, 3
-ESTIMATE = 37  # equal coordinates of 64 that a pair must have: at a similarity of 0.8 fewer come up in one of 100,000 cases
+UNDER = 1e-5  # how often a pair at the threshold may have fewer equal coordinates than estimate_for() asks for
 BLOOM = 1 << 23
 WORD = re.compile(r"\w+")
 RNG = np.random.default_rng(20240607)
@@ -85,7 +85,7 @@ def mixed(*parts) -> np.ndarray:
     return out
 
 
-def runs_for(missed: float, threshold=THRESHOLD) -> int:
+def runs_for(missed: float) -> int:
     """Runs until a pair at the threshold is missed with probability `missed` at the most, were all its nodes split to the deepest level.
 
     With coordinates drawn as above such a pair has one common child in expectation, Poisson distributed, so that the chance to
@@ -97,6 +97,24 @@ def runs_for(missed: float, threshold=THRESHOLD) -> int:
     return math.ceil(math.log(missed) / math.log(1 - meet))
 
 
+def estimate_for(threshold: float) -> int:
+    """Equal coordinates of COORDS that a pair must have: at the threshold fewer come up in UNDER of all cases."""
+    below = 0.0
+    for n in range(COORDS + 1):
+        below += math.comb(COORDS, n) * threshold**n * (1 - threshold) ** (COORDS - n)
+        if below > UNDER:
+            return n
+    return COORDS
+
+
+def roots_for(threshold: float, missed: float) -> int:
+    """Coordinates that the runs start from, 1 / threshold each. Fails where COORDS can't give so many."""
+    wanted = math.ceil(runs_for(missed) / threshold)
+    if not 0 < threshold <= 1 or wanted > COORDS:
+        raise ValueError(f"a threshold of {threshold} with {missed} missed needs {wanted} coordinates; there are {COORDS}")
+    return wanted
+
+
 def blocks(texts, size=1_000_000):
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -109,19 +127,19 @@ def blocks(texts, size=1_000_000):
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, k1 (hash of id and text), text. Adds set (its digest; null without words) and its sketch."""
+    """docs: doc_id, k1, k2 (hashes of id and text), text. Adds set (its digest; null without words) and its sketch."""
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(3).to_pylist()]
             for a, b in blocks(texts):
                 found = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) if len(s) else (None, None) for s in shingler.sets(texts[a:b])]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["doc_id", "k1", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["doc_id", "k1", "k2", "set", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "text").mapInArrow(run, f"doc_id {kind}, k1 long, set binary, sketch binary")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set binary, sketch binary")
 
 
 def values(column) -> np.ndarray:
@@ -129,9 +147,9 @@ def values(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
-def roots(sets: DataFrame, missed: float) -> DataFrame:
+def roots(sets: DataFrame, threshold: float, missed: float) -> DataFrame:
     """(node, s) of the first level: runs draw their coordinates without replacement, 1 / threshold each on average."""
-    picked = ORDER[: min(COORDS, math.ceil(runs_for(missed) / THRESHOLD))]
+    picked = ORDER[: roots_for(threshold, missed)]
 
     def run(batches):
         for batch in batches:
@@ -145,7 +163,7 @@ def roots(sets: DataFrame, missed: float) -> DataFrame:
     return sets.select("s", "sketch").mapInArrow(run, "node long, s long")
 
 
-def split(rows: DataFrame) -> DataFrame:
+def split(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: node, s, sketch. The children (node, s), on coordinates drawn by the node."""
 
     def run(batches):
@@ -154,16 +172,16 @@ def split(rows: DataFrame) -> DataFrame:
                 continue
             node, v = batch.column(0).to_numpy().astype(np.uint64), values(batch.column(2))
             draw = mixed(node[:, None], 77, np.arange(COORDS)[None, :]) >> np.uint64(11)
-            i, j = np.nonzero(draw < np.uint64(2**53 / (THRESHOLD * COORDS)))
+            i, j = np.nonzero(draw < np.uint64(2**53 / (threshold * COORDS)))
             child = mixed(node[i], j, v[i, j]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(batch.column(1).to_numpy()[i])], ["node", "s"])
 
     return rows.select("node", "s", "sketch").mapInArrow(run, "node long, s long")
 
 
-def leaves(sets: DataFrame, missed: float) -> DataFrame:
+def leaves(sets: DataFrame, threshold: float, missed: float) -> DataFrame:
     """(leaf, s, n): the sets of each leaf with two or more."""
-    level, found = roots(sets, missed), None
+    level, found = roots(sets, threshold, missed), None
     for depth in range(1, DEPTH + 1):
         level = materialise(level, f"paths-{depth}")
         busy = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
@@ -174,7 +192,7 @@ def leaves(sets: DataFrame, missed: float) -> DataFrame:
         large = together.filter(F.col("n") > SMALL)
         if depth == DEPTH or large.isEmpty():
             return found.withColumnRenamed("node", "leaf")
-        level = split(large.select("node", "s").join(sets.select("s", "sketch"), "s"))
+        level = split(large.select("node", "s").join(sets.select("s", "sketch"), "s"), threshold)
     raise AssertionError
 
 
@@ -219,19 +237,19 @@ def tiled(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.when(tiles > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))))).alias("tile")).select(*rows.columns, "tile.*")
 
 
-def candidate_pairs(side, v, lists, leaf, same) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(side, v, lists, leaf, same, estimate: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile that look similar and share no earlier leaf."""
     n = len(v)
     if n <= 48:
         i, j = np.triu_indices(n, 1) if same else np.nonzero((side[:, None] == 0) & (side[None, :] == 1))
-        ok = (v[i] == v[j]).sum(1) >= ESTIMATE
+        ok = (v[i] == v[j]).sum(1) >= estimate
         i, j = i[ok], j[ok]
     else:
         left, right = (np.arange(n), np.arange(n)) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         equal = np.zeros((len(left), len(right)), np.uint8)
         for c in range(COORDS):
             equal += v[left, c][:, None] == v[right, c][None, :]
-        i, j = np.nonzero(equal >= ESTIMATE)
+        i, j = np.nonzero(equal >= estimate)
         i, j = left[i], right[j]
         if same:
             i, j = i[i < j], j[i < j]
@@ -248,8 +266,9 @@ def candidate_pairs(side, v, lists, leaf, same) -> tuple[np.ndarray, np.ndarray]
     return i[fresh], j[fresh]
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: leaf, a, b, side, s, sketch, leaves. (tile, s, partners): the sets that have candidates in a tile, with those of them on one side."""
+    estimate = estimate_for(threshold)
 
     def run(batches):
         for batch in grouped(batches, 3):
@@ -262,7 +281,7 @@ def candidates(rows: DataFrame) -> DataFrame:
                 if y - x < 2:
                     continue
                 lists = [flat[offsets[k] : offsets[k + 1]] for k in range(x, y)]
-                i, j = candidate_pairs(side[x:y], v[x:y], lists, leaf[x], a[x] == b[x])
+                i, j = candidate_pairs(side[x:y], v[x:y], lists, leaf[x], a[x] == b[x], estimate)
                 if not len(i):
                     continue
                 here = s[x:y]
@@ -342,7 +361,7 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def needed_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(s, shingles, mult) of the sets in needed (s, k1, mult). A Bloom filter of fixed size spares the other documents the work; the join is exact."""
+    """(s, shingles, mult) of the sets in needed (s, k1, k2, mult). A Bloom filter of fixed size spares the other documents the work; the join is on 128 bits."""
     two = F.explode(F.array(*(x.bitwiseAND(BLOOM - 1).cast("int") for x in (F.col("k1"), F.shiftrightunsigned("k1", 40)))))
     bits = np.zeros(BLOOM, bool)
     bits[needed.select(two.alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
@@ -353,13 +372,13 @@ def needed_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             k = batch.column(0).to_numpy().astype(np.uint64)
             hit = np.flatnonzero(bits[k & np.uint64(BLOOM - 1)] & bits[(k >> np.uint64(40)) & np.uint64(BLOOM - 1)])
-            texts = [t or "" for t in batch.column(1).take(pa.array(hit)).to_pylist()]
+            texts = [t or "" for t in batch.column(2).take(pa.array(hit)).to_pylist()]
             for a, b in blocks(texts):
-                found = [x.tobytes() for x in shingler.sets(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(k[hit[a:b]].astype(np.int64)), pa.array(found, pa.binary())], ["k1", "shingles"])
+                found, at = [x.tobytes() for x in shingler.sets(texts[a:b])], pa.array(hit[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.binary())], ["k1", "k2", "shingles"])
 
-    made = docs.select("k1", "text").mapInArrow(run, "k1 long, shingles binary")
-    return made.join(needed, "k1").dropDuplicates(["s"]).select("s", "shingles", "mult")
+    made = docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, shingles binary")
+    return made.join(needed, ["k1", "k2"]).dropDuplicates(["s"]).select("s", "shingles", "mult")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -381,46 +400,60 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def row_keys(id_col, text_col) -> list:
+    """128 bits of a row's id and text, as two numbers."""
+    return [F.xxhash64(F.lit(seed), id_col, F.xxhash64(F.lit(seed), text_col)).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def keyed(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("k1"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
 
 
 def join_classes(docs: DataFrame, threshold=THRESHOLD, missed=1e-3, id_col="doc_id", text_col="text") -> DataFrame:
-    """A row for each row of docs: doc_id, k1, class_id, links.
+    """A row for each row of docs: doc_id, k1, k2 (its key), class_id, links, first (it, or a repeat of it, stands for its class), wordless.
 
-    links: how many other rows have a text of `threshold` similarity or more, copies included. class_id: the least id of the class, which
+    links: how many other rows have a text of `threshold` similarity or more, copies included; a link is missed with probability `missed` at the
+    most, and a threshold so low that COORDS can't give that is an error. class_id: the least id of the class, which
     links span. Null texts and texts without words link to nothing and are classes of their own; a text of under five words is one shingle.
-    Null ids are kept, and aren't a class's id unless it has no other. Repeated rows are copies. No rows give no rows. Other columns are ignored.
+    Texts are read whole. Null ids are kept, and aren't a class's id unless it has no other. Repeated rows are copies. No rows give no rows.
+    Other columns, whatever their names, are ignored. Sets are told apart by 128 bits, and numbered, so that no two share a number.
     """
+    roots_for(threshold, missed)
     own = keyed(docs, id_col, text_col)
     signed = materialise(sign(own), "signed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2"))
     sets = signed.filter("set is not null").groupBy("set").agg(first.alias("first"), F.count("*").alias("mult"), F.first("sketch").alias("sketch"))
-    s8 = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
-    sets = materialise(sets.select("set", s8.alias("s"), F.col("first.doc_id").alias("rep"), F.col("first.k1").alias("k1"), "mult", "sketch"), "sets")
-    found = materialise(leaves(sets, missed), "leaves")
+    sets = materialise(sets.select("set", F.monotonically_increasing_id().alias("s"), "first", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "mult", "sketch"), "sets")
+    found = materialise(leaves(sets, threshold, missed), "leaves")
     lists = found.groupBy("s").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     rows = tiled(found.join(sets.select("s", "sketch").join(lists, "s"), "s"))
-    similar = materialise(candidates(rows), "candidates")
-    needed = materialise(similar.select("s").distinct().join(sets.select("s", "k1", "mult"), "s"), "needed")
+    similar = materialise(candidates(rows, threshold), "candidates")
+    needed = materialise(similar.select("s").distinct().join(sets.select("s", "k1", "k2", "mult"), "s"), "needed")
     linked = materialise(verify(similar.join(needed_shingles(own, needed), "s"), threshold), "linked")
     labels = components(linked.select(F.col("s").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("s").agg(F.sum("links").alias("links"))
-    of_set = sets.select("set", "s", "rep", "mult").join(counts, "s", "left").join(labels, "s", "left")
-    of_set = of_set.select("set", "rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("label", "s").alias("label"))
-    least = of_set.groupBy("label").agg(F.min("rep").alias("class_id"))
-    of_set = of_set.join(least, "label").select("set", "class_id", "links")
-    out = signed.select("doc_id", "k1", "set").join(of_set, "set", "left")
+    of_set = sets.select("set", "s", "first", "mult").join(counts, "s", "left").join(labels, "s", "left")
+    of_set = of_set.select("set", "first", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("label", "s").alias("label"))
+    least = of_set.groupBy("label").agg(F.min("first").alias("least"))
+    of_set = of_set.join(least, "label").select("set", "least", "links")
+    for done in (found, similar, needed):
+        drop(done)
+    out = signed.select("doc_id", "k1", "k2", "set").join(of_set, "set", "left")
     alone = F.col("set").isNull()
-    return out.select("doc_id", "k1", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    stands = alone | ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")))
+    return out.select("doc_id", "k1", "k2", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), stands.alias("first"), alone.alias("wordless"))
 
 
 def keep_one(docs: DataFrame, threshold=THRESHOLD, missed=1e-3) -> DataFrame:
-    """docs with one document of each class: that of least id. Columns stay; repeated rows of that document stay with it."""
+    """docs with one row of each class: that of least id, one that has an id if any has. Columns, whatever their names, stay.
+
+    Rows without words are classes of their own and all stay, repeats too; of repeats of any other row one stays.
+    """
     classes = materialise(join_classes(docs, threshold, missed), "classes")
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("k1").distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])).alias("k1"))
-    return rows.join(gone, "k1", "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    kept = classes.filter("first").select("k1", "k2", "wordless").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(docs["doc_id"], docs["text"]))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    return rows.join(kept, ["k1", "k2"]).withColumn("nth", nth).filter("wordless or nth = 1").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_ngram_join(spark, sf_dir):
