@@ -238,8 +238,11 @@ SELECT item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id
 """
 
 
+DOCUMENT_TFIDF = TFIDF.replace("item_id", "doc_id").replace("benchmark", "documents").replace("LIMIT 5000", "LIMIT 40000")
+
+
 def tfidf_documents(spark, d):
-    """The weights of all documents; tfidf_terms, as its SQL, weighs the benchmark's items with 5,000 terms."""
+    """The weights of all documents with the operator's own 40,000 terms; tfidf_terms weighs the benchmark's items with 5,000."""
     return strata.tfidf(table(spark, d, "documents"), "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -422,6 +425,7 @@ SELECT doc_id, stratum, score, (row_number() OVER (ORDER BY score DESC, stratum,
     "quota_report": V2 + " " + " UNION ALL ".join(f"SELECT {i}::INT AS priority, '{q.theme}' AS theme, {q.quota}::BIGINT AS quota, (SELECT count(*) FROM chosen JOIN cand USING (doc_id) WHERE {q.theme}) AS achieved" for i, q in enumerate(QUOTAS, 1)),
     "corpus_summary": r"SELECT count(*) AS n, sum(w)::BIGINT AS total, min(w) AS least, max(w) AS most, avg(w) AS mean, median(w)::DOUBLE AS median FROM (SELECT len(regexp_split_to_array(trim(text), '\s+'))::BIGINT AS w FROM documents)",
     "tfidf_terms": TFIDF,
+    "tfidf_documents": DOCUMENT_TFIDF,
     "centroid_distance": """WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT label, i, avg(v) AS m FROM p GROUP BY ALL)
 SELECT vec_id, label, round(sqrt(sum((v - m) * (v - m))), 4) AS distance FROM p JOIN c USING (label, i) GROUP BY vec_id, label""",
