@@ -11,7 +11,7 @@ from ..config import Quota
 from ..functions.text import as_json, flatten
 from ..operators.summary import quality_summary, report, summary
 from ..schemas import REGISTRY
-from .work import remove
+from .work import qualified, remove
 
 # The columns of the CSV in their order, and how many rows a chunk has.
 CSV_COLUMNS = [
@@ -38,6 +38,7 @@ def copy_raw(raw: DataFrame, folder: str) -> DataFrame:
 
     A file appears under its name only when it is whole, so that a task that runs again does no harm.
     """
+    folder = qualified(raw.sparkSession, folder)
 
     def run(batches):
         import hashlib
@@ -46,7 +47,7 @@ def copy_raw(raw: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.fs as pafs
 
-        fs, top = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs, top = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             out = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

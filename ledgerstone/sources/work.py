@@ -10,6 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, the default one's if it names none, so that executors open the same place as Spark does."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/ledgerstone-shared-{os.getuid()}"
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
