@@ -81,21 +81,26 @@ def sentence_score(sentence: Column, place: Column, phrases, number_bonus: bool)
     return score + F.when(F.regexp_like(low, F.lit(r"(?:we|our) ")), PRONOUN).otherwise(0) - place * PLACE
 
 
-def scored_sentences(text: Column, phrases, number_bonus=False) -> Column:
-    """Sentences with a positive score, best first, shorter first, then in order: minus, size, place, sentence, key."""
+def scored_sentences(said: Column, phrases, number_bonus=False) -> Column:
+    """Of an array of sentences those with a positive score, best first, shorter first, then in order: minus, size, place, sentence, key."""
     found = F.transform(
-        sentences(text),
+        said,
         lambda s, i: F.struct((-sentence_score(s, i, phrases, number_bonus)).cast("int").alias("minus"), F.length(s).alias("size"), i.cast("int").alias("place"), s.alias("sentence"), dedup_key(s).alias("key")),
     )
     return F.array_sort(F.filter(found, lambda x: x["minus"] < 0))
 
 
 def evidence(text: Column, role: Role) -> Column:
-    """The role's best sentences; of sentences that differ in marks only the best stays."""
+    """The role's best sentences of a text."""
+    return evidence_of(sentences(text), role)
+
+
+def evidence_of(said: Column, role: Role) -> Column:
+    """The role's best sentences of an array of them; of sentences that differ in marks only the best stays."""
     none = F.expr("cast(array() as array<string>)")
 
     def keep(acc, x):
         more = (F.size(acc["out"]) < role.cap) & ~F.array_contains(acc["keys"], x["key"])
         return F.when(more, F.struct(F.array_append(acc["keys"], x["key"]).alias("keys"), F.array_append(acc["out"], x["sentence"]).alias("out"))).otherwise(acc)
 
-    return F.aggregate(scored_sentences(text, role.phrases, role.number_bonus), F.struct(none.alias("keys"), none.alias("out")), keep, lambda acc: acc["out"])
+    return F.aggregate(scored_sentences(said, role.phrases, role.number_bonus), F.struct(none.alias("keys"), none.alias("out")), keep, lambda acc: acc["out"])

@@ -40,9 +40,16 @@ def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
             found = F.concat(abstract, F.lit("\n"), found)
         return F.when(F.map_contains_key(parsed, F.lit("full")), body).otherwise(found) if fallback else found
 
+    # Roles that read the same sections share their sentences, worked out once in a column of their own.
+    wanted = roles(audit.phrases)
+    shared = {(r.sections, r.max_chars, r.name == "method_claims"): r for r in wanted}
+    place = {key: f"said_{i}" for i, key in enumerate(shared)}
+    base = base.withColumns({place[key]: text.sentences(role_text(r)) for key, r in shared.items()})
+    said = {r.name: F.col(place[r.sections, r.max_chars, r.name == "method_claims"]) for r in wanted}
+    first = ("paper_id", "title", "year", "venue", "source_path", "fulltext_sha256")
     head = F.substring(body, 1, 120_000)
     return base.select(
-        *base.columns[:6],
+        *first,
         text.word_count(body).alias("word_count"),
         text.char_count(body).alias("char_count"),
         F.array_sort(F.map_keys(parsed)).alias("section_names"),
@@ -51,7 +58,7 @@ def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
         extract.dataset_names(head, audit.datasets, audit.not_datasets).alias("datasets"),
         (extract.metric_names(head, audit.metrics) if audit.metrics else F.expr("cast(array() as array<string>)")).alias("metrics"),
         extract.code_links(head).alias("code_urls"),
-        *(extract.evidence(role_text(r), r).alias(r.name) for r in roles(audit.phrases)),
+        *(extract.evidence_of(said[r.name], r).alias(r.name) for r in wanted),
         text.excerpt(abstract).alias("abstract_excerpt"),
     ).withColumn("themes", extract.active_themes(F.col("theme_scores")))
 
