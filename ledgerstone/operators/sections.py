@@ -11,43 +11,43 @@ from ..functions.text import strip
 HEADING = 100  # characters that a heading's line may have
 
 
-LINES = "array<struct<at:int,line:string,both:string>>"
-
-
 def lines(text: Column) -> Column:
-    """array of at (code points before the line), line, both (the line and the next one)."""
+    """array of line, both (the line and the next one)."""
     parts = F.split(text, "\n", -1)
     after = F.concat(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit(None).cast("string")))
-    pairs = F.zip_with(parts, after, lambda a, b: F.struct(a.alias("line"), F.concat_ws("\n", a, b).alias("both")))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {LINES})").alias("out"))
-
-    def step(acc, x):
-        row = F.struct(acc["at"].alias("at"), x["line"].alias("line"), x["both"].alias("both"))
-        return F.struct((acc["at"] + F.length(x["line"]) + 1).cast("int").alias("at"), F.array_append(acc["out"], row).alias("out"))
-
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    return F.zip_with(parts, after, lambda a, b: F.struct(a.alias("line"), F.concat_ws("\n", a, b).alias("both")))
 
 
 def headings(rows: Column, patterns=None, strict=False) -> Column:
     """array of start, name, by start: for each section the first line of HEADING characters or less on which its first pattern with any such line begins.
 
-    rows: lines() of the text, best as a column of its own, so that it is worked out once. strict: only lines that begin with the heading,
-    after numbering, count.
+    rows: lines() of the text, best as a column of its own, so that it is worked out once. One pass over them holds the place reached and each
+    pattern's first place, whatever the number of lines. strict: only lines that begin with the heading, after numbering, count.
     """
     patterns = patterns or SECTION_PATTERNS
+    every = [p for options in patterns.values() for p in options]
+    none = F.lit(None).cast("int")
 
-    def first(pattern):
-        def at(x):
+    def step(acc, x):
+        short = F.length(strip(x["line"])) <= HEADING
+
+        def first(i, pattern):
             place = F.regexp_instr(x["both"], F.lit(f"(?iU){pattern}"))
-            ok = (place > 0) & (place <= F.length(x["line"])) & (F.length(strip(x["line"])) <= HEADING)
+            ok = short & (place > 0) & (place <= F.length(x["line"]))
             if strict:
                 ok = ok & F.regexp_like(x["both"], F.lit(rf"(?iU)^[\s\d.IVX]*{pattern}"))
-            return F.when(ok, x["at"] + place - 1)
+            return F.coalesce(acc[f"p{i}"], F.when(ok, (acc["at"] + place - 1).cast("int"))).alias(f"p{i}")
+
+        return F.struct((acc["at"] + F.length(x["line"]) + 1).cast("int").alias("at"), *(first(i, p) for i, p in enumerate(every)))
+
+    begin = F.struct(F.lit(0).alias("at"), *(none.alias(f"p{i}") for i in range(len(every))))
+    number = {p: i for i, p in enumerate(every)}
 
-        return F.array_min(F.transform(rows, at))
+    def found(acc):
+        each = [F.struct(F.coalesce(*(acc[f"p{number[p]}"] for p in options)).alias("start"), F.lit(name).alias("name")) for name, options in patterns.items()]
+        return F.array_sort(F.filter(F.array(*each), lambda x: x["start"].isNotNull()))
 
-    found = [F.struct(F.coalesce(*map(first, options)).alias("start"), F.lit(name).alias("name")) for name, options in patterns.items()]
-    return F.array_sort(F.filter(F.array(*found), lambda x: x["start"].isNotNull()))
+    return F.aggregate(rows, begin, step, found)
 
 
 def sections(text: Column, heads: Column) -> Column:
