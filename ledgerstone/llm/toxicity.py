@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over the whole corpus. Tokens that look obfuscated (leetspeak inside
-words, letters spaced or dotted apart, letters repeated three times or more) span a lattice of readings;
-Viterbi decoding under the character model and a channel model picks one. Words of the restored text then
+A character model, of five letters with trigrams behind, is counted over the whole corpus. Tokens that look obfuscated (leetspeak inside
+words, letters repeated three times or more) and stretches of characters set apart by blanks, dots or dashes span a
+lattice of readings, in which a gap may be nothing or part two words; Viterbi decoding under the character model and a
+channel model picks one. Words of the restored text then
 score a document by weights learned from labels: words and word beginnings that occur in toxic documents
 in many different contexts, and hardly in others.
 
@@ -20,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, pieces, table
 
 # The model's letters, and what each symbol may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäåæçèéêëìíîïñòóôöøùúûüßœÿãõ"
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 BOUND, OTHER, SIZE = 0, 63, 64
+CELL_BITS = 20
+CELLS, BACK = 1 << CELL_BITS, 5.0
 WORD = re.compile(r"[^\W\d_]+")
 LEET = re.compile(r"[^\W\d_][0-9@$!|+€(]+[^\W\d_]|^[0-9@$!|+€(]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€]+$")
 REPEAT = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_](?:[ \t]+|[.*_-])){3,}[^\W_](?!\w)")
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$€])(?:[ \t]+|[.*_-])){3,}(?:[^\W_]|[@$€])(?!\w)")
+GAP = re.compile(r"[ \t]+|[.*_-]")
+# Costs of the channel for a gap: nothing there, or a new word. A wide gap among narrow ones parts words.
+GLUED, PARTED, WIDE_GLUED = 0.0, -1.0, -9.0
 STEMS = (3, 4, 5, 6)
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -44,21 +50,64 @@ def letter_codes() -> np.ndarray:
     return codes
 
 
-def trigram_counts(texts) -> np.ndarray:
-    """Counts of letter-class trigrams; runs of non-letters count as one boundary."""
-    codes, total = letter_codes(), np.zeros(SIZE**3, np.int64)
+def gram_counts(texts, total=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, added to total, of letter-class trigrams, and by hash of those of five letters and of the four before each letter; runs of non-letters count as one boundary."""
+    three, five, four = total or (np.zeros(SIZE**3, np.int64), np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64))
+    codes = letter_codes()
     for text in texts:
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         x = codes[np.minimum(points, 0x3FF)]
-        x = np.concatenate([[BOUND, BOUND], x, [BOUND]])
-        x = x[np.concatenate([[True, True], (x[2:] != BOUND) | (x[1:-1] != BOUND)])]
-        if len(x) > 2:
-            total += np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
-    return total
+        x = np.concatenate([[BOUND] * 4, x, [BOUND]])
+        x = x[np.concatenate([[True] * 4, (x[4:] != BOUND) | (x[3:-1] != BOUND)])]
+        if len(x) > 4:
+            three += np.bincount((x[2:-2] * SIZE + x[3:-1]) * SIZE + x[4:], minlength=SIZE**3)
+            before = ((x[:-4] * SIZE + x[1:-3]) * SIZE + x[2:-2]) * SIZE + x[3:-1]
+            four += np.bincount(cell(before), minlength=CELLS)
+            five += np.bincount(cell(before * SIZE + x[4:]), minlength=CELLS)
+    return three, five, four
+
+
+def cell(gram):
+    """The hash cell of a number of up to 30 bits."""
+    return (gram * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - CELL_BITS
+
+
+class CharModel:
+    """log P(letter | the four before it): as counted for five letters, where seen, with what is left spread as the trigrams have it. Fixed size: 64^3 and twice 2^CELL_BITS numbers."""
+
+    def __init__(self, three: np.ndarray, five: np.ndarray, four: np.ndarray):
+        three = three.reshape(SIZE, SIZE, SIZE).astype(float)
+        two = three.sum(0)
+        one = two.sum(0) + 0.5
+        p2 = (two + 20 * one / one.sum()) / (two.sum(1, keepdims=True) + 20)
+        p3 = (three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)
+        self.three, self.five, self.four = np.log(p3).astype(np.float32).ravel(), five.astype(np.float32), four.astype(np.float32)
+        self.views, self.known = None, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"views": None, "known": {}}
+
+    def step(self, history: int, k: int) -> tuple[float, int]:
+        """log P(k) after a history of four letter classes, and the history after it. Remembers up to a bound."""
+        gram = history * SIZE + k
+        low = self.known.get(gram)
+        if low is not None:
+            return low, gram & SIZE**4 - 1
+        if self.views is None:
+            self.views = tuple(map(memoryview, (self.three, self.five, self.four)))
+        three, five, four = self.views
+        low = three[gram & SIZE**3 - 1]
+        n = four[cell(history)]
+        if n:
+            low = math.log((five[cell(gram)] + BACK * math.exp(low)) / (n + BACK))
+        if len(self.known) >= 100_000:
+            self.known.clear()
+        self.known[gram] = low
+        return low, gram & SIZE**4 - 1
 
 
-def _joined(column, limit=1 << 20):
-    """Texts of an Arrow column put together, in blocks of about a million characters."""
+def _joined(column, limit=1 << 19):
+    """Texts of an Arrow column put together, in blocks of about half a million characters."""
     block, size = [], 0
     for text in column.to_pylist():
         if text:
@@ -71,56 +120,49 @@ def _joined(column, limit=1 << 20):
         yield "  ".join(block)
 
 
-def char_model(docs: DataFrame, text_col="text") -> np.ndarray:
-    """log P(c | a, b) as a 64 x 64 x 64 array (1 MB whatever the corpus), counted over every row; bigrams and unigrams smooth it."""
+def char_model(docs: DataFrame, text_col="text") -> CharModel:
+    """Counted over every row. Tasks report only cells that they have counted in, so that what is gathered grows with the corpus up to the size of the model."""
 
     def count(batches):
-        total = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
-            total += trigram_counts(_joined(batch.column(0)))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
-
-    rows = docs.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SIZE**3)
-    counts[rows["gram"].to_numpy(np.int64)] = rows["n"]
-    three = counts.reshape(SIZE, SIZE, SIZE)
-    two = three.sum(0)
-    one = two.sum(0) + 0.5
-    p1 = one / one.sum()
-    p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
-    p3 = (three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)
-    return np.log(p3).astype(np.float32)
-
-
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case token: symbols may stand for letters or be noise, runs of a letter may be shorter."""
-    runs: list[tuple[str, int]] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
-    best = {(BOUND, BOUND): (0.0, None)}
-    for c, n in runs:
-        if c.isalpha():
-            readings = [(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, -0.7)]
-        elif c in STANDS_FOR:
-            readings = [(x * m, -1.0 - math.log(len(STANDS_FOR[c])) - (m > 1)) for x in STANDS_FOR[c] for m in ({1, min(n, 2)})] + [("", -12.0 if c.isdigit() else -6.0)]
-        else:
-            readings = [("", -1.0)]
+        total = None
+        for batch in pieces(batches):
+            total = gram_counts(_joined(batch.column(0)), total)
+        for kind, counts in enumerate(total or ()):
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["kind", "at", "n"])
+
+    rows = docs.select(text_col).mapInArrow(count, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    kind, at, n = (rows.column(i).to_numpy() for i in range(3))
+    counts = [np.zeros(size, np.int64) for size in (SIZE**3, CELLS, CELLS)]
+    for i, total in enumerate(counts):
+        total[at[kind == i]] = n[kind == i]
+    return CharModel(*counts)
+
+
+def readings_of(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n equal characters may stand for, at what cost."""
+    if c.isalpha():
+        return [(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, -0.7)]
+    if c in STANDS_FOR:
+        return [(x * m, -1.0 - math.log(len(STANDS_FOR[c])) - (m > 1)) for x in STANDS_FOR[c] for m in ({1, min(n, 2)})] + [("", -12.0 if c.isdigit() else -6.0)]
+    return [("", -1.0)]
+
+
+def viterbi(lattice: list[list[tuple[str, float]]], model: CharModel) -> str:
+    """The likeliest way through a lattice of (reading, cost) alternatives. A blank in a reading ends a word."""
+    best = {0: (0.0, None)}
+    for readings in lattice:
         after: dict = {}
-        for (a, b), (score, path) in best.items():
+        for history, (score, path) in best.items():
             for text, cost in readings:
-                p, q, s = a, b, score + cost
+                h, s = history, score + cost
                 for x in text:
-                    k = _CODE.get(x, OTHER)
-                    s += float(model[p, q, k])
-                    p, q = q, k
-                if (p, q) not in after or after[p, q][0] < s:
-                    after[p, q] = (s, (path, text))
+                    step, h = model.step(h, BOUND if x == " " else _CODE.get(x, OTHER))
+                    s += step
+                if h not in after or after[h][0] < s:
+                    after[h] = (s, (path, text))
         best = after
-    _, path = max(((s + float(model[a, b, BOUND]), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
+    _, path = max(((s + model.step(h, BOUND)[0], p) for h, (s, p) in best.items()), key=lambda x: x[0])
     out = []
     while path:
         path, text = path
@@ -128,22 +170,51 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def decode(token: str, model: CharModel) -> str:
+    """The likeliest reading of a lower-case token: symbols may stand for letters or be noise, runs of a letter may be shorter."""
+    runs: list[tuple[str, int]] = []
+    for c in token:
+        if runs and runs[-1][0] == c:
+            runs[-1] = (c, runs[-1][1] + 1)
+        else:
+            runs.append((c, 1))
+    return viterbi([readings_of(c, n) for c, n in runs], model)
+
+
+def spaced_lattice(stretch: str) -> list[list[tuple[str, float]]]:
+    """The lattice of a lower-case stretch of single characters: each may be read in any way, each gap be nothing or the end of a word."""
+    gaps, at, out = GAP.findall(stretch), 0, []
+    narrow = min(map(len, gaps), default=0)
+    for gap in gaps:
+        cut = stretch.index(gap, at)
+        glued = GLUED if len(gap) == narrow else WIDE_GLUED
+        out += [readings_of(stretch[at:cut], 1), [("", glued), (" ", PARTED if glued == GLUED else 0.0)]]
+        at = cut + len(gap)
+    return [*out, readings_of(stretch[at:], 1)]
+
+
 def looks_hidden(token: str) -> bool:
     return bool(LEET.search(token) or REPEAT.search(token))
 
 
-def spaced_words(text: str) -> list[str]:
-    """Letters set apart by spaces, dots or dashes, put together again."""
-    return [re.sub(r"[\s.*_-]", "", m[0]).lower() for m in SPACED.finditer(text)]
+def unspaced(stretch: str, model: CharModel) -> str:
+    """A stretch of single characters as the words that Viterbi cuts it into; one with hardly a letter stays."""
+    low = stretch.lower()
+    return viterbi(spaced_lattice(low), model) if sum(c.isalpha() for c in low) >= 3 else stretch
+
+
+def spaced_words(text: str, model: CharModel) -> list[str]:
+    """The words of all stretches of characters set apart by blanks, dots or dashes."""
+    return [w for m in SPACED.finditer(text) for w in WORD.findall(unspaced(m[0], model))]
 
 
-def restore(text: str, model: np.ndarray) -> str:
+def restore(text: str, model: CharModel) -> str:
     """The whole text with its hidden words restored."""
-    text = SPACED.sub(lambda m: re.sub(r"[\s.*_-]", "", m[0]), text)
+    text = SPACED.sub(lambda m: unspaced(m[0], model), text)
     return re.sub(r"\S+", lambda m: decode(m[0].lower(), model) if looks_hidden(m[0].lower()) else m[0], text)
 
 
-def words_of(token: str, model: np.ndarray) -> list[str]:
+def words_of(token: str, model: CharModel) -> list[str]:
     """The lower-case words of a token as they stand, and restored if it looks hidden."""
     words = WORD.findall(token)
     if looks_hidden(token):
@@ -163,30 +234,28 @@ def in_training(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled=40_000, contexts=6, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, model: CharModel, max_labelled=40_000, contexts=6, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[dict[str, float], np.ndarray]:
     """Feature -> weight, and the coefficients of Scorer.summary(). Uses at most max_labelled labelled rows, drawn by hash of the id, so that what is broadcast and gathered is bounded.
 
     A feature counts if toxic documents hold it in `contexts` different contexts at least (copies share their contexts, so that what a copied
     document happens to say doesn't count) and if it is 20 times likelier there than elsewhere. Without rows of both labels there are no features, and nothing is toxic.
     """
-    drawn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"]).filter(in_training(F.col("id")))
+    drawn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")).filter(in_training(F.col("id")))
     # A hash lets little more through than is wanted, so that what is sorted is bounded too.
     through = min(1.0, 1.3 * max_labelled / max(1, drawn.count()))
     drawn = drawn.filter(F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1 << 30)) <= through * (1 << 30)).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
     def observe(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                rows: Counter = Counter()
-                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = [w for t in text.lower().split() for w in words_of(t, model)] + spaced_words(text)
-                    rows.update((f, y, 0) for f in {"", *(f for w in set(words) for f in features(w))})
-                    if y:
-                        around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                        rows.update({(f, y, hash_of(a, b)) for a, w, b in around for f in features(w)})
-                keys = list(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["f", "y", "context", "n"])
+        for part in pieces(batches):
+            rows: Counter = Counter()
+            for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = [w for t in text.lower().split() for w in words_of(t, model)] + spaced_words(text, model)
+                rows.update((f, y, 0) for f in {"", *(f for w in set(words) for f in features(w))})
+                if y:
+                    around = zip(["", *words], words, [*words[1:], ""], strict=False)
+                    rows.update({(f, y, hash_of(a, b)) for a, w, b in around for f in features(w)})
+            keys = list(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["f", "y", "context", "n"])
 
     sample = materialise(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id").select("text", "y"), "toxic-sample")
     toxic, document = F.col("y") == 1, F.col("context") == 0
@@ -203,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled=40
 
     def summarise(batches):
         scorer = Scorer(weights, model)
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([scorer.summary(t) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(4)), batch.column(1)], [*"abcd", "y"])
 
@@ -231,7 +300,7 @@ def hash_of(*words: str) -> int:
 class Scorer:
     """Scores texts by the weights of their tokens; remembers the tokens it has seen, up to a bound."""
 
-    def __init__(self, weights: dict[str, float], model: np.ndarray, coefficients=None, remember=400_000):
+    def __init__(self, weights: dict[str, float], model: CharModel, coefficients=None, remember=200_000):
         self.weights, self.model, self.coefficients, self.remember, self.known = weights, model, coefficients, remember, {}
 
     def token(self, token: str) -> float:
@@ -252,7 +321,7 @@ class Scorer:
             if w:
                 hits.append(w)
         if SPACED.search(text):
-            hits += [w for x in spaced_words(text) if (w := self.token(x))]
+            hits += [w for x in spaced_words(text, self.model) if (w := self.token(x))]
         if not hits:
             return 0.0, 0.0, 0.0, 0.0
         most = max(hits)
@@ -268,7 +337,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled=40_000, id_col="doc_i
     """doc_id, held_out, score, predicted for every row of docs, and the columns in keep.
 
     Null and empty texts score as texts without hits, under one half. Null ids are never learned from and not held out. Repeated rows are
-    scored each; repeated labels of an id count once. Without labels nothing is toxic. No rows give no rows. Other columns are ignored.
+    scored each; labels of an id count once, as toxic if any of them says so. Without labels nothing is toxic. No rows give no rows. Other columns are ignored.
     """
     model = char_model(docs, text_col)
     weights, coefficients = learn(docs, labels, model, max_labelled, id_col=id_col, text_col=text_col, label_col=label_col)
@@ -278,7 +347,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled=40_000, id_col="doc_i
 
     def run(batches):
         scorer = Scorer(weights, model, coefficients)
-        for batch in batches:
+        for batch in pieces(batches):
             scores = np.array([scorer.score(t or "") for t in batch.column(2).to_pylist()], np.float64)
             columns = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *(batch.column(3 + i) for i in range(len(kept)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", *(f.name for f in kept)])

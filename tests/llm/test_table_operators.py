@@ -30,21 +30,54 @@ def test_normaliser(spark, tmp_path):
     (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(warc.record(*p)) for p in pages) + b"")
     found = warc.normalise(spark.createDataFrame([(str(tmp_path / n),) for n in ("one.warc.gz", "many.warc.gz")], "path string"), str(tmp_path / "out")).collect()
     for row in found:
-        assert row["records"] == 40
+        assert row["records"] == 40 and row["error"] is None
         data = open(row["path"].removeprefix("file://"), "rb").read()
         assert gzip.decompress(data) == whole
         assert data.count(b"\x1f\x8b\x08") >= 40
     assert b"".join(warc.inflate(io.BytesIO(gzip.compress(whole)))) == whole
-    assert len(list(warc.records(iter([whole[:-200]])))) == 39  # a cut-off record is left out
+    cut = warc.records(iter([whole[:-200]]))
+    assert len([next(cut) for _ in range(39)]) == 39
+    with pytest.raises(warc.Broken):
+        next(cut)
+
+
+def test_broken_archives_have_an_error_and_their_whole_records(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", f"payload {i} ".encode() * 50, hashlib.sha256(f"payload {i} ".encode() * 50).hexdigest(), None) for i in range(9)]
+    parts = [warc.record(*p) for p in pages]
+    plain, zipped = b"".join(parts), gzip.compress(b"".join(parts))
+    noisy = bytearray(b"".join(gzip.compress(p) for p in parts[:4]) + gzip.compress(b"".join(parts[4:])))
+    noisy[-40] ^= 0xFF
+    made = {
+        "whole": zipped, "padded": zipped + b"\0" * 700, "cut-gzip": zipped[:-30], "cut-record": gzip.compress(plain[:-200]), "no-length": gzip.compress(parts[0] + parts[1].replace(b"Content-Length: ", b"Content-Length: x")),
+        "noise": bytes(noisy), "not-gzip": b"hello", "empty": b"", "no-warc": gzip.compress(b"hello\r\nworld\r\n\r\nand more"),
+    }
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in (*made, "missing")] + [(None,)], "path string").selectExpr("*", "1 AS records", "2 AS `a.b`")
+    out = common.materialise(warc.normalise(paths, str(tmp_path / "out")), "test")
+    got = {(r["source"] or "null").rpartition("/")[2]: r for r in out.collect()}
+    assert {k: r["records"] for k, r in got.items()} == {"whole": 9, "padded": 9, "cut-gzip": got["cut-gzip"]["records"], "cut-record": 8, "no-length": 1, "noise": got["noise"]["records"], "not-gzip": 0, "empty": 0, "no-warc": 0, "missing": 0, "null": 0}
+    assert {k for k, r in got.items() if r["error"] is None} == {"whole", "padded", "empty"} and 4 <= got["noise"]["records"] <= 9 and got["cut-gzip"]["records"] >= 7
+    assert "cut off" in got["cut-record"]["error"] and "cut off" in got["cut-gzip"]["error"]
+    assert warc.read(out).count() == sum(r["records"] for r in got.values())
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    good, other = b"x" * 200, b"y" * 200
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [(1, "u", good, digest(good), None), (2, "u", good, digest(good), 1), (3, "u", other, digest(other), 1), (4, "u", good, digest(good), 99), (5, "u", other, digest(good), None), (6, "u", good, digest(good), 5), (None, "u", good, digest(good), 1)]
+    (tmp_path / "a").write_bytes(gzip.compress(b"".join(warc.record(*r) for r in rows)))
+    done = common.materialise(warc.normalise(spark.createDataFrame([(str(tmp_path / "a"),)], "path string"), str(tmp_path / "out")), "test")
+    assert {r["page_id"]: r["intact"] for r in warc.verified(warc.read(done)).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, None: True}
 
 
 def test_revisits_and_odd_pages(spark):
     same, short = "s" * 100, "s" * 99
     rows = [(5, "u", same), (3, "u", same), (4, None, same), (1, "a\r\nb é", None), (2, "", ""), (7, "u", short), (8, "u", short), (None, "u", same)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "'p' AS payload", "2 AS `a.b`")
     folder = common.work_path(spark, "test-warc")
     done = warc.normalise(common.materialise(warc.write_archives(warc.pages_to_records(pages), f"{folder}/a", 300), "test"), f"{folder}/b")
-    got = {r["page_id"]: r for r in warc.read(common.materialise(done, "test")).collect()}
+    got = {r["page_id"]: r for r in warc.verified(warc.read(common.materialise(done, "test"))).collect()}
     assert len(got) == 8 and all(r["intact"] for r in got.values())
     assert {k: (r["type"], r["refers_to"]) for k, r in got.items() if r["type"] == "revisit"} == {5: ("revisit", 3), 4: ("revisit", 3), None: ("revisit", 3)}
     assert got[5]["payload_bytes"] == 100 and got[5]["payload_digest"] == got[3]["payload_digest"] and got[1]["payload_bytes"] == 0
@@ -88,6 +121,26 @@ def test_copies_and_odd_vectors(spark):
     assert ann.neighbours(df.limit(0), lambda i: i == 0).count() == 0
 
 
+def test_any_k_and_clashing_columns(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(61)] + [(100 + i, [0.1 * i, 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS node", "'x' AS exact", "3 AS `a.b`")
+    got = ann.neighbours(df, lambda i: i.isin(0, 100), 80).orderBy("query_id", "rank").collect()
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    for q in (0, 100):
+        at = int(np.flatnonzero(ids == q)[0])
+        want = [int(ids[i]) for i in np.lexsort((ids, -(x @ x[at]))) if i != at][:80]
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == want
+
+
+def test_small_tables_go_through_rounds(spark, monkeypatch):
+    ran = []
+    real = ann.compare
+    monkeypatch.setattr(ann, "compare", lambda *a: ran.append(1) or real(*a))
+    rows = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert ann.neighbours(rows, lambda i: i == 0, 5).count() == 5 and ran
+
+
 # --- similarity join -------------------------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +193,38 @@ def test_keep_one(spark):
 
 def test_runs_reach_their_recall():
     assert ngram_join.runs_for(1e-2) < ngram_join.runs_for(1e-4) < 40
+    assert ngram_join.estimate_for(0.8) in (36, 37) and ngram_join.estimate_for(0.4) < ngram_join.estimate_for(0.5)
+
+
+@pytest.mark.parametrize(("threshold", "changes"), [(0.5, 4), (0.4, 5)])
+def test_links_of_other_thresholds(spark, threshold, changes):
+    """A hundred pairs a little over the threshold: what brute force finds is found."""
+    rng, rows = random.Random(5), []
+    for i in range(100):
+        text = [f"w{rng.randrange(99999)}" for _ in range(64)]
+        other = list(text)
+        for k in range(changes):
+            other[6 + k * (50 // changes)] = f"x{rng.randrange(99999)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    want = brute_classes(rows, threshold)
+    assert sum(n for _, _, n in want) == 200
+    got = ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold, 1e-3)
+    assert Counter((r["doc_id"], r["class_id"], r["links"]) for r in got.collect()) == want
+
+
+def test_what_coordinates_cannot_reach_is_an_error(spark):
+    with pytest.raises(ValueError):
+        ngram_join.join_classes(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 0.1)
+
+
+def test_one_row_of_each_class_stays(spark):
+    same, long = "one two three four five six seven", " ".join(f"z{i}" for i in range(20000))
+    rows = [(None, same, "x"), (None, same, "y"), (None, same + "!", "z"), (7, "other words of its own here", "x"), (7, "other words of its own here", "y"), (None, None, "x"), (None, None, "x"), (None, "...", "x"), (8, long, "k"), (9, long + " x", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").selectExpr("*", "1 AS k1", "2 AS row", "3 AS set", "true AS first")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or "")[:9]) for r in kept.collect())
+    assert got == Counter({(None, "one two t"): 1, (7, "other wor"): 1, (None, ""): 2, (None, "..."): 1, (8, "z0 z1 z2 "): 1})
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------------------------------
@@ -200,6 +285,31 @@ def test_copies_in_other_capitals_and_after_headings(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(5, 1), (6, 1), (7, 2), (8, 2), (10, 1), (10, 2)]
 
 
+def test_reparameterised_items_are_found_and_others_not(spark):
+    """Items with other numbers and names throughout are found, whichever they are; the same template with values that contradict one another is not."""
+    rng = random.Random(12)
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy"]
+    words = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in "lmnrst"]
+    items, docs, want = [], [], set()
+    for i in range(30):
+        plan = [(rng.choice(words), rng.choice("nnp")) for _ in range(9)]  # each literal pair is followed by a number or a name
+        body = lambda value: " ".join(f"{w} {w[::-1]} {value(k, j)}" for j, (w, k) in enumerate(plan))  # noqa: E731, B023
+        slot = {j: rng.randrange(3) for j in range(9)}  # three values each, so that most stand more than once
+        numbers, people = rng.sample(range(10, 900), 60), rng.sample(names, 9)
+        items.append((i, "so " + body(lambda k, j: numbers[slot[j]] if k == "n" else people[slot[j]]) + " then."))
+        docs.append((3 * i, "Some text. so " + body(lambda k, j: numbers[10 + slot[j]] if k == "n" else people[3 + slot[j]]) + " then. More."))
+        want.add((3 * i, i))
+        docs.append((3 * i + 1, "so " + body(lambda k, j: numbers[20 + j] if k == "n" else people[j]) + " then."))
+        if len({(slot[j], plan[j][1]) for j in range(9)}) > 4:  # few values stand twice: little to contradict
+            docs.pop()
+        rng.shuffle(plan)
+        docs.append((3 * i + 2, "so " + body(lambda k, j: numbers[slot[j]] if k == "n" else people[slot[j]]) + " then."))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert want <= found and not {(d, i) for d, i in found if d % 3 == 1}
+    assert all(d // 3 == i for d, i in found)
+
+
 def test_slots_must_agree():
     good = [(0, ["a", "b"], ["x", "y"]), (1, ["b"], ["y"]), (2, ["a"], ["x"])]
     assert decontam.consistent(good) == [0, 1, 2]
@@ -312,3 +422,46 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["secrets"]) == set(kept["decontamination"]) and kept["secrets"][107].endswith(" [SECRET]")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(kept["secrets"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, extra columns with clashing names, and empty tables."""
+    long = " ".join(f"longword{i}" for i in range(30000))
+    rows = [(1, None, "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None), (2, "", None, "s", None), (3, long, "en", None, 5), (4, "a few plain words here", "en", "s", 5), (4, "a few plain words here", "en", "s", 5), (None, "a few plain words here", "en", "t", 5), (5, "token=abcdef and so on", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS score", "2 AS `a.b`", "3 AS class_id", "4 AS blob", "5 AS size", "6 AS k1")
+    for name, labels, items in (("odd", [(4, 1, 0), (None, 1, 1), (2, None, None), (4, 0, 0)], [(1, None), (None, "x"), (2, "some other item that is not there at all")]), ("none", [], [])):
+        folder = tmp_path / name
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        held = docs
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            held = common.materialise(stage(spark, held, str(folder)), f"odd-{stage_name}")
+            assert held.columns == docs.columns
+            texts = Counter((r["doc_id"], (r["text"] or "null")[:8] if r["text"] != "" else "") for r in held.collect())
+            if stage_name == "toxicity":
+                assert sum(texts.values()) == len(rows)
+            else:  # the three copies are one row; rows without words all stay
+                assert texts == Counter({(1, "null"): 1, (None, "null"): 2, (2, ""): 1, (3, "longword"): 1, (4, "a few pl"): 1, (5, "token=ab" if stage_name != "secrets" else "[SECRET]"): 1})
+        out = corpus_pipeline.STAGES[-1][1](spark, held, str(folder))
+        assert out.count() == 7
+    empty = docs.limit(0)
+    for stage_name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path / "odd")).count() == 0, stage_name
+
+
+def test_stages_do_the_whole_job(spark, tmp_path):
+    """run() against a brute-force version of its filters on made-up documents: which documents are left, and their texts."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choice(words) for _ in range(40)) for i in range(60)}
+    for i in range(40, 50):
+        texts[i] = texts[i - 40]
+    texts[50] = f"{texts[50]} {ITEM}"
+    texts[51] += " password=abcdef123"
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    gone = {i for i, _, least in ((i, t, min(j for j, u in texts.items() if u == t)) for i, t in texts.items()) if i != least} | {50}
+    got = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) - gone
+    assert all(got[i] == len(re.sub(r"password=\S+", "[SECRET]", texts[i]).split()) for i in got)

@@ -1,5 +1,6 @@
 """PII, language, toxicity, chat: brute force, exact round trips, held-out accuracy, odd inputs."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -8,6 +9,7 @@ import re
 import numpy as np
 import pytest
 from helpers import DATA, same_rows
+from pyspark.sql import functions as F
 
 from ledgerstone.llm import chat, langid, pii, toxicity
 
@@ -78,6 +80,48 @@ def test_field_parts_runs_of_numbers():
     assert base == [] and [text[a:b] for _, a, b in spans] == ["4524132264652876", "+1 (269) 555-3296"]
 
 
+def test_bare_phones_need_a_cue():
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.find(t, pii.trained())[1]]
+    assert found("call 269 555 3296 now") == [("phone", "269 555 3296")] == found("my phone: 269 555 3296.")
+    assert found("of the 269 555 3296 that there are") == []
+
+
+# Written by hand, not made by the generator: what stands in a sentence, and whether it is a span.
+PLANTED = [
+    ("You can reach us on (312) 555-0148 until five", "phone", "(312) 555-0148"), ("Rufen Sie +49 (30) 555-0199 an", "phone", "+49 (30) 555-0199"), ("Fax 646-555-0173 for orders", "phone", "646-555-0173"),
+    ("mobile 503 555 0126 after six", "phone", "503 555 0126"), ("Llame al 213.555.0164 hoy", "phone", "213.555.0164"), ("write to ana.ruiz@correo.example.org please", "email", "ana.ruiz@correo.example.org"),
+    ("mail jo [at] club [dot] org or come", "email", "jo [at] club [dot] org"), ("contact max(at)werk(dot)de soon", "email", "max(at)werk(dot)de"), ("the server 10.20.30.40 was down", "ip", "10.20.30.40"),
+    ("paid with visa 4111 1111 1111 1111 at noon", "card", "4111 1111 1111 1111"), ("carte 5500-0000-0000-0004 refusée", "card", "5500-0000-0000-0004"), ("version 3.2.1 came out", None, None), ("on 2021-04-17 at 12:30", None, None),
+    ("about 12,500 people in 1998", None, None), ("serial 4111111111111112 here", None, None), ("meet at noon at the mill", None, None), ("follow @river for more", None, None), ("ISBN 978-3-16 or so", None, None), ("chapters 3 to 14 of 20", None, None),
+]
+
+
+def test_hand_planted_spans_in_documents(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) > 400").orderBy("doc_id").limit(3 * len(PLANTED)).collect()]
+    field, hit, wrong, missed = pii.trained(), 0, 0, 0
+    for i, body in enumerate(texts):
+        said, kind, value = PLANTED[i % len(PLANTED)]
+        cut = body.find(" ", 150)
+        text = f"{body[:cut]} {said} {body[cut:]}"
+        a, b = cut + 1, cut + 1 + len(said)
+        got = {(pii.KINDS[k], text[s:e]) for k, s, e in pii.find(text, field)[1] if s >= a and e <= b}
+        want = {(kind, value)} if kind else set()
+        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hit / (hit + wrong) >= 0.9 and hit / (hit + missed) >= 0.9, (hit, wrong, missed)
+
+
+def test_pii_query_matches_patterns(spark):
+    """The query itself: counts, hash and column types against the plain patterns, and base spans among all spans."""
+    found = pii.op3_pii(spark, DATA)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in found.collect():
+        base = sorted(plain(texts[r["doc_id"]]))
+        spelt = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spelt).encode()).hexdigest() and set(spelt) <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == i for x in base) for i in range(4)]
+
+
 def test_pii_odd_rows(odd):
     got = pii.detect(odd).collect()
     assert len(got) == len(ODD) and all(r["spans"] == [] for r in got)
@@ -130,9 +174,9 @@ def test_language_odd_rows(spark, odd):
 
 @pytest.fixture(scope="module")
 def model():
-    text = "stupid idiot loser clown " * 5 + "the and that with lost tides " * 50
-    counts = toxicity.trigram_counts([text]).reshape((toxicity.SIZE,) * 3).astype(float)
-    return np.log((counts + 0.01) / (counts.sum(2, keepdims=True) + 0.01 * toxicity.SIZE)).astype(np.float32)
+    rng = random.Random(2)
+    words = ["stupid", "idiot", "loser", "clown", "you"] + ["the", "and", "that", "with", "lost", "tides"] * 5
+    return toxicity.CharModel(*toxicity.gram_counts([" ".join(rng.choice(words) for _ in range(600))]))
 
 
 @pytest.mark.parametrize(("hidden", "word"), [("1d10t", "idiot"), ("st00pid", None), ("l0s3r", "loser"), ("looooser", "loser"), ("$tup!d", "stupid"), ("cl0wn", "clown")])
@@ -146,23 +190,45 @@ def test_restoring_leaves_plain_text(model):
     assert toxicity.restore("an i d i o t and c.l.o.w.n here", model) == "an idiot and clown here"
 
 
-def test_viterbi_is_the_best_reading(model):
-    def score(word):
-        a = b = toxicity.BOUND
-        total = 0.0
-        for c in word:
-            k = toxicity._CODE.get(c, toxicity.OTHER)
-            total, a, b = total + float(model[a, b, k]), b, k
-        return total + float(model[a, b, toxicity.BOUND])
+def way_score(model, word):
+    history, total = 0, 0.0
+    for c in word:
+        step, history = model.step(history, toxicity.BOUND if c == " " else toxicity._CODE.get(c, toxicity.OTHER))
+        total += step
+    return total + model.step(history, toxicity.BOUND)[0]
 
+
+def test_viterbi_is_the_best_reading(model):
     token = "1d10t"
     best = None
     for reading in itertools.product(*([x for x in toxicity.STANDS_FOR.get(c, c)] + ([""] if c in toxicity.STANDS_FOR else []) for c in token)):
         cost = sum(0.0 if c.isalpha() else -12.0 if r == "" else -1.0 - math.log(len(toxicity.STANDS_FOR[c])) for c, r in zip(token, reading, strict=True))
-        best = max(best or (-math.inf, ""), (score("".join(reading)) + cost, "".join(reading)))
+        best = max(best or (-math.inf, ""), (way_score(model, "".join(reading)) + cost, "".join(reading)))
     assert toxicity.decode(token, model) == best[1]
 
 
+@pytest.mark.parametrize("stretch", ["y o u i d i o t", "i d i o t  u", "l.0.s.3.r", "t h e l o s t"])
+def test_gaps_are_part_of_the_lattice(model, stretch):
+    """Every way to read every character and every gap as nothing or as the end of a word."""
+    ways = toxicity.spaced_lattice(stretch)
+    assert sum([" ", 0.0] in map(list, w) or [" ", toxicity.PARTED] in map(list, w) for w in ways) == len(toxicity.GAP.findall(stretch))
+    read = [("".join(r for r, _ in way), sum(c for _, c in way)) for way in itertools.product(*ways)]
+    best = max(way_score(model, text) + cost for text, cost in read)
+    got = toxicity.unspaced(stretch, model)
+    assert any(abs(way_score(model, text) + cost - best) < 1e-6 for text, cost in read if text == got)
+
+
+def test_words_are_cut_out_of_spaced_letters(model):
+    assert toxicity.spaced_words("so y o u i d i o t, i d i o t  l o s e r and 1 2 3 4 5", model) == ["you", "idiot", "idiot", "loser"]
+
+
+def test_conflicting_labels_agree_on_toxic(spark):
+    docs = spark.createDataFrame([(i, f"some words that differ w{chr(97 + i % 26)} {'idiot' if i % 2 else 'fine'} x{chr(97 + i % 23)} and go on") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(60) for y in ((0, 1) if i % 2 else (0, 0))], "doc_id long, toxic int")
+    rows = [toxicity.score(docs, labels.orderBy(order)).orderBy("doc_id").collect() for order in ("toxic", F.desc("toxic"))]
+    assert rows[0] == rows[1] and all(r["predicted"] == r["doc_id"] % 2 for r in rows[0])
+
+
 def test_held_out_toxicity(spark):
     folder = DATA.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -222,7 +288,26 @@ def test_chat_odd_rows(spark):
     assert chat.digests(chat.format_chats(turns.limit(0))).count() == 0
 
 
-def test_training_runs_reach_as_far_as_asked():
-    text = "early " * 3000 + "late " * 3000
-    drawn = [langid.stitched([text], np.zeros(1, int), 50, np.random.default_rng(0), max_words=m)[0] for m in (3000, 6000)]
-    assert ["late" in str(x) for x in drawn] == [False, True]
+def test_turns_are_stored_in_many_layouts(spark):
+    rows = [(c, t, r, x) for c in range(40) for t, (r, x) in enumerate([("system", "s"), ("user", "u </s>"), ("assistant", None), ("human", "h"), (None, "n"), ("user", "")])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS record", "2 AS `a.b`")
+    held = chat.stored(turns).select(F.struct("conv_id", "turn").alias("at"), "record")
+    found = chat.normalise(held, "at", "record")
+    marks = {r["layout"] for r in found.select("layout").distinct().collect()}
+    assert len(marks) >= 6 and marks <= set(chat.REGISTRY)
+    back = found.select("conv_id.conv_id", "conv_id.turn", "role", "text").collect()
+    assert sorted(map(tuple, back)) == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+@pytest.mark.parametrize("text", ["½ ² Ⅷ", "42", "", "①②"])
+def test_numerals_are_no_letters(text):
+    assert langid.words_of(text) == []
+    assert langid.words_of("ab½cd été") == ["ab", "cd", "été"]
+
+
+def test_training_runs_come_from_whole_texts():
+    runs = langid.drawn_runs("early " * 30000 + "late " * 30000, 5, 40, 24)
+    assert len(runs) == 40 and all(4 <= len(r) < 24 for r in runs) and {"early", "late"} == {w for r in runs for w in r}
+    assert runs == langid.drawn_runs("early " * 30000 + "late " * 30000, 5, 40, 24) and langid.drawn_runs("a b", 5, 40, 24) == []
+    tokens, labels = langid.stitched([runs], np.zeros(1, int), 50, np.random.default_rng(0))
+    assert all(len(t) == 24 for t in tokens) and "late" in str(tokens) and labels.shape == (50, 24)
