@@ -30,8 +30,9 @@ LEAST_SHARED = 100
 SPACE = uuid.UUID("6f1d5a52-0d5c-4f0e-9d57-0a6a1f0b7c11")
 
 
-def record_id(kind: str, page: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{page}')}>"
+def record_id(page: object, own=True) -> str:
+    """A response's id follows from its page, so that revisits can name it; any other record's is random."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page}') if own and page is not None else uuid.uuid4()}>"
 
 
 def header_value(text: str) -> str:
@@ -47,7 +48,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id('page', page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, not revisit)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {header_value(url or f'urn:page:{page_id}')}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -57,24 +58,36 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
         f"Content-Length: {len(block)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id('page', refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+class Broken(Exception):
+    """What is wrong with an archive, from where on nothing can be read."""
+
+
 def inflate(stream) -> Iterator[bytes]:
-    """The content of a gzip file, one member or many, read once in chunks."""
-    engine = zlib.decompressobj(31)
-    while data := stream.read(CHUNK):
-        while data:
-            if out := engine.decompress(data, CHUNK):
-                yield out
-            data = engine.unconsumed_tail
-            if engine.eof:
-                data, engine = engine.unused_data, zlib.decompressobj(31)
+    """The content of a gzip file, one member or many, read once in chunks. Zero bytes between and after members are padding. Broken: after all that could be inflated."""
+    engine, begun = zlib.decompressobj(31), False
+    try:
+        while data := stream.read(CHUNK):
+            while data:
+                if not begun and not (data := data.lstrip(b"\0")):
+                    break
+                begun = True
+                if out := engine.decompress(data, CHUNK):
+                    yield out
+                data = engine.unconsumed_tail
+                if engine.eof:
+                    data, engine, begun = engine.unused_data, zlib.decompressobj(31), False
+    except zlib.error as fault:
+        raise Broken(f"gzip: {fault}") from None
+    if begun:
+        raise Broken("gzip: cut off")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(headers, block, the whole record) of each record of a stream of chunks. A record cut off at the end is left out."""
+    """(headers, block, the whole record) of each record of a stream of chunks. Broken: after the last whole record, where a record is cut off or has no length."""
     buffer, done = bytearray(), False
 
     def fill() -> bool:
@@ -92,6 +105,8 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         while (cut := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(buffer)
             if not fill():
+                if buffer.strip():
+                    raise Broken("record: cut off")
                 return
         if buffer[:2] == b"\r\n":
             continue
@@ -99,11 +114,14 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         for line in bytes(buffer[:cut]).decode("utf-8", "replace").split("\r\n")[1:]:
             key, _, value = line.partition(":")
             names[key.strip().lower()] = value.strip()
-        size = cut + 4 + int(names.get("content-length", 0))
+        length = names.get("content-length", "")
+        if not buffer.startswith(b"WARC/") or not (length.isascii() and length.isdigit()):
+            raise Broken(f"record: no header with a length, but {bytes(buffer[: min(cut, 60)])!r}")
+        size = cut + 4 + int(length)
         while len(buffer) < size + 4 and fill():
             pass
         if len(buffer) < size:
-            return
+            raise Broken("record: cut off")
         whole = bytes(buffer[:size])
         yield names, whole[cut + 4 :], whole + b"\r\n\r\n"
         del buffer[: size + 4]
@@ -150,41 +168,67 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes=ARCHIVE_BYTES) ->
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records long")
 
 
+def one_a_task(archives: DataFrame, most=20_000) -> DataFrame:
+    """Archives dealt so that each is a task of its own, up to so many tasks: paths are random, and ranges of them are even."""
+    return archives.repartitionByRange(max(1, min(most, archives.count())), "path")
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """archives: path. Inflates each once and writes <name>.warc.gz, a gzip member for each record, and <name>.idx: path, index, records."""
+    """archives: path. Inflates each once and writes <name>.warc.gz, a gzip member for each record, and <name>.idx: path, index, records, source, error.
+
+    error says what ends an archive early (a damaged or cut-off gzip stream, a record that is cut off or has no length, a missing file); the records before that are
+    there all the same. It is null if the archive is whole. A null path is an error with no files.
+    """
 
     def run(batches):
         for batch in batches:
             done = []
             for source in batch.column(0).to_pylist():
-                name = f"{folder}/{uuid.uuid4().hex}"
-                fs, at = opened(source)
+                name, offset, n, error = f"{folder}/{uuid.uuid4().hex}", 0, 0, None
                 to, target = opened(name)
                 to.create_dir(target.rpartition("/")[0], recursive=True)
-                with fs.open_input_stream(at, compression=None) as stream, to.open_output_stream(f"{target}.warc.gz", compression=None) as out, to.open_output_stream(f"{target}.idx", compression=None) as index:
-                    offset, n = 0, 0
-                    for names, _, whole in records(inflate(stream)):
-                        data = member(whole)
-                        out.write(data)
-                        entry = {"offset": offset, "length": len(data), "type": names.get("warc-type"), "id": names.get("warc-record-id"), "uri": names.get("warc-target-uri"), "digest": names.get("warc-payload-digest")}
-                        index.write(json.dumps(entry).encode() + b"\n")
-                        offset, n = offset + len(data), n + 1
-                done.append((f"{name}.warc.gz", f"{name}.idx", n))
-            columns = list(zip(*done, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["path", "index", "records"])
-
-    return archives.select("path").repartition("path").mapInArrow(run, "path string, index string, records long")
+                with to.open_output_stream(f"{target}.warc.gz", compression=None) as out, to.open_output_stream(f"{target}.idx", compression=None) as index:
+                    try:
+                        if source is None:
+                            raise FileNotFoundError("no path")
+                        fs, at = opened(source)
+                        with fs.open_input_stream(at, compression=None) as stream:
+                            for names, _, whole in records(inflate(stream)):
+                                data = member(whole)
+                                out.write(data)
+                                entry = {"offset": offset, "length": len(data), "type": names.get("warc-type"), "id": names.get("warc-record-id"), "uri": names.get("warc-target-uri"), "digest": names.get("warc-payload-digest")}
+                                index.write(json.dumps(entry).encode() + b"\n")
+                                offset, n = offset + len(data), n + 1
+                    except (Broken, FileNotFoundError) as fault:
+                        error = str(fault)
+                done.append((f"{name}.warc.gz", f"{name}.idx", n, source, error))
+            columns = list(zip(*done, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["path", "index", "records", "source", "error"])
+
+    return one_a_task(archives.select("path")).mapInArrow(run, "path string, index string, records long, source string, error string")
+
+
+def number(text) -> int | None:
+    return int(text) if text and text.lstrip("-").isascii() and text.lstrip("-").isdigit() else None
 
 
 def read(archives: DataFrame) -> DataFrame:
     """archives: path, index. Every record, by its index entry: page_id, type, uri, payload_bytes, payload_digest, refers_to, intact.
 
-    A revisit's payload size and digest are those its header gives of the payload it repeats. intact: a response's payload has its header's digest.
+    A revisit's payload size and digest are those its header gives of the payload it repeats. intact: a response's payload has the digest its header gives;
+    for a revisit see verified(). Records without the headers of a page have nulls for them, and are intact if they give no digest.
     """
     schema = "page_id long, type string, uri string, payload_bytes long, payload_digest string, refers_to long, intact boolean"
     names_ = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
+    def row(head, block):
+        payload = block.partition(b"\r\n\r\n")[2]
+        revisit = head.get("warc-type") == "revisit"
+        stated = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
+        found = stated if revisit else hashlib.sha256(payload).hexdigest()
+        return (number(head.get("x-page-id")), head.get("warc-type"), head.get("warc-target-uri"), number(head.get("x-payload-length")) if revisit else len(payload), found, number(head.get("x-refers-to-page")), None if revisit else stated in (None, found))
+
     def run(batches):
         for batch in batches:
             for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -198,18 +242,27 @@ def read(archives: DataFrame) -> DataFrame:
                             entry = json.loads(line)
                             archive.seek(entry["offset"])
                             head, block, _ = next(records(iter([zlib.decompress(archive.read(entry["length"]), 31)])))
-                            payload = block.partition(b"\r\n\r\n")[2]
-                            page, refers = head.get("x-page-id"), head.get("x-refers-to-page")
-                            stated = head["warc-payload-digest"].removeprefix("sha256:")
-                            found = stated if refers else hashlib.sha256(payload).hexdigest()
-                            rows.append((int(page) if page else None, head["warc-type"], head["warc-target-uri"], int(head["x-payload-length"]) if refers else len(payload), found, int(refers) if refers else None, found == stated))
+                            rows.append(row(head, block))
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names_)
                             rows = []
                         if not data:
                             break
 
-    return archives.select("path", "index").repartition("path").mapInArrow(run, schema)
+    return one_a_task(archives.select("path", "index")).mapInArrow(run, schema)
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """What read() gives, written once, with each revisit's intact: the response that it refers to is there, intact, and has the size and digest that the revisit gives.
+
+    Responses that revisits refer to are one row each, so that a response which a third of all pages repeat is joined as a skewed join that Spark can split.
+    """
+    rows = materialise(found, "warc-read")
+    wanted = rows.filter("type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
+    there = rows.filter("type = 'response'").join(wanted, "page_id").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.bool_and("intact").alias("ok"))
+    same = there.groupBy("refers_to").agg(F.collect_list(F.struct("d", "b", "ok")).alias("there"))
+    good = F.coalesce(F.exists("there", lambda x: x["ok"] & (x["d"] == F.col("payload_digest")) & (x["b"] == F.col("payload_bytes"))), F.lit(False))
+    return rows.join(same, "refers_to", "left").withColumn("intact", F.when(F.col("type") == "revisit", good).otherwise(F.col("intact"))).select(*rows.columns)
 
 
 def pages_to_records(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", least_shared=LEAST_SHARED) -> DataFrame:
@@ -232,7 +285,7 @@ def op1_warc(spark, sf_dir):
     rows = pages_to_records(table(spark, sf_dir, "pages"))
     written = materialise(write_archives(rows, f"{folder}/whole"), "warc-whole")
     members = materialise(normalise(written, f"{folder}/members"), "warc-members")
-    return read(members).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact")
+    return verified(read(members)).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact")
 
 
 ORACLE = """
