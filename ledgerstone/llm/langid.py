@@ -33,8 +33,18 @@ def in_training(doc_id) -> F.Column:
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-case words: runs of letters."""
-    return WORD.findall(text.lower())
+    """The lower-case words: runs of letters. Numerals such as fractions and Roman ones are no letters."""
+    found = WORD.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for x in found for w in ("".join(c if c.isalpha() else " " for c in x)).split()]
+
+
+def drawn_runs(text: str, seed: int, runs: int, words: int) -> list[list[str]]:
+    """Up to `runs` runs of fewer than `words` words each from anywhere in the whole text."""
+    found, rng = words_of(text), np.random.default_rng(seed)
+    if len(found) < 4:
+        return []
+    sizes = np.minimum(rng.integers(4, words, runs), len(found))
+    return [[short(w) for w in found[a : a + n]] for n, a in ((n, int(rng.integers(len(found) - n + 1))) for n in sizes.tolist())]
 
 
 def short(word: str) -> str:
@@ -265,10 +275,9 @@ def count_lexicon(train: DataFrame, langs: list[str]) -> np.ndarray:
     return (log - log.mean(1, keepdims=True)).astype(np.float32)
 
 
-def stitched(texts: list[str], y: np.ndarray, n: int, rng, words=24, max_words=3000):
-    """n sequences of runs of words from the first max_words of documents drawn at random: languages switch within most of them."""
-    runs = [[short(w) for w in words_of(x)[:max_words]] for x in texts]
-    usable = [i for i in np.arange(len(runs)) if len(runs[i]) >= 4]
+def stitched(runs: list[list[list[str]]], y: np.ndarray, n: int, rng, words=24):
+    """n sequences of parts of the documents' runs, drawn at random: languages switch within most of them."""
+    usable = [i for i in np.arange(len(runs)) if runs[i]]
     if not usable:
         return [], np.zeros((0, words), int)
     by_lang = [[i for i in usable if y[i] == k] for k in range(int(y.max()) + 1)]
@@ -279,10 +288,11 @@ def stitched(texts: list[str], y: np.ndarray, n: int, rng, words=24, max_words=3
         while len(row) < words:
             k = present[rng.integers(len(present))]
             i = by_lang[k][rng.integers(len(by_lang[k]))]
-            size = min(int(rng.integers(3, words)), words - len(row), len(runs[i]))
-            a = int(rng.integers(len(runs[i]) - size + 1))
+            run = runs[i][rng.integers(len(runs[i]))]
+            size = min(int(rng.integers(3, words)), words - len(row), len(run))
+            a = int(rng.integers(len(run) - size + 1))
             labels[s, len(row) : len(row) + size] = k
-            row += runs[i][a : a + size]
+            row += run[a : a + size]
         tokens.append(row)
     return tokens, labels
 
@@ -338,10 +348,11 @@ def fit(crf: Crf, tokens: list[list[str]], labels: np.ndarray, rng, rounds=4, ba
                 x += rate * dx / np.sqrt(g)
 
 
-def train(docs: DataFrame, max_docs=1200, sequences=4000, max_chars=20_000, max_words=3000, seed=7, id_col="doc_id", text_col="text", lang_col="lang") -> Crf | None:
+def train(docs: DataFrame, max_docs=1200, sequences=4000, runs=12, words=24, seed=7, id_col="doc_id", text_col="text", lang_col="lang") -> Crf | None:
     """None if no row may be learned from. Languages are the non-null values of lang in the training fold.
 
-    Weights are fitted on max_docs documents, on the first max_words words in the first max_chars characters of each; lexicon counts cover whole texts.
+    Weights are fitted on max_docs documents: on `runs` runs of fewer than `words` words of each, drawn on the executors from anywhere in the whole
+    text, so that what is gathered is bounded and a late change of language is learned from. Lexicon counts cover all rows and whole texts.
     """
     fold = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(in_training(F.col("id"))).dropna()
     sizes = {r["lang"]: r["count"] for r in fold.groupBy("lang").count().collect()}
@@ -353,12 +364,19 @@ def train(docs: DataFrame, max_docs=1200, sequences=4000, max_chars=20_000, max_
     # A hash lets about twice as many through as are wanted, of which the first are taken: what is gathered is bounded, whatever the input.
     dice = F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1 << 30))
     through = F.coalesce(*(F.when(F.col("lang") == x, dice <= min(1.0, 2 * each / n) * (1 << 30)) for x, n in sizes.items()))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))
-    drawn = fold.withColumn("dice", dice).filter(through).select("lang", "id", "dice", F.substring("text", 1, max_chars).alias("text"))
-    parts = drawn.withColumn("place", place).filter(F.col("place") <= each).orderBy("lang", "place").select("lang", "text").collect()
-    texts, y = [r["text"] for r in parts], np.array([langs.index(r["lang"]) for r in parts], int)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", F.to_json("runs")))
+
+    def draw(batches):
+        for batch in batches:
+            found = [drawn_runs(t, dice, runs, words) for t, dice in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.list_(pa.list_(pa.string())))], ["lang", "id", "dice", "runs"])
+
+    kind = fold.schema["id"].dataType.simpleString()
+    drawn = fold.withColumn("dice", dice).filter(through).select("lang", "id", "dice", "text").mapInArrow(draw, f"lang string, id {kind}, dice long, runs array<array<string>>")
+    parts = drawn.withColumn("place", place).filter(F.col("place") <= each).orderBy("lang", "place").select("lang", "runs").collect()
+    held, y = [r["runs"] for r in parts], np.array([langs.index(r["lang"]) for r in parts], int)
     rng = np.random.default_rng(seed)
-    tokens, labels = stitched(texts, y, sequences, rng, max_words=max_words)
+    tokens, labels = stitched(held, y, sequences, rng, words)
     fit(crf, tokens, labels, rng)
     crf.weights = crf.weights.astype(np.float32)
     return crf
