@@ -65,6 +65,9 @@ REGISTRY: dict[str, Mapping] = {
     layout("instruction", "output"): Mapping(fields=(("instruction", "user"), ("output", "assistant"))),
     layout("instruction", "input", "output"): Mapping(fields=(("instruction+input", "user"), ("output", "assistant"))),
     layout("system", "prompt", "response"): Mapping(fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    layout("system"): Mapping(fields=(("system", "system"),)),
+    layout("prompt"): Mapping(fields=(("prompt", "user"),)),
+    layout("response"): Mapping(fields=(("response", "assistant"),)),
 }
 
 
@@ -201,14 +204,31 @@ def digests(formatted: DataFrame) -> DataFrame:
     return sorted_.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def stored(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, record: each turn as a record in one of the registry's layouts, by a hash of where it stands: lists of messages of three kinds, or a field named for the role."""
+    role, text = F.col("role"), F.col("text")
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
+    keep = {"ignoreNullFields": "false"}
+
+    def messages(name, *fields):
+        return F.to_json(F.struct(F.array(F.struct(*fields)).alias(name)), keep)
+
+    aliased = role.isin("human", "gpt", "bot", "model")  # would be renamed on the way back
+    sender = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    field = F.coalesce(*(F.when(role == r, F.to_json(F.struct(text.alias(f)), keep)) for r, f in (("system", "system"), ("user", "prompt"), ("assistant", "response"))))
+    plain = messages("messages", role.alias("role"), text.alias("content"))
+    record = F.when(kind == 1, messages("messages", role.alias("role"), text.alias("text"))).when((kind == 2) & ~F.coalesce(aliased, F.lit(False)), messages("conversations", sender.alias("from"), text.alias("value"))).when((kind == 3) & field.isNotNull(), field)
+    return turns.select("conv_id", "turn", F.coalesce(record, plain).alias("record"))
+
+
 def op6_chat(spark, sf_dir):
+    """All conversations, stored as records of several layouts; records that are broken or of no known layout stand among them and give no turn."""
     odd = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    message = F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))
-    record = F.to_json(F.struct(message.getField("messages").alias("messages")), {"ignoreNullFields": "false"})
-    stored = rows.unionByName(extra).select(F.struct("conv_id", "turn").alias("at"), record.alias("record"))
-    turns = normalise(stored, "at", "record").select("conv_id.conv_id", F.col("conv_id.turn").alias("turn"), "role", "text")
+    bad = spark.createDataFrame([(-7, 0, '{"messages": [{"role": "user"'), (-7, 1, '{"question": "?"}'), (-7, 2, None)], "conv_id long, turn long, record string")
+    records = stored(rows.unionByName(extra)).unionByName(bad).select(F.struct("conv_id", "turn").alias("at"), "record")
+    turns = normalise(records, "at", "record").filter("turn is not null").select("conv_id.conv_id", F.col("conv_id.turn").alias("turn"), "role", "text")
     return digests(format_chats(turns))
 
 
