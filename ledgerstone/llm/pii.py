@@ -213,6 +213,8 @@ def generated(seed=11, n=700):
 
     def phone():
         a, b, c = pick("23456789") + num(2), num(3), num(4)
+        if rng.random() < 0.15:
+            return f"{a} {b} {c}"  # a phone only after a cue; elsewhere a number like others
         return pick([f"+{pick(['1', '44', '49', '33'])} ({a}) {b}-{c}"] * 4 + [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+{num(11).replace('0', '4')}"])
 
     def ip():
@@ -233,7 +235,8 @@ def generated(seed=11, n=700):
         for _ in range(int(rng.integers(1, 4))):
             kind = pick([*KINDS, *KINDS, "none", "none", "none"])
             value = makers[kind]() if kind in makers else none()
-            if kind in CUES and rng.random() < 0.3:
+            bare = kind == "phone" and value.replace(" ", "").isdigit()
+            if kind in CUES and (bare or rng.random() < 0.3):
                 text += f" {pick(CUES[kind])}{pick(['', ':'])}"
             text += " "
             if kind in makers:
