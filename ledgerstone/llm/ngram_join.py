@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, table
+from .common import drop, materialise, pieces, table
 
 WORDS, THRESHOLD = 5, 0.8
 COORDS, SMALL, TILE, DEPTH = 64, 2000, 512, 3
@@ -40,7 +40,7 @@ ORDER = RNG.permutation(COORDS)
 class Shingler:
     """Texts to sorted arrays of 64-bit shingle hashes; remembers words up to a bound."""
 
-    def __init__(self, words=WORDS, remember=400_000):
+    def __init__(self, words=WORDS, remember=200_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def _hash(self, word: str) -> int:
@@ -131,7 +131,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(3).to_pylist()]
             for a, b in blocks(texts):
                 found = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) if len(s) else (None, None) for s in shingler.sets(texts[a:b])]
@@ -183,9 +183,10 @@ def leaves(sets: DataFrame, threshold: float, missed: float) -> DataFrame:
     """(leaf, s, n): the sets of each leaf with two or more."""
     level, found = roots(sets, threshold, missed), None
     for depth in range(1, DEPTH + 1):
-        level = materialise(level, f"paths-{depth}")
-        busy = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        together = materialise(level.join(busy, "node").dropDuplicates(["node", "s"]) if depth > 1 else level.join(busy, "node"), f"nodes-{depth}")
+        # Repeats go by node and set, and counts are written first, so that the join by node, which may be hot, has no aggregate beside it that keeps Spark from splitting it.
+        level = materialise(level if depth == 1 else level.dropDuplicates(["node", "s"]), f"paths-{depth}")
+        busy = materialise(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), f"busy-{depth}")
+        together = materialise(level.join(busy, "node"), f"nodes-{depth}")
         drop(level)
         done = together if depth == DEPTH else together.filter(F.col("n") <= SMALL)
         found = done if found is None else found.unionByName(done)
@@ -369,7 +370,7 @@ def needed_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, shingler = np.unpackbits(packed).astype(bool), Shingler()
-        for batch in batches:
+        for batch in pieces(batches):
             k = batch.column(0).to_numpy().astype(np.uint64)
             hit = np.flatnonzero(bits[k & np.uint64(BLOOM - 1)] & bits[(k >> np.uint64(40)) & np.uint64(BLOOM - 1)])
             texts = [t or "" for t in batch.column(2).take(pa.array(hit)).to_pylist()]
@@ -458,3 +459,17 @@ def keep_one(docs: DataFrame, threshold=THRESHOLD, missed=1e-3) -> DataFrame:
 
 def op4_ngram_join(spark, sf_dir):
     return join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+# Brute force: all pairs of rows that share a shingle, and the closure of their links. For small tables.
+ORACLE = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, list_slice(w, i, i + {WORDS - 1}) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+h AS (SELECT r, hash(g) AS g FROM s),
+n AS (SELECT r, count(*) AS n FROM h GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE c.c >= {THRESHOLD}::DOUBLE * (p.n + q.n - c.c) - 1e-9::DOUBLE),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+least AS (SELECT x AS r, min(o.doc_id) AS least FROM reach JOIN d o ON o.r = y GROUP BY x),
+deg AS (SELECT x AS r, count(*) AS links FROM e GROUP BY x)
+SELECT doc_id, coalesce(least(least, doc_id), doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links FROM d LEFT JOIN least USING (r) LEFT JOIN deg USING (r)"""
