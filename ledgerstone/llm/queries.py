@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
     "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_secrets": secrets.ORACLE,

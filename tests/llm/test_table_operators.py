@@ -161,6 +161,10 @@ def brute_classes(rows, threshold=0.8):
     return Counter((rows[i][0], least[label[i]], links[i]) for i in range(len(rows)))
 
 
+def test_join_matches_sql(spark, duck):
+    assert same_rows(ngram_join.op4_ngram_join(spark, DATA), duck, ngram_join.ORACLE)
+
+
 def near_copies(n, seed=1, words=60):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(9999)}" for _ in range(words)]
