@@ -249,11 +249,12 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, max_labelled=40_
         for part in pieces(batches):
             rows: Counter = Counter()
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = [w for t in text.lower().split() for w in words_of(t, model)] + spaced_words(text, model)
-                rows.update((f, y, 0) for f in {"", *(f for w in set(words) for f in features(w))})
-                if y:
-                    around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                    rows.update({(f, y, hash_of(a, b)) for a, w, b in around for f in features(w)})
+                tokens, spaced = text.lower().split(), spaced_words(text, model)
+                read = [(words_of(t, model), a, b) for a, t, b in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False)]
+                read += [([w], a, b) for a, w, b in zip(["", *spaced], spaced, [*spaced[1:], ""], strict=False)]
+                rows.update((f, y, 0) for f in {"", *(f for w in {w for words, _, _ in read for w in words} for f in features(w))})
+                if y:  # contexts are tokens as they stand, so that what decoding makes of the neighbours has no part in it
+                    rows.update({(f, y, hash_of(a, b)) for words, a, b in read for w in words for f in features(w)})
             keys = list(rows)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["f", "y", "context", "n"])
 
