@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, mixing, ngram_join, pii, secrets, toxicity, warc
+from . import alignment, ann, chat, decontam, langid, mixing, ngram_join, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
+    "op12_alignment": alignment.op12_alignment,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
