@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, chat, decontam, langid, mixing, ngram_join, pii, secrets, toxicity, warc
+from . import alignment, ann, chat, decontam, divergence, langid, mixing, ngram_join, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
     "op12_alignment": alignment.op12_alignment,
+    "op13_divergence": divergence.op13_divergence,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
