@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, chat, decontam, divergence, langid, mixing, ngram_join, pii, secrets, toxicity, warc
+from . import alignment, ann, chat, decontam, divergence, langid, mixing, ngram_join, pii, rules, secrets, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
+    "op11_quality": rules.op11_quality,
     "op12_alignment": alignment.op12_alignment,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op6_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "op11_quality": rules.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
