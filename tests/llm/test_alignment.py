@@ -89,3 +89,12 @@ def test_cuts_are_where_no_token_crosses():
     v = alignment.Vocabularies(*alignment.read_vocabularies(*PATHS))
     assert re.split(v.cut, " a b  c  d ") == [" a", " b", "  c", "  d "]
     assert re.compile(alignment.cut_pattern([b"x y"])).split(" x y z") == [" x y", " z"]  # a token that goes on after x
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    odd = np.array([-1, 0, 1, 65533, 65534, 65535, 65536, 131069, 131070, 131071, 65534 << 16, (65535 << 16) - 2, 2**32 - 3, -1, -1, 7])
+    for ids in (odd, odd[::-1], odd[:0], np.random.default_rng(1).integers(-1, 1 << 19, 5000)):
+        assert (alignment.unpacked(alignment.packed(ids)) == ids).all()
+    assert len(alignment.unpacked(None)) == 0

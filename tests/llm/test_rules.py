@@ -50,7 +50,7 @@ def test_measures_match_a_direct_count(spark):
         ("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN", "upper"),
         ("one*** two*** three*** four*** five*** six*** seven*** eight*** nine*** ten***", "symbols"),
         (" ".join(f"w{i}x" for i in range(200)), "stop_words"),
-        ("\n".join(["the same line"] * 3 + [f"another {i} of them" for i in range(5)]), None),
+        ("here it is\nhere it is\n" + "\n".join(f"{w} and the {w * 2}" for w in "red blue green dark light warm cold".split()), None),
         ("\n".join(["the same line of it"] * 4 + [f"another {i} of them" for i in range(5)]), "dup_lines"),
         ("中文 " * 3 + "一二三 四五六 七八九 十 百 千 万", None),
     ],
