@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CODE_HOSTS, NOT_DATASETS, Role
-from .text import dedup_key, has_result_number, phrase_groups, phrase_pattern, sentences
+from .lexicon import Names, Themes, fold, word_edges
+from .rows import COUNTS, STRINGS, by_row
+from .text import NUMBER_RESULT, TRIMMED
 
 
 # A capitalised name before "dataset" or "benchmark", and a link with what is trimmed off its end.
 NAMED = r"\b([A-Z][A-Za-z0-9+\-]{2,20})\s+(?:dataset|benchmark)\b"
 LINK, LINK_TAIL = r"https?://[^\s\]\[)>(]+", ".,;"
+NAMED_RE, LINK_RE, NUMBER_RE = (re.compile(p, re.ASCII) for p in (NAMED, LINK, NUMBER_RESULT))
+END_RE, MARKS_RE = re.compile(r"(?<=[.!?]) (?=[A-Z0-9])"), re.compile(r"\W+")
 
 
 def occurrences(text: Column, word: str) -> Column:
@@ -27,15 +32,10 @@ def substring_scores(title: Column, text: Column, lexicon: dict[str, tuple[str,
     return F.create_map(*(x for theme, words in lexicon.items() for x in (F.lit(theme), sum((occurrences(hay, w.lower()) for w in words), F.lit(0)))))
 
 
-def normal_phrases(words) -> list[str]:
-    """Phrases without those that compile to the same pattern."""
-    return list({phrase_pattern(w.lower()): w for w in words}.values())
-
-
 def phrase_scores(title: Column, text: Column, lexicon: dict[str, tuple[str, ...]], most=50_000) -> Column:
-    """Theme -> count of its phrases as whole words."""
-    hay = F.concat(title, F.lit("\n"), F.substring(text, 1, most))
-    return F.create_map(*(x for theme, words in lexicon.items() for x in (F.lit(theme), sum((F.regexp_count(hay, F.lit(phrase_pattern(*group))) for group in phrase_groups(normal_phrases(words))), F.lit(0)))))
+    """Theme -> count of its phrases as whole words, by one automaton for all themes. Null texts have none."""
+    themes = Themes(lexicon)
+    return by_row(lambda hay: list(themes.scores(fold(hay or "")).items()), *COUNTS)(F.concat(title, F.lit("\n"), F.substring(text, 1, most)))
 
 
 def active_themes(scores: Column) -> Column:
@@ -44,26 +44,39 @@ def active_themes(scores: Column) -> Column:
     return F.transform(F.array_sort(F.transform(found, lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("name")))), lambda e: e["name"])
 
 
+def named(text: str) -> list[str]:
+    """Capitalised words before "dataset" or "benchmark"."""
+    return NAMED_RE.findall(text) if "dataset" in text or "benchmark" in text else []
+
+
+def ordered_names(known, near, stop, most) -> list[str]:
+    return sorted({*known, *(t for t in near if t.lower() not in stop)}, key=lambda t: (t.lower(), t))[:most]
+
+
 def dataset_names(text: Column, names, stop=NOT_DATASETS, most=30, any_case=True) -> Column:
-    """Known names, and capitalised words before "dataset" or "benchmark"; by lower case, then value."""
-    case = "(?iu)" if any_case else ""
-    known = F.filter(F.array(*map(F.lit, names)), lambda n: F.lit(False)) if not names else F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(f"{case}(?<![A-Za-z0-9]){re.escape(n)}(?![A-Za-z0-9])")), F.lit(n)) for n in names)), lambda n: n.isNotNull())
-    near = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1))
-    near = F.filter(near, lambda t: ~F.lower(t).isin(*stop))
-    both = F.array_distinct(F.concat(known, near) if names else near)
-    ordered = F.array_sort(F.transform(both, lambda t: F.struct(F.lower(t).alias("low"), t.alias("name"))))
-    return F.slice(F.transform(ordered, lambda t: t["name"]), 1, most)
+    """Known names, and capitalised words before "dataset" or "benchmark"; by lower case, then value. Null texts have none."""
+    known, stop = Names(names, any_case), frozenset(stop)
+    return by_row(lambda t: ordered_names(known.found(t or ""), named(t or ""), stop, most), *STRINGS)(text)
 
 
 def metric_names(text: Column, names, any_case=True) -> Column:
-    case = "(?iu)" if any_case else ""
-    return F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(rf"{case}\b{re.escape(n)}\b")), F.lit(n)) for n in names)), lambda n: n.isNotNull())
+    """Which of the names stand in the text as words, in their order. Null texts have none."""
+    known = Names(names, any_case, word_edges)
+    return by_row(lambda t: known.found(t or ""), *STRINGS)(text)
 
 
 def links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.rtrim(u, F.lit(LINK_TAIL)))
 
 
+def code_links_in(text: str, hosts=CODE_HOSTS, most=12) -> list[str]:
+    """What code_links() has of a text."""
+    if "http" not in text:
+        return []
+    found = {u.rstrip(LINK_TAIL) for u in LINK_RE.findall(text)}
+    return sorted(u for u in found if any(h in u.lower() for h in hosts))[:most]
+
+
 def code_links(text: Column, hosts=CODE_HOSTS, most=12) -> Column:
     kept = F.filter(links(text), lambda u: F.regexp_like(F.lower(u), F.lit("|".join(map(re.escape, hosts)))))
     return F.slice(F.array_sort(F.array_distinct(kept)), 1, most)
@@ -73,34 +86,51 @@ def code_links(text: Column, hosts=CODE_HOSTS, most=12) -> Column:
 KEYWORD, NUMBER, PRONOUN, PLACE = 10_000, 15_000, 2_000, 5
 
 
-def sentence_score(sentence: Column, place: Column, phrases, number_bonus: bool) -> Column:
-    low = F.lower(sentence)
-    score = sum((F.when(F.contains(low, F.lit(p.lower())), KEYWORD).otherwise(0) for p in phrases), F.lit(0))
-    if number_bonus:
-        score = score + F.when(has_result_number(sentence), NUMBER).otherwise(0)
-    return score + F.when(F.regexp_like(low, F.lit(r"(?:we|our) ")), PRONOUN).otherwise(0) - place * PLACE
-
-
-def scored_sentences(said: Column, phrases, number_bonus=False) -> Column:
-    """Of an array of sentences those with a positive score, best first, shorter first, then in order: minus, size, place, sentence, key."""
-    found = F.transform(
-        said,
-        lambda s, i: F.struct((-sentence_score(s, i, phrases, number_bonus)).cast("int").alias("minus"), F.length(s).alias("size"), i.cast("int").alias("place"), s.alias("sentence"), dedup_key(s).alias("key")),
-    )
-    return F.array_sort(F.filter(found, lambda x: x["minus"] < 0))
+class Scorer:
+    """Scores of sentences for several roles at once: what a sentence holds is looked up once, whatever the number of roles."""
+
+    def __init__(self, wanted: tuple[Role, ...]):
+        self.roles = wanted
+        self.phrases = list(dict.fromkeys(p.lower() for r in wanted for p in r.phrases))
+        place = {p: i for i, p in enumerate(self.phrases)}
+        self.of = [([place[p.lower()] for p in r.phrases], r.number_bonus, r.cap) for r in wanted]
+
+    def best(self, said: list[str]) -> list[list[str]]:
+        """For each role its best sentences: highest score first, shorter first, then in order; of those that differ in marks only the best. A heap gives as many as it takes, no more are sorted."""
+        heaps = [[] for _ in self.of]
+        for i, s in enumerate(said):
+            low = s.lower()
+            held = [p in low for p in self.phrases]
+            base = (PRONOUN if "we " in low or "our " in low else 0) - i * PLACE
+            number = None
+            for heap, (own, bonus, _) in zip(heaps, self.of):
+                score = base + KEYWORD * sum([held[k] for k in own])
+                if bonus:
+                    number = NUMBER * bool(NUMBER_RE.search(s)) if number is None else number
+                    score += number
+                if score > 0:
+                    heap.append((-score, len(s), i))
+        return [self.distinct(said, heap, cap) for heap, (_, _, cap) in zip(heaps, self.of)]
+
+    def distinct(self, said, heap, cap):
+        heapq.heapify(heap)
+        keys, out = set(), []
+        while heap and len(out) < cap:
+            sentence = said[heapq.heappop(heap)[2]]
+            key = MARKS_RE.sub(" ", sentence.lower())[:160]
+            if key not in keys:
+                keys.add(key)
+                out.append(sentence)
+        return out
+
+
+def sentences_in(text: str, least=35, most=600) -> list[str]:
+    """What text.sentences() has of a text."""
+    pieces = (s.strip(TRIMMED) for s in END_RE.split(" ".join(text.split())))
+    return [s for s in pieces if least <= len(s) <= most]
 
 
 def evidence(text: Column, role: Role) -> Column:
-    """The role's best sentences of a text."""
-    return evidence_of(sentences(text), role)
-
-
-def evidence_of(said: Column, role: Role) -> Column:
-    """The role's best sentences of an array of them; of sentences that differ in marks only the best stays."""
-    none = F.expr("cast(array() as array<string>)")
-
-    def keep(acc, x):
-        more = (F.size(acc["out"]) < role.cap) & ~F.array_contains(acc["keys"], x["key"])
-        return F.when(more, F.struct(F.array_append(acc["keys"], x["key"]).alias("keys"), F.array_append(acc["out"], x["sentence"]).alias("out"))).otherwise(acc)
-
-    return F.aggregate(scored_sentences(said, role.phrases, role.number_bonus), F.struct(none.alias("keys"), none.alias("out")), keep, lambda acc: acc["out"])
+    """The role's best sentences of a text. Null texts have none."""
+    scorer = Scorer((role,))
+    return by_row(lambda t: scorer.best(sentences_in(t or ""))[0], *STRINGS)(text)

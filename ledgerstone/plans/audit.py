@@ -4,22 +4,74 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Audit, roles
 from ..functions import extract, text
+from ..functions.lexicon import Names, Themes, fold, word_edges
+from ..functions.rows import COUNTS, STRINGS, by_row
 from ..operators import quality, sections, select, strata
 from ..sources.work import materialise
 
 
+FIELDS = {"word_count": ("bigint", pa.int64()), "char_count": ("bigint", pa.int64()), "section_names": STRINGS, "section_coverage": ("double", pa.float64()), "theme_scores": COUNTS, "datasets": STRINGS, "metrics": STRINGS, "code_urls": STRINGS}
+LAST = {"abstract_excerpt": ("string", pa.string())}
+
+
+class Reader:
+    """What a record holds of a text, in one pass: cleaned once, folded once, sentences split once for all roles that read the same sections."""
+
+    def __init__(self, audit: Audit, fallback: bool):
+        self.audit, self.fallback, self.scanner = audit, fallback, sections.Scanner()
+        self.themes, self.stop = Themes(audit.lexicon), frozenset(audit.not_datasets)
+        self.datasets, self.metrics = Names(audit.datasets), Names(audit.metrics, edges=word_edges)
+        groups = {}
+        for r in roles(audit.phrases):
+            groups.setdefault((r.sections, r.max_chars, r.name == "method_claims"), []).append(r)
+        self.groups = [(*key, extract.Scorer(tuple(rs)), [r.name for r in rs]) for key, rs in groups.items()]
+
+    def scores(self, title: str, body: str) -> dict[str, int]:
+        if self.audit.phrase_mode:
+            return self.themes.scores(fold(f"{title}\n{body[:50_000]}"))
+        hay = f"{title}\n{body[:30_000]}".lower()
+        return {theme: sum(hay.count(w.lower()) for w in words) for theme, words in self.audit.lexicon.items()}
+
+    def read(self, title: str | None, raw: str | None) -> dict:
+        body = text.cleaned(raw or "")
+        parsed = sections.slices(body, self.scanner.headings(body))
+        head = body[:120_000]
+        low = fold(head)
+        abstract = parsed.get("abstract") or parsed.get("front_matter") or ""
+        found = {
+            "word_count": len(body.split()),
+            "char_count": len(body),
+            "section_names": sorted(parsed),
+            "section_coverage": sections.share(parsed),
+            "theme_scores": list(self.scores(title or "", body).items()),
+            "datasets": extract.ordered_names(self.datasets.found(head, low), extract.named(head), self.stop, 30),
+            "metrics": self.metrics.found(head, low),
+            "code_urls": extract.code_links_in(head),
+            "abstract_excerpt": " ".join(abstract.split())[:1800],
+        }
+        for names, most, with_abstract, scorer, wanted in self.groups:
+            said = "\n".join(parsed[n] for n in names if parsed.get(n))[:most]
+            said = body if self.fallback and "full" in parsed else f"{abstract}\n{said}" if with_abstract else said
+            found |= zip(wanted, scorer.best(extract.sentences_in(said)))
+        return found
+
+
 def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
     """A record for each document: counts, sections, themes, entities, evidence. docs: doc_id, title, text, and content_sha256 and source_path if known.
 
-    Everything stays inside a row, so that no text is shuffled. fallback: roles read the whole text if no heading is found.
+    Everything stays inside a row, so that no text is shuffled, and a text is read in one pass by one Arrow function. fallback: roles read the whole text
+    if no heading is found. Null texts are empty, null titles too where themes are sought.
     """
     have = set(docs.columns)
+    fields = FIELDS | {r.name: STRINGS for r in roles(audit.phrases)} | LAST
+    read = by_row(Reader(audit, fallback).read, f"struct<{','.join(f'{n}:{t}' for n, (t, _) in fields.items())}>", pa.struct([(n, t) for n, (_, t) in fields.items()]))
     base = docs.select(
         F.col("doc_id").alias("paper_id"),
         "title",
@@ -27,40 +79,10 @@ def records(docs: DataFrame, audit: Audit, fallback=True) -> DataFrame:
         F.lit(audit.venue).cast("string").alias("venue"),
         (F.col("source_path") if "source_path" in have else F.lit(None).cast("string")).alias("source_path"),
         (F.col("content_sha256") if "content_sha256" in have else F.sha2("text", 256)).alias("fulltext_sha256"),
-        text.clean(F.coalesce("text", F.lit(""))).alias("body"),
+        read(F.col("title"), F.col("text")).alias("r"),
     )
-    base = base.withColumn("lines", sections.lines(F.col("body"))).withColumn("heads", sections.headings(F.col("lines"))).withColumn("parsed", sections.sections(F.col("body"), F.col("heads")))
-    body, parsed = F.col("body"), F.col("parsed")
-    scorer = extract.phrase_scores if audit.phrase_mode else extract.substring_scores
-    abstract = text.first_section(parsed, "abstract", "front_matter")
-
-    def role_text(role):
-        found = text.join_sections(parsed, role.sections, role.max_chars)
-        if role.name == "method_claims":
-            found = F.concat(abstract, F.lit("\n"), found)
-        return F.when(F.map_contains_key(parsed, F.lit("full")), body).otherwise(found) if fallback else found
-
-    # Roles that read the same sections share their sentences, worked out once in a column of their own.
-    wanted = roles(audit.phrases)
-    shared = {(r.sections, r.max_chars, r.name == "method_claims"): r for r in wanted}
-    place = {key: f"said_{i}" for i, key in enumerate(shared)}
-    base = base.withColumns({place[key]: text.sentences(role_text(r)) for key, r in shared.items()})
-    said = {r.name: F.col(place[r.sections, r.max_chars, r.name == "method_claims"]) for r in wanted}
-    first = ("paper_id", "title", "year", "venue", "source_path", "fulltext_sha256")
-    head = F.substring(body, 1, 120_000)
-    return base.select(
-        *first,
-        text.word_count(body).alias("word_count"),
-        text.char_count(body).alias("char_count"),
-        F.array_sort(F.map_keys(parsed)).alias("section_names"),
-        F.round(sections.coverage(parsed), 3).alias("section_coverage"),
-        scorer(F.col("title"), body, audit.lexicon).alias("theme_scores"),
-        extract.dataset_names(head, audit.datasets, audit.not_datasets).alias("datasets"),
-        (extract.metric_names(head, audit.metrics) if audit.metrics else F.expr("cast(array() as array<string>)")).alias("metrics"),
-        extract.code_links(head).alias("code_urls"),
-        *(extract.evidence_of(said[r.name], r).alias(r.name) for r in wanted),
-        text.excerpt(abstract).alias("abstract_excerpt"),
-    ).withColumn("themes", extract.active_themes(F.col("theme_scores")))
+    base = base.select(*base.columns[:-1], "r.*").withColumn("section_coverage", F.round("section_coverage", 3))
+    return base.withColumn("themes", extract.active_themes(F.col("theme_scores")))
 
 
 def feature_text(rows: DataFrame) -> DataFrame:

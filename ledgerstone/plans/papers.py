@@ -12,6 +12,7 @@ from ..schemas import REGISTRY_COLUMNS
 from ..sources import corpus, sinks
 from ..sources.work import materialise, work_path
 from . import audit as plan
+from .registry import table
 
 # --- inputs --------------------------------------------------------------------------------------------------------------------------
 
@@ -36,7 +37,7 @@ LAYOUT = """concat('A study of things', chr(10),
 
 def papers(spark, d):
     """doc_id, title, text. Every eleventh paper is its document as it is, without headings."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "source", "coalesce(text, '') AS t", "CAST(length(coalesce(text, '')) DIV 5 AS INT) AS n")
+    docs = table(spark, d, "documents").selectExpr("doc_id", "source", "coalesce(text, '') AS t", "CAST(length(coalesce(text, '')) DIV 5 AS INT) AS n")
     text = F.expr(f"CASE WHEN doc_id % 11 = 0 THEN t ELSE {LAYOUT.format(text='STRING')} END")
     return docs.select("doc_id", F.concat(F.lit("Study "), F.col("doc_id").cast("string")).alias("title"), text.alias("text"), "source")
 
@@ -45,12 +46,11 @@ def parsed(spark, d):
     from ..functions import text
 
     base = papers(spark, d).select("doc_id", text.clean(F.col("text")).alias("body"))
-    return base.withColumn("heads", sections.headings(sections.lines(F.col("body"))))
+    return base.withColumn("heads", sections.headings(F.col("body")))
 
 
 def records(spark, d):
-    """Written before they are read again: a filter pushed into the parser would have it work once for each condition."""
-    return materialise(plan.records(papers(spark, d), AUDIT), "records")
+    return plan.records(papers(spark, d), AUDIT)
 
 
 def scored(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Audit, Quota, Role, Weight
 from ..functions import extract, text
 from ..operators import leakage, ledger, quality, scan, select, strata, summary
+from ..sources.work import dealt
 from ..schemas import CLAIM_COLUMNS, CLAIMS, GATES, REGISTRY, REGISTRY_COLUMNS, REVIEWS
 
 LEXICON = {"nouns": ("tion", "ment"), "articles": ("the ", "les "), "endings": ("ung", "heit"), "verbs": ("ing", "ado")}
@@ -20,7 +21,7 @@ CLAIM_STATUSES = ("supported", "partially_supported", "unsupported", "pending_va
 
 
 def table(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def documents(spark, d):

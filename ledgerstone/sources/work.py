@@ -44,16 +44,22 @@ def _forget(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write df into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.ledgerstone_path = path
     return out
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table over all cores: one with fewer splits than there are cores, as one small file has, is dealt over them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what materialise() wrote; only for tables that nothing lazy still reads."""
     remove(df.sparkSession, df.ledgerstone_path)

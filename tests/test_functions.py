@@ -49,9 +49,8 @@ def test_phrases(spark):
         assert one(spark, lambda x: extract.phrase_scores(F.lit(""), x, words), raw) == {"t": n}
     assert one(spark, lambda x: extract.substring_scores(F.lit(""), x, {"t": ("ct",)}), "object Act") == {"t": 2}
     words = {"t": ("low light", "light weight", "c++", "c", "sea")}  # some share words, so that their matches can overlap
-    assert text.phrase_groups(words["t"]) == [["low light", "c", "sea"], ["light weight"], ["c++"]]
     assert one(spark, lambda x: extract.phrase_scores(F.lit(""), x, words), "Low light weight, sea c++ C") == {"t": 6}
-    assert extract.normal_phrases(("low light", "low-light")) == ["low-light"]
+    assert one(spark, lambda x: extract.phrase_scores(F.lit(""), x, {"t": ("low light", "low-light", "-", "")}), "low light - low") == {"t": 1}
 
 
 def test_entities(spark):
@@ -73,7 +72,7 @@ def test_evidence(spark):
 
 
 def parse(spark, raw, **options):
-    df = spark.createDataFrame([(raw,)], "x string").withColumn("l", sections.lines(F.col("x"))).withColumn("h", sections.headings(F.col("l"), **options))
+    df = spark.createDataFrame([(raw,)], "x string").withColumn("h", sections.headings(F.col("x"), **options))
     return df.select(sections.sections(F.col("x"), F.col("h"))).first()[0]
 
 
