@@ -65,6 +65,11 @@ class Quota:
     quota: int
 
 
+# Features, the largest share of documents a term may be in, starts, rounds and batches of k-means, and dimensions (the first audit's are our own), for the first and the second audit.
+V1_STRATA = {"features": 30_000, "max_df": 1.0, "tries": 10, "rounds": 150, "batch": 512, "dims": 160}
+V2_STRATA = {"features": 40_000, "max_df": 0.92, "tries": 20, "rounds": 300, "batch": 256, "dims": 160}
+
+
 @dataclass(frozen=True)
 class Audit:
     """One audit. direct: theme weights of the direct score; quotas: in order of priority; target: how many documents are selected."""

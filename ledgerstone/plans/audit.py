@@ -9,7 +9,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Audit, roles
+from ..config import V1_STRATA, V2_STRATA, Audit, roles
 from ..functions import extract, text
 from ..functions.lexicon import Names, Themes, fold, word_edges
 from ..functions.rows import COUNTS, STRINGS, by_row
@@ -90,11 +90,10 @@ def feature_text(rows: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.concat_ws(" ", "title", "abstract_excerpt", F.array_join(evidence, " ")).alias("features"))
 
 
-def with_strata(rows: DataFrame, audit: Audit, tries=20, rounds=300, **options) -> DataFrame:
-    """rows with cluster_id and distance; -1 and 0 where a record has no known term. options: what tfidf() takes."""
+def with_strata(rows: DataFrame, audit: Audit, **options) -> DataFrame:
+    """rows with cluster_id and distance; -1 and 0 where a record has no known term. options: what strata() takes."""
     stop = audit.stop_words if audit.stop_words is not None else tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    weights = strata.tfidf(feature_text(rows), "features", stop=stop, id_col="paper_id", **options)
-    found = strata.cluster(strata.project(weights, seed=audit.seed, id_col="paper_id"), audit.strata, tries, rounds, seed=audit.seed, id_col="paper_id")
+    found = strata.strata(feature_text(rows), "features", audit.strata, seed=audit.seed, id_col="paper_id", stop=stop, **options)
     return rows.join(found, "paper_id", "left").withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "distance": F.coalesce("distance", F.lit(0.0))})
 
 
@@ -102,11 +101,6 @@ def narrow(rows: DataFrame) -> DataFrame:
     return rows.select("paper_id", "title", F.col("cluster_id").alias("stratum"), F.col("selection_score").alias("score"), "themes")
 
 
-# Features, the largest share of documents a term may be in, starts and rounds of k-means, for the first and the second audit.
-V1_STRATA = {"features": 30_000, "max_df": 1.0, "tries": 10, "rounds": 150}
-V2_STRATA = {"features": 40_000, "max_df": 0.92, "tries": 20, "rounds": 300}
-
-
 def v2(parsed: DataFrame, audit: Audit, **options) -> DataFrame:
     """Quality gate, strata, capped scores, quotas, round robin. parsed: records, materialised. Ranks are those of insertion; score_rank is beside them. options replace V2_STRATA's."""
     ok = with_strata(quality.gate(parsed, audit.least_words, audit.least_coverage), audit, **V2_STRATA | options).withColumn("selection_score", quality.v2_score(audit.direct))

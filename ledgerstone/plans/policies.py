@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Audit, from_environment
+from ..config import V2_STRATA, Audit, from_environment
 from ..functions.text import strip
 from ..operators import leakage, ledger, quality, scan, strata
 from ..schemas import GATES, REVIEWS
@@ -106,7 +106,7 @@ def environment(spark, d):
 def strata_invariants(spark, d):
     """What holds of the strata of all documents whatever the library: every document once, at most as many strata as asked for, distances in range, no stratum that takes nearly all."""
     docs = table(spark, d, "documents")
-    found = strata.cluster(strata.project(strata.tfidf(docs, "text")), STRATA)
+    found = strata.strata(docs, "text", STRATA, **V2_STRATA)
     both = docs.select("doc_id").join(found, "doc_id", "left")
     known = F.col("cluster_id").isNotNull()
     share = F.max(F.struct("n", "cluster_id"))["n"] / F.sum("n")

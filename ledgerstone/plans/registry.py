@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Audit, Quota, Role, Weight
+from ..config import V2_STRATA, Audit, Quota, Role, Weight
 from ..functions import extract, text
 from ..operators import leakage, ledger, quality, scan, select, strata, summary
 from ..sources.work import dealt
@@ -248,9 +248,9 @@ def tfidf_documents(spark, d):
 
 
 def semantic_strata(spark, d):
-    """Clusters of the documents; labels aren't comparable across libraries. Documents without a weight are in cluster -1."""
+    """Clusters of the documents with the second audit's own settings; labels aren't comparable across libraries. Documents without a weight are in cluster -1."""
     docs = table(spark, d, "documents")
-    found = strata.cluster(strata.project(strata.tfidf(docs, "text")), STRATA)
+    found = strata.strata(docs, "text", STRATA, **V2_STRATA)
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
 
 

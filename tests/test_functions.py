@@ -246,7 +246,7 @@ def test_clusters_hold_their_invariants(spark):
     weights = strata.tfidf(docs, "text")
     norms = weights.groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("n")).select("n").distinct().collect()
     assert [r["n"] for r in norms] == [1.0]
-    found = strata.cluster(strata.project(weights, 32), 2)
+    found = strata.strata(docs, "text", 2, tries=3, rounds=20, dims=32)
     assert found.count() == 30 and found.select("cluster_id").distinct().count() == 2
     assert strata.largest_share(found).first()[0] < 0.9
 
