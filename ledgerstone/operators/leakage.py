@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranking
 
 def entity_overlap(rows: DataFrame, entity: str, split: str) -> DataFrame:
     """Entities that more than one split holds: entity, splits, n. A map-side sum comes first, so that a hot entity costs little."""
@@ -61,22 +62,14 @@ def calibration(rows: DataFrame, truth: str, score: str, bins=10) -> DataFrame:
     return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(truth).alias("observed"))
 
 
-def auroc(rows: DataFrame, truth: str, score: str, bins=1000) -> DataFrame:
-    """One row: the area under the ROC curve over a histogram of scores, so that no row is sorted globally. Exact if no bin holds both classes."""
-    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    hist = rows.groupBy(b.alias("b")).agg(F.sum(F.col(truth)).cast("double").alias("p"), F.sum(1 - F.col(truth)).cast("double").alias("n"))
-    pairs = hist.alias("x").join(F.broadcast(hist.select(F.col("b").alias("c"), F.col("n").alias("m"))), F.col("c") <= F.col("b"))
-    wins = pairs.agg(F.sum(F.col("p") * F.col("m") * F.when(F.col("c") == F.col("b"), 0.5).otherwise(1.0)).alias("wins"))
-    return wins.join(hist.agg(F.sum("p").alias("p"), F.sum("n").alias("n"))).select(F.try_divide("wins", F.col("p") * F.col("n")).alias("auroc"))
+def auroc(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """One row: the area under the ROC curve, exact."""
+    return ranking(rows, truth, score).select("auroc")
 
 
-def auprc(rows: DataFrame, truth: str, score: str, bins=1000) -> DataFrame:
-    """One row: the area under the precision-recall curve as a sum of steps over a histogram of scores. Rows of one bin count as ties."""
-    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    hist = rows.groupBy(b.alias("b")).agg(F.sum(F.col(truth)).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = hist.select("p", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("all"))
-    return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p")).alias("auprc"))
+def auprc(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """One row: the area under the precision-recall curve as a sum of steps, exact. Equal scores are one step."""
+    return ranking(rows, truth, score).select("auprc")
 
 
 def signal_quality(rows: DataFrame, clean: str, seen: str, peak: float, by=()) -> DataFrame:

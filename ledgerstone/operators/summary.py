@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import counted_values, quantiles
+
 
 def measures(rows: DataFrame, column: str) -> DataFrame:
-    """One row: n, total, least, most, mean and exact median of a column."""
-    c = F.col(column)
-    return rows.agg(F.count("*").alias("n"), F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.median(c).alias("median"))
+    """One row: n, total, least, most, mean and exact median of a numeric column, of which rows with one value are one row first."""
+    values = counted_values(rows, column)
+    v, n = F.col("v"), F.col("n")
+    known = F.sum(F.when(v.isNotNull(), n))
+    found = values.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.sum(v * n).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), (F.sum(v * n) / known).alias("mean"))
+    return found.crossJoin(quantiles(values, (0.5,)).select(F.col("q0").alias("median")))  # one row each
 
 
 def non_empty(rows: DataFrame, columns) -> DataFrame:

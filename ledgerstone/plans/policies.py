@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import V2_STRATA, Audit, from_environment
 from ..functions.text import strip
-from ..operators import leakage, ledger, quality, scan, strata
+from ..operators import leakage, ledger, quality, ranks, scan, strata
 from ..schemas import GATES, REVIEWS
 from .registry import BROAD, COMPACT, GATE_ROWS, RUN_SQL, RUNS, STRATA, quoted, run, runs, scored_labels, table, values_sql
 
@@ -82,9 +82,10 @@ def generalisation(spark, d):
 
 
 def ranking_metrics(spark, d):
-    rows = scored_labels(spark, d).withColumn("score", F.floor(F.col("score") * 100) / 100.0)
-    both = leakage.auroc(rows, "quality", "score").crossJoin(leakage.auprc(rows, "quality", "score"))  # one row each
-    return both.crossJoin(leakage.rmse(rows, "quality", "score")).select(*(F.round(c, 6).alias(c) for c in ("auroc", "auprc", "rmse")))
+    """Of scores as they are, and of the same below zero: ranks are all that counts for two of the three."""
+    rows = scored_labels(spark, d).withColumn("below", F.col("score") - 1)
+    both = ranks.ranking(rows, "quality", "score").crossJoin(ranks.ranking(rows, "quality", "below").select(F.col("auroc").alias("auroc_below")))  # one row each
+    return both.crossJoin(leakage.rmse(rows, "quality", "score")).select(*(F.round(c, 6).alias(c) for c in ("auroc", "auprc", "auroc_below", "rmse")))
 
 
 def signal_metrics(spark, d):
@@ -170,10 +171,10 @@ SELECT topic, 'number_of_routes' AS rule FROM r WHERE n NOT BETWEEN 3 AND 5 UNIO
 SELECT conv_id, class, n::BIGINT AS n FROM found WHERE n > 0 AND role = 'assistant' EXCEPT ALL SELECT conv_id, class, n::BIGINT FROM found WHERE n > 0 AND role = 'user'""",
     "generalisation": f"""WITH {LABELLED}, m AS (SELECT lang AS model, avg(score) FILTER (doc_id % 2 = 0) AS train, avg(score) FILTER (doc_id % 2 <> 0) AS test FROM l GROUP BY lang)
 SELECT model, round(train, 6) AS train, round(test, 6) AS test, round(train - test, 6) AS gap, train - test > 0.02::DOUBLE AS wide FROM m""",
-    "ranking_metrics": f"""WITH {LABELLED}, s AS (SELECT quality, floor(score * 100) / 100.0::DOUBLE AS score FROM l), h AS (SELECT score, sum(quality) AS p, count(*) - sum(quality) AS n FROM s GROUP BY score),
+    "ranking_metrics": f"""WITH {LABELLED}, s AS (SELECT quality, score FROM l), h AS (SELECT score, sum(quality) AS p, count(*) - sum(quality) AS n FROM s GROUP BY score),
 roc AS (SELECT sum(a.p * b.n * CASE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 1 END) AS wins FROM h a JOIN h b ON b.score <= a.score),
 pr AS (SELECT p, sum(p) OVER w AS tp, sum(p + n) OVER w AS al FROM h WINDOW w AS (ORDER BY score DESC))
-SELECT round((SELECT wins FROM roc) / ((SELECT sum(p) FROM h) * (SELECT sum(n) FROM h)), 6) AS auroc, round((SELECT sum(p * tp / al::DOUBLE) / sum(p) FROM pr), 6) AS auprc, round((SELECT sqrt(avg((quality - score) * (quality - score))) FROM s), 6) AS rmse""",
+SELECT round((SELECT wins FROM roc) / ((SELECT sum(p) FROM h) * (SELECT sum(n) FROM h)), 6) AS auroc, round((SELECT sum(p * tp / al::DOUBLE) / sum(p) FROM pr), 6) AS auprc, round((SELECT wins FROM roc) / ((SELECT sum(p) FROM h) * (SELECT sum(n) FROM h)), 6) AS auroc_below, round((SELECT sqrt(avg((quality - score) * (quality - score))) FROM s), 6) AS rmse""",
     "signal_metrics": """WITH s AS (SELECT l_returnflag, l_quantity AS x, l_quantity + l_linenumber - 4 AS y FROM lineitem),
 m AS (SELECT l_returnflag, avg((x - y) * (x - y)) AS mse, avg(x * x) AS pw, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy FROM s GROUP BY 1)
 SELECT l_returnflag, round(mse, 6) AS mse, round(10 * log10(pw / mse), 6) AS snr_db, round(10 * log10(2500 / mse), 6) AS psnr_db,
