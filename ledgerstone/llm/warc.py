@@ -280,11 +280,14 @@ def pages_to_records(pages: DataFrame, id_col="page_id", url_col="url", html_col
 
 
 def op1_warc(spark, sf_dir):
-    """Writes monolithic archives of all pages, normalises them, and reads every record back through the index."""
+    """Writes monolithic archives of all pages, normalises them, and reads every record back through the index. An archive that breaks is an error: its records would be missing."""
     folder = work_path(spark, "warc")
     rows = pages_to_records(table(spark, sf_dir, "pages"))
     written = materialise(write_archives(rows, f"{folder}/whole"), "warc-whole")
     members = materialise(normalise(written, f"{folder}/members"), "warc-members")
+    broken = members.filter("error is not null").select("source", "error").first()
+    if broken:
+        raise ValueError(f"{broken['source']}: {broken['error']}")
     return verified(read(members)).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact")
 
 
