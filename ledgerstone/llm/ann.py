@@ -6,7 +6,8 @@ neighbours, forward and reverse, with their vectors, compares them with one anot
 Work is dealt in blocks of consecutive nodes, one partition a block; a block asks for each vector once.
 
 For the largest inner product, vectors get one more component that makes all norms equal, so that near means
-near for the graph too; queries have zero there. Results are scored on the original vectors in double precision.
+near for the graph too; queries have zero there. What is nearest to a query by inner product may be far from it in the graph, among vectors of
+larger norm: a search begins at the query's own node and at the best for it of the vectors of largest norm. Results are scored on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialise, table
-from .ngram_join import grouped, starts_of
+from .ngram_join import grouped, one_batch, starts_of
 
 NEIGHBOURS, BLOCK, DEALS, ROUNDS, ENOUGH = 64, 1024, 2, 12, 0.02
 OFFER = 10  # of a neighbourhood's nodes, how many are offered to each of them: the nearest
 WORK = 8192  # nodes that a task works on, with the vectors of all their neighbours
 SAMPLE, SURE = 16_384, 10  # vectors that the trees' cuts are learned from, and levels that have a cut for each cell
 BEAM, EXPAND, SPARE = 64, 24, 2
+ENTRIES, GATES = 1024, 8  # vectors of the largest norms that every query is compared with, and how many of them its search begins at
 ROW_BITS = 33  # of a node's number; the bits above them say in which range of nodes it is
 
 
@@ -108,7 +110,7 @@ def packed(graph: DataFrame, blocks: int) -> DataFrame:
 def whole(batches):
     """All batches of a partition as one, if there are rows."""
     held = [b for b in batches if len(b)]
-    return [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if held else []
+    return [one_batch(held)] if held else []
 
 
 def cores(df: DataFrame) -> int:
@@ -148,7 +150,7 @@ def cells(x: np.ndarray, tree) -> np.ndarray:
 
 
 def nodes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, DataFrame, int]:
-    """Members (vec_id, node) of usable vectors; nodes: id (its place), node (least vec_id of equal vectors), exact (doubles), x (floats, norms made equal), members (the k + 1 least), cell (in the second tree); how many."""
+    """Members (vec_id, node) of usable vectors; nodes: id (its place), node (least vec_id of equal vectors), exact (doubles), x (floats, norms made equal), members (the k + 1 least), norm (squared), cell (in the second tree); how many."""
 
     def read(batches):
         for batch in batches:
@@ -191,12 +193,12 @@ def nodes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame
         for batch in batches:
             if len(batch):
                 x = levelled(batch.column(1), batch.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r.tobytes() for r in x], pa.binary()), *(pa.array(cells(x, t)) for t in trees)], ["node", "exact", "members", "x", "place", "cell"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(3), *(pa.array(cells(x, t)) for t in trees)], ["node", "exact", "members", "x", "norm", "place", "cell"])
 
-    laid = distinct.mapInArrow(level, "node long, exact binary, members array<long>, x binary, place long, cell long")
+    laid = distinct.mapInArrow(level, "node long, exact binary, members array<long>, x binary, norm double, place long, cell long")
     order = ["place", F.xxhash64("node"), "node"]
     numbered = laid.repartitionByRange(work_blocks(laid, n), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-    return members.select("vec_id", "node"), materialise(numbered.select("id", "node", "exact", "members", "x", "cell"), "nodes"), n
+    return members.select("vec_id", "node"), materialise(numbered.select("id", "node", "exact", "members", "x", "norm", "cell"), "nodes"), n
 
 
 def chunks(batches, size: int):
@@ -205,11 +207,11 @@ def chunks(batches, size: int):
     for batch in batches:
         held, have = [*held, batch], have + len(batch)
         while have >= 2 * size:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            whole = one_batch(held)
             yield whole.slice(0, size)
             held, have = [whole.slice(size)], have - size
     if have:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield one_batch(held)
 
 
 def first_graph(points: DataFrame, n: int, k: int) -> DataFrame:
@@ -347,8 +349,28 @@ def build(points: DataFrame, n: int, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH)
 STATE = "id long, near array<long>, sims array<float>, seen array<long>, go array<long>"
 
 
+def entered(queries: DataFrame, points: DataFrame, entries=ENTRIES, gates=GATES) -> DataFrame:
+    """The first state of a search: the best for each query of the `entries` nodes of largest norm, of which it goes to `gates`, and to itself."""
+    held = points.orderBy(F.desc("norm"), "id").limit(entries).select("id", "x").toArrow().combine_chunks()  # so many rows at most
+    first = queries.sparkSession.sparkContext.broadcast((held.column(0).to_numpy(), matrix(held.column(1).combine_chunks()) if len(held) else np.zeros((0, 1), np.float32)))
+
+    def run(batches):
+        ids, x = first.value
+        for batch in batches:
+            q, v = batch.column(0).to_numpy(), matrix(batch.column(1)).copy() if len(batch) else np.zeros((0, x.shape[1]), np.float32)
+            v[:, -1] = 0
+            s = v @ x.T
+            s[q[:, None] == ids] = -np.inf
+            best = np.argsort(-s, 1, kind="stable")[:, :gates]
+            kept = [r[c != -np.inf] for r, c in zip(best, np.take_along_axis(s, best, 1))]
+            near, sims, go = [ids[r] for r in kept], [s[i, r] for i, r in enumerate(kept)], [np.append(i, ids[r]) for i, r in zip(q, kept)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(t)) for c, t in ((near, pa.int64()), (sims, pa.float32()), ([[]] * len(q), pa.int64()), (go, pa.int64())))], ["id", "near", "sims", "seen", "go"])
+
+    return queries.select("id").join(points.select("id", "x"), "id").mapInArrow(run, STATE)
+
+
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want=22, beam=BEAM, expand=EXPAND) -> DataFrame:
-    """queries: id of nodes. Greedy search from each query's own node: id, near, the `want` nearest found and the node itself.
+    """queries: id of nodes. Greedy search from each query's own node and from what entered() gives: id, near, the `want` nearest found and the node itself.
 
     Each hop looks at the neighbours, both ways, of the `expand` nearest nodes of the beam that haven't been looked at, until all of the `want` nearest
     have been. Nearness is that of the query with its last component zero, which is the inner product of the original vectors.
@@ -356,8 +378,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want
     asked, beam = queries.count(), max(beam, want)
     pieces = max(1, min(cores(points), math.ceil(asked / 64)), math.ceil(asked / 1024))
     adjacent = materialise(both_ways(graph, work_blocks(points, n), NEIGHBOURS), "adjacent").filter("id is not null").select("id", F.col("near").alias("beside"))
-    empty = {c: F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("near", "long"), ("sims", "float"), ("seen", "long"))}
-    state = materialise(queries.select("id", *empty.values(), F.array("id").alias("go")), "found")
+    state = materialise(entered(queries, points), "found")
 
     def gather(batches):
         """What each query of a piece has to score, and, in a row without id, what the piece has."""

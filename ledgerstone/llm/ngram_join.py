@@ -197,6 +197,14 @@ def leaves(sets: DataFrame, threshold: float, missed: float) -> DataFrame:
     raise AssertionError
 
 
+def one_batch(held) -> pa.RecordBatch:
+    """Record batches as one. Arrow cuts columns of strings or bytes at 2 GiB, so that rows would be apart that belong together: that is an error, and nothing is dropped."""
+    found = pa.Table.from_batches(held).combine_chunks().to_batches()
+    if len(found) > 1:
+        raise ValueError(f"{sum(map(len, found))} rows that belong together have over 2 GiB in a column")
+    return found[0]
+
+
 def grouped(batches, key_columns: int):
     """Record batches sorted by their first columns -> batches that end where a key ends."""
     waiting: list[pa.RecordBatch] = []
@@ -208,20 +216,19 @@ def grouped(batches, key_columns: int):
         if not len(batch):
             continue
         if waiting and key(waiting[-1], len(waiting[-1]) - 1) != key(batch, 0):
-            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            yield one_batch(waiting)
             waiting = []
         last = key(batch, len(batch) - 1)
         cut = len(batch) - 1
         while cut > 0 and key(batch, cut - 1) == last:
             cut -= 1
         if cut:
-            whole = pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks()
-            yield from whole.to_batches()
+            yield one_batch([*waiting, batch.slice(0, cut)])
             waiting = [batch.slice(cut)]
         else:
             waiting.append(batch)
     if waiting:
-        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        yield one_batch(waiting)
 
 
 def starts_of(*columns) -> np.ndarray:
@@ -448,13 +455,16 @@ def join_classes(docs: DataFrame, threshold=THRESHOLD, missed=1e-3, id_col="doc_
 def keep_one(docs: DataFrame, threshold=THRESHOLD, missed=1e-3) -> DataFrame:
     """docs with one row of each class: that of least id, one that has an id if any has. Columns, whatever their names, stay.
 
-    Rows without words are classes of their own and all stay, repeats too; of repeats of any other row one stays.
+    Rows without words are classes of their own and all stay, repeats too; of repeats of any other row one stays, and if they differ in other columns
+    the one with the least hash of all its columns, so that reruns agree. Repeats are summed up before they are shuffled, however many there are.
     """
     classes = materialise(join_classes(docs, threshold, missed), "classes")
-    kept = classes.filter("first").select("k1", "k2", "wordless").distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(docs["doc_id"], docs["text"]))
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    return rows.join(kept, ["k1", "k2"]).withColumn("nth", nth).filter("wordless or nth = 1").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    kept = classes.filter("first").groupBy("k1", "k2", "wordless").agg(F.count("*").alias("n"))
+    cells = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(docs["doc_id"], docs["text"]), *(F.xxhash64(F.lit(f"row {i}"), *cells).alias(f"h{i}") for i in (1, 2)))
+    rows = rows.join(kept, ["k1", "k2"])
+    repeats = rows.filter("n > 1 and not wordless").groupBy("k1", "k2").agg(F.min_by("row", F.struct("h1", "h2")).alias("row"))
+    return rows.filter("n = 1 or wordless").select("row").unionByName(repeats.select("row")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_ngram_join(spark, sf_dir):
