@@ -266,7 +266,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share=0.5, id_col="doc_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_share=0.5, text_col="text") -> DataFrame:
-    """docs without the rows whose text holds an item; columns stay."""
+    """docs without the rows whose text holds an item; columns, whatever their names, stay.
+
+    Null and empty texts hold nothing and stay; repeated rows fare alike; a share of just least_share is a hold. Without items all rows stay; no rows give none.
+    """
     found = matches(docs, benchmark, least_share, text_col).select("k1", "k2").distinct()
     k1, k2 = text_key(docs[text_col])
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1, k2)

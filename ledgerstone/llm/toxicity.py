@@ -359,7 +359,11 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled=40_000, id_col="doc_i
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows predicted toxic; columns stay."""
+    """docs without the rows predicted toxic; columns, whatever their names, stay.
+
+    Null and empty texts have the score of a text without words, and stay unless that is toxic; repeated rows fare alike; a score of just one half is toxic. Without
+    labels all rows stay; no rows give none. Labels of ids that docs lacks are not learned from, and null ids have no label.
+    """
     columns = docs.columns
     renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     at = {c: f"c{i}" for i, c in enumerate(columns)}
