@@ -6,21 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import V2_STRATA, Audit, from_environment
 from ..functions.text import strip
-from ..operators import leakage, ledger, quality, ranks, scan, strata
-from ..schemas import GATES, REVIEWS
-from .registry import BROAD, COMPACT, GATE_ROWS, RUN_SQL, RUNS, STRATA, quoted, run, runs, scored_labels, table, values_sql
-
-OLD = RUNS
-NEW = (*RUNS[:2], run("03", "c1", "r3", "r2", "candidate", "v1", "completed", "keep", "0.99"), *RUNS[3:6], RUNS[7], run("09", "c1", "r9", "b1", "candidate", "v1", "completed", "discard", "0.10"))
-SCORES = (("b1", 3.0), ("r2", 4.0), ("r3", 5.0), ("r3", 2.0), ("x2", None), ("r4", 9.0))
-FLAGS = (("c1", "r2", False, False), ("c1", "r3", True, False), ("c2", "x1", None, True))
-STATES = {"metric": ("passed", "failed", "not applicable"), "guardrail": ("passed", "failed", "pending"), "leakage": ("clean", "failed", "pending")}
-OBJECTIVES = (("c1", True, True, None), ("c2", True, False, "user_paused"), ("c3", False, None, "tired"), ("c4", None, None, None))
-STOPS = ("user_paused", "budget_spent")
-ITEMS = ("goal", "metric", "baseline", "guardrail")
-AIMS = (("c1", "g", "f1", "b1", "none"), ("c2", "g", " ", None, "none"), ("c3", None, None, None, None))
-ROUTES = (("t", "a", "x"), ("t", "b", "y"), ("t", "c", ""), ("u", "a", "x"), ("v", "a", "x"), ("v", "b", "x"), ("v", "c", "x"), ("v", "d", "x"), ("v", "e", "x"), ("v", "f", "x"))
-SECTIONS = (("methods", "bold"), ("results", None), ("intro", "bold"), ("intro", None))
+from ..operators import leakage, quality, ranks, scan, strata
+from .registry import BROAD, COMPACT, STRATA, scored_labels, table
+
 CLASSES = {"english": ("the", "of"), "german": ("der", "die")}
 
 
@@ -28,40 +16,6 @@ def made(spark, rows, schema):
     return spark.createDataFrame(list(rows), schema)
 
 
-def registry_rewrites(spark, d):
-    lost = ledger.rewritten(runs(spark), made(spark, NEW, runs(spark).schema), ("x2",))
-    return lost.select("campaign", "run_id", "run_order", "primary_value")
-
-
-def reviews_as_reasons(spark, d):
-    return ledger.kept_by_review(runs(spark), made(spark, SCORES, "run_id string, score double"))
-
-
-def selection_flags(spark, d):
-    return ledger.selection_flags(made(spark, FLAGS, "campaign string, run_id string, label_informed_pruning boolean, test_set_selection boolean"))
-
-
-def gate_states(spark, d):
-    return ledger.bad_states(made(spark, GATE_ROWS, GATES), STATES).select("campaign", "gate", "state")
-
-
-def completion(spark, d):
-    return ledger.completion(made(spark, OBJECTIVES, "campaign string, target_met boolean, validated boolean, stop_reason string"), STOPS)
-
-
-def missing_items(spark, d):
-    found = ledger.missing_items(made(spark, AIMS, f"campaign string, {', '.join(f'{i} string' for i in ITEMS)}"), ITEMS)
-    return found.select("campaign", F.array_join("missing", ",").alias("missing"))
-
-
-def route_checks(spark, d):
-    return ledger.check_routes(made(spark, ROUTES, "topic string, idea string, risk string"), ("idea", "risk"))
-
-
-def writing_controls(spark, d):
-    return ledger.writing_controls(made(spark, SECTIONS, "section string, risk_tolerance string"))
-
-
 def recent_orders(spark, d):
     """The recency window over a table with years."""
     return scan.recent(table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")), 1998, 2)
@@ -131,7 +85,7 @@ def theme_members(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_rewrites, reviews_as_reasons, selection_flags, gate_states, completion, missing_items, route_checks, writing_controls, recent_orders, rescan, generalisation, ranking_metrics, signal_metrics, bit_errors,
+        recent_orders, rescan, generalisation, ranking_metrics, signal_metrics, bit_errors,
         environment, strata_invariants, ranked_in_strata, theme_members,
     )
 }
@@ -149,23 +103,8 @@ def scanned(ids, src, text="text"):
 
 
 LABELLED = "l AS (SELECT doc_id, lang, quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS score FROM labels JOIN documents USING (doc_id))"
-MISSING = ", ".join(f"CASE WHEN trim(coalesce({i}, '')) = '' THEN '{i}' END" for i in ITEMS)
 
 ORACLES = {
-    "registry_rewrites": f"""WITH new AS (SELECT * FROM {values_sql(runs.__globals__['REGISTRY_COLUMNS'], NEW)})
-SELECT campaign, run_id, run_order, primary_value FROM (SELECT * FROM {RUN_SQL} EXCEPT ALL SELECT * FROM new) WHERE run_id <> 'x2'""",
-    "reviews_as_reasons": f"""WITH r AS (SELECT *, try_cast(primary_value AS DOUBLE) AS v FROM {RUN_SQL}), s AS (SELECT run_id, max(score) AS score FROM {values_sql(('run_id', 'score'), SCORES)} WHERE score IS NOT NULL GROUP BY run_id),
-b AS (SELECT campaign, scope_version, arg_min(v, run_order) AS base FROM r WHERE role = 'baseline' AND v IS NOT NULL GROUP BY ALL)
-SELECT r.campaign, r.run_id, 'kept_by_review_score' AS rule, s.score::VARCHAR AS detail FROM r JOIN s USING (run_id) LEFT JOIN s p ON p.run_id = r.parent_run_id LEFT JOIN b ON b.campaign = r.campaign AND b.scope_version = r.scope_version
-WHERE decision = 'keep' AND role = 'candidate' AND s.score > coalesce(p.score, '-inf'::DOUBLE) AND coalesce(v - base <= 0, true)""",
-    "selection_flags": f"""WITH f AS (SELECT * FROM {values_sql(('campaign', 'run_id', 'label_informed_pruning', 'test_set_selection'), FLAGS)})
-SELECT campaign, run_id, rule, CASE WHEN x IS NULL THEN 'not recorded' ELSE 'set' END AS detail FROM (SELECT campaign, run_id, 'label_informed_pruning' AS rule, label_informed_pruning AS x FROM f UNION ALL SELECT campaign, run_id, 'test_set_selection', test_set_selection FROM f) WHERE coalesce(x, true)""",
-    "gate_states": f"SELECT campaign, gate, state FROM {values_sql(('campaign', 'gate', 'state', 'applicable'), GATE_ROWS)} WHERE NOT coalesce(CASE gate {' '.join(f'WHEN {chr(39)}{g}{chr(39)} THEN state IN ({quoted(v)})' for g, v in STATES.items())} END, false)",
-    "completion": f"SELECT campaign, CASE WHEN target_met AND validated THEN 'complete' WHEN stop_reason IN ({quoted(STOPS)}) THEN stop_reason ELSE 'target not met' END AS outcome FROM {values_sql(('campaign', 'target_met', 'validated', 'stop_reason'), OBJECTIVES)}",
-    "missing_items": f"SELECT * FROM (SELECT campaign, concat_ws(',', {MISSING}) AS missing FROM {values_sql(('campaign', *ITEMS), AIMS)}) WHERE missing <> ''",
-    "route_checks": f"""WITH r AS (SELECT topic, count(*) AS n, count(*) FILTER (trim(idea) = '' OR trim(risk) = '') AS gaps FROM {values_sql(('topic', 'idea', 'risk'), ROUTES)} GROUP BY topic)
-SELECT topic, 'number_of_routes' AS rule FROM r WHERE n NOT BETWEEN 3 AND 5 UNION ALL SELECT topic, 'empty_field' FROM r WHERE gaps > 0""",
-    "writing_controls": f"SELECT section, CASE WHEN section IN ('methods', 'results') THEN 'conservative' ELSE coalesce(risk_tolerance, 'balanced') END AS risk_tolerance FROM {values_sql(('section', 'risk_tolerance'), SECTIONS)}",
     "recent_orders": "SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998",
     "rescan": f"""WITH src AS (SELECT conv_id, role, text FROM conversations), {scanned('conv_id, role', 'src')}
 SELECT conv_id, class, n::BIGINT AS n FROM found WHERE n > 0 AND role = 'assistant' EXCEPT ALL SELECT conv_id, class, n::BIGINT FROM found WHERE n > 0 AND role = 'user'""",

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import V2_STRATA, Audit, Quota, Role, Weight
 from ..functions import extract, text
-from ..operators import leakage, ledger, quality, scan, select, strata, summary
+from ..operators import leakage, quality, scan, select, strata, summary
 from ..sources.work import dealt
-from ..schemas import CLAIM_COLUMNS, CLAIMS, GATES, REGISTRY, REGISTRY_COLUMNS, REVIEWS
 
 LEXICON = {"nouns": ("tion", "ment"), "articles": ("the ", "les "), "endings": ("ung", "heit"), "verbs": ("ing", "ado")}
 PHRASES = {"english": ("the", "of", "and"), "french": ("que", "les"), "german": ("der", "die", "und"), "spanish": ("los", "del")}
@@ -308,94 +307,12 @@ def routing(spark, d):
 # --- ledgers ---------------------------------------------------------------------------------------------------------------------------------
 
 
-def run(order, campaign, run_id, parent, role, scope, status, decision, value, guard="ok"):
-    return (order, campaign, run_id, parent, role, "axis", "change", scope, status, decision, "f1", value, guard, "a.json;b.json", "report", "")
-
-
-RUNS = (
-    run("01", "c1", "b1", "root", "baseline", "v1", "completed", "keep", "0.50"),
-    run("02", "c1", "r2", "b1", "candidate", "v1", "completed", "keep", "0.61"),
-    run("03", "c1", "r3", "r2", "candidate", "v1", "completed", "keep", "0.40"),
-    run("04", "c1", "r4", "zz", "candidate", "v1", "failed", "discard", None),
-    run("05", "c1", "r2", "b1", "candidate", "v1", "completed", "discard", "0.20"),
-    run("01", "c2", "x1", "root", "candidate", "v1", "completed", "maybe", "0.70"),
-    run("02", "c2", "x2", "x1", "baseline", "v1", "completed", "keep", "n/a"),
-    run("03", "c2", "x3", "x2", "candidate", "v2", "timed_out", "blocked", None),
-)
-
-
-def runs(spark):
-    return spark.createDataFrame(list(RUNS), REGISTRY)
-
-
-def registry_checks(spark, d):
-    return ledger.check_registry(runs(spark))
-
-
-RUN_SQL = values_sql(REGISTRY_COLUMNS, RUNS)
-REGISTRY_SQL = f"""
-WITH r AS (SELECT *, try_cast(run_order AS BIGINT) AS o, try_cast(primary_value AS DOUBLE) AS v FROM {RUN_SQL}),
-g AS (SELECT *, v - first(CASE WHEN role = 'baseline' THEN v END ORDER BY CASE WHEN role = 'baseline' AND v IS NOT NULL THEN 0 ELSE 1 END, o, run_id) OVER (PARTITION BY campaign, scope_version) AS gain FROM r),
-e AS (SELECT *, CASE WHEN status <> 'completed' THEN 'blocked' WHEN contains(lower(guardrail_summary), 'fail') OR coalesce(gain <= 0, true) THEN 'discard' ELSE 'keep' END AS expected FROM g WHERE role = 'candidate')
-SELECT campaign, run_id, 'unknown_role' AS rule, role AS detail FROM r WHERE role NOT IN ('baseline', 'candidate')
-UNION ALL SELECT campaign, run_id, 'unknown_decision', decision FROM r WHERE decision NOT IN ('keep', 'discard', 'blocked', 'exploratory')
-UNION ALL SELECT campaign, run_id, 'value_not_a_number', coalesce(primary_value, '') FROM r WHERE v IS NULL AND status = 'completed'
-UNION ALL SELECT campaign, run_id, 'duplicate_run', count(*)::VARCHAR FROM r GROUP BY campaign, run_id HAVING count(*) > 1
-UNION ALL SELECT campaign, run_id, 'orphan_parent', parent_run_id FROM r WHERE role <> 'baseline' AND parent_run_id NOT IN (SELECT run_id FROM r)
-UNION ALL SELECT campaign, run_id, 'baseline_parent', parent_run_id FROM r WHERE role = 'baseline' AND parent_run_id <> 'root'
-UNION ALL (SELECT campaign, run_id, 'baseline_not_first', role FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY o, run_id) AS i FROM r) WHERE i = 1 AND role <> 'baseline')
-UNION ALL SELECT campaign, min(run_id), 'scope_without_baseline', scope_version FROM r GROUP BY campaign, scope_version HAVING count(*) FILTER (role = 'baseline') = 0
-UNION ALL SELECT campaign, run_id, 'unjustified_decision', decision || '>' || expected FROM e WHERE decision = 'keep' AND expected <> 'keep' OR expected = 'blocked' AND decision <> 'blocked'
-"""
-
-
-def best_runs(spark, d):
-    return ledger.best_kept(runs(spark))
-
-
-def decision_tally(spark, d):
-    return ledger.decisions(runs(spark))
-
-
-CLAIM_ROWS = (
-    ("k1", "a", "literature fact", "doi:1", "", "", "supported", "", ""),
-    ("k2", "b", "performance comparison", "", "", "", "supported", "", ""),
-    ("k3", "c", "ablation finding", "t.json", "", "", "pending_validation", "", ""),
-    ("k4", "d", "guess", "t.json", "", "", "unsupported", "", ""),
-    ("k5", "e", "limitation", None, "", "", "invalidated", "", ""),
-)
-
-
-def claim_checks(spark, d):
-    reported = spark.createDataFrame([(k, "paper") for k in ("k1", "k3", "k5")], "claim_id string, deliverable string")
-    return ledger.check_claims(spark.createDataFrame(list(CLAIM_ROWS), CLAIMS), reported, CLAIM_TYPES, CLAIM_STATUSES)
-
-
-CLAIM_SQL = f"""
-WITH c AS (SELECT * FROM {values_sql(CLAIM_COLUMNS, CLAIM_ROWS)})
-SELECT claim_id, 'unknown_claim_type' AS rule FROM c WHERE claim_type NOT IN ({quoted(CLAIM_TYPES)})
-UNION ALL SELECT claim_id, 'unknown_status' FROM c WHERE status NOT IN ({quoted(CLAIM_STATUSES)})
-UNION ALL SELECT claim_id, 'no_evidence' FROM c WHERE status = 'supported' AND trim(coalesce(evidence_artifact_or_citation, '')) = ''
-UNION ALL SELECT claim_id, 'reported_too_early' FROM c WHERE status IN ('unsupported', 'pending_validation', 'superseded', 'invalidated') AND claim_id IN ('k1', 'k3', 'k5')
-"""
-REVIEW_ROWS = (("m1", "r2", "style-preference", "t", False, 1.0), ("m2", "r2", "validity-critical", "t", False, 2.0), ("m3", "r2", "method-critical", "t", True, 2.0), ("m4", "r3", "praise", "t", None, 5.0))
-GATE_ROWS = (("c1", "metric", "passed", True), ("c1", "guardrail", "failed", False), ("c2", "metric", "passed", True), ("c2", "leakage", "pending", True), ("c3", "claims", None, True))
-
-
-def review_triage(spark, d):
-    return ledger.triage(spark.createDataFrame(list(REVIEW_ROWS), REVIEWS), SEVERITIES)
-
-
-def gate_report(spark, d):
-    return ledger.accepted(spark.createDataFrame(list(GATE_ROWS), GATES))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         clean_text_stats, content_checksums, duplicate_texts, sentence_lengths, number_sentences, lexicon_scores, phrase_theme_scores, active_themes, theme_frequency, evidence_top, metric_entities, page_links,
         labelled_quality, direct_scores, direct_relevance, stratified_topk, v1_selection, round_robin_fill, sequential_quota, v2_selection_rank, quota_report, corpus_summary, tfidf_terms, tfidf_documents, semantic_strata, centroid_distance,
-        split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, overlap_classes, phrase_scan, repeated_openers, routing, registry_checks, best_runs, decision_tally, claim_checks, review_triage, gate_report,
+        split_leakage, group_splits, task_metrics, calibration_bins, content_overlap, overlap_classes, phrase_scan, repeated_openers, routing,
     )
 }
 
@@ -440,13 +357,6 @@ FROM (SELECT lang, quality, least(n_chars / 5000.0::DOUBLE, 1.0) AS s FROM label
 SELECT a.doc_id, b.doc_id AS item_id FROM k a JOIN k b USING (k) WHERE b.doc_id % 100 = 0 AND a.doc_id <> b.doc_id""",
     "overlap_classes": r"""WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))) AS key FROM documents)
 SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS first_id, count(*) OVER (PARTITION BY key) AS n FROM k WHERE key IS NOT NULL QUALIFY n > 1""",
-    "registry_checks": REGISTRY_SQL,
-    "best_runs": f"SELECT campaign, max_by(run_id, primary_value::DOUBLE) AS run_id, max(primary_value::DOUBLE) AS primary_value FROM {RUN_SQL} WHERE decision = 'keep' AND status = 'completed' AND try_cast(primary_value AS DOUBLE) IS NOT NULL GROUP BY campaign",
-    "decision_tally": f"SELECT campaign, {', '.join(f'count(*) FILTER (decision = {chr(39)}{x}{chr(39)}) AS n_{x}' for x in ('keep', 'discard', 'blocked', 'exploratory'))} FROM {RUN_SQL} GROUP BY campaign",
-    "claim_checks": CLAIM_SQL,
-    "review_triage": f"""SELECT run_id, comment_id, severity, coalesce(list_position([{quoted(SEVERITIES)}], severity), 6)::INT AS ordinal, coalesce(list_position([{quoted(SEVERITIES)}], severity), 6) <= 3 AS blocks
-FROM {values_sql(('comment_id', 'run_id', 'severity', 'text', 'resolved', 'score'), REVIEW_ROWS)} WHERE NOT coalesce(resolved, false)""",
-    "gate_report": f"SELECT campaign, bool_and(coalesce(state = 'passed' OR NOT applicable, false)) AS accepted, count(*) FILTER (NOT coalesce(state = 'passed' OR NOT applicable, false)) AS open_gates FROM {values_sql(('campaign', 'gate', 'state', 'applicable'), GATE_ROWS)} GROUP BY campaign",
 }
 
 

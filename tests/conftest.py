@@ -30,7 +30,7 @@ def views(folder):
     import duckdb
 
     con = duckdb.connect()
-    for name in "orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 

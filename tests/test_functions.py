@@ -9,6 +9,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from helpers import runs
 
 from ledgerstone.config import Audit, Quota, Role, Weight
 from ledgerstone.functions import extract, text
@@ -160,7 +161,7 @@ def test_registry_file(spark, tmp_path):
 
 
 def test_append_only(spark):
-    old = registry.runs(spark)
+    old = runs(spark)
     assert ledger.rewritten(old, old).count() == 0
     new = old.withColumn("primary_value", F.when(F.col("run_id") == "r3", "0.9").otherwise(F.col("primary_value")))
     assert [r["run_id"] for r in ledger.rewritten(old, new).collect()] == ["r3"]
@@ -168,7 +169,7 @@ def test_append_only(spark):
 
 
 def test_stream(spark, tmp_path):
-    registry.runs(spark).coalesce(1).write.option("sep", "\t").option("header", "true").csv(str(tmp_path / "in"))
+    runs(spark).coalesce(1).write.option("sep", "\t").option("header", "true").csv(str(tmp_path / "in"))
     rows = registry_stream.read(spark, str(tmp_path / "in"))
     assert rows.isStreaming and registry_stream.row_rules(rows).isStreaming
     registry_stream.watch(rows, str(tmp_path / "table"), str(tmp_path / "found"), str(tmp_path / "check")).awaitTermination(60)
