@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Quota
 from ..sources.work import materialise
+from .ranks import before
 
 
 def order(id_col="doc_id"):
@@ -66,15 +67,22 @@ def v1_selection(rows: DataFrame, n: int, strata: int | None = None, id_col="doc
     return exactly(materialise(out, "selected"), n) if whole else out
 
 
-def sequential_quotas(rows: DataFrame, quotas: tuple[Quota, ...], id_col="doc_id") -> DataFrame:
+DRIVER_ROWS = 100_000  # quotas that add up to more are picked by rounds of jobs instead of on the driver
+
+
+def sequential_quotas(rows: DataFrame, quotas: tuple[Quota, ...], id_col="doc_id", driver_rows=DRIVER_ROWS) -> DataFrame:
     """Quotas in order of priority; a theme's members picked for earlier themes count. phase, step: in which order rows were picked.
 
-    A quota's picks are among its theme's first rows, as many as all quotas so far: one pass finds those of every theme, and the driver, which holds
-    for each theme at most as many rows as all quotas add up to, picks. The number of documents has no part in it.
+    A quota's picks are among its theme's first rows, as many as all quotas so far. If these are few, whatever the number of documents, one pass finds them for every
+    theme and the driver picks; else each theme is a round of jobs. Both pick the same rows in the same order.
     """
-    spark, most = rows.sparkSession, sum(q.quota for q in quotas)
+    most = sum(q.quota for q in quotas)
     narrow = rows.select(id_col, "title", "stratum", "score", "themes")
-    schema = narrow.schema
+    return picked_here(narrow, quotas, most, id_col) if most <= driver_rows else picked_by_rounds(narrow, quotas, id_col)
+
+
+def picked_here(narrow: DataFrame, quotas: tuple[Quota, ...], most: int, id_col: str) -> DataFrame:
+    spark, schema = narrow.sparkSession, narrow.schema
     member = narrow.withColumn("theme", F.explode(F.array_intersect("themes", F.array(*(F.lit(q.theme) for q in quotas)))))
     place = F.row_number().over(Window.partitionBy("theme").orderBy(*order(id_col)))
     first: dict[str, list] = {q.theme: [] for q in quotas}
@@ -91,6 +99,21 @@ def sequential_quotas(rows: DataFrame, quotas: tuple[Quota, ...], id_col="doc_id
     return spark.createDataFrame(picked, StructType([*schema.fields, StructField("phase", IntegerType()), StructField("step", IntegerType())]))
 
 
+def picked_by_rounds(narrow: DataFrame, quotas: tuple[Quota, ...], id_col: str) -> DataFrame:
+    """A round a theme: its rows that aren't picked yet are ranked over ranges of the whole order, which no two rows share a place in, so that neither a theme nor a score is one task's."""
+    picked = materialise(narrow.limit(0).select("*", F.lit(0).alias("phase"), F.lit(0).alias("step")), "picked")
+    for phase, q in enumerate(quotas, 1):
+        has = F.array_contains("themes", q.theme)
+        need = q.quota - picked.filter(has).count()
+        if need <= 0:
+            continue
+        free = narrow.filter(has).join(picked.select(id_col), id_col, "left_anti").select(*narrow.columns, F.struct((-F.col("score")).alias("s"), F.lower("title").alias("t"), F.col(id_col).alias("i")).alias("key"), F.lit(1).alias("one"))
+        new = before(free, "key", ("one",)).filter(F.col("before_one") < need)
+        new = new.select(*narrow.columns, F.lit(phase).alias("phase"), (F.col("before_one") + 1).cast("int").alias("step"))
+        picked = materialise(picked.unionByName(new), "picked")
+    return picked
+
+
 def round_robin(rows: DataFrame, n: int, id_col="doc_id") -> DataFrame:
     """n rows, one of each stratum in turn, the largest stratum first: by rank within the stratum, then the stratum's ordinal."""
     rows = settled(rows, id_col)

@@ -49,3 +49,15 @@ def test_quantiles_between_ranks(spark):
     x = [*rng.standard_normal(333).tolist(), float("-inf"), 1e9, -0.5, -0.5]
     found = ranks.quantiles(ranks.counted_values(spark.createDataFrame([(v,) for v in x], "x double"), "x"), (0.1, 0.25, 0.9, 1.0)).first()
     assert [found[i] for i in range(4)] == pytest.approx([float(v) for v in np.quantile(x, [0.1, 0.25, 0.9, 1.0])])
+
+
+def test_quotas_by_rounds_pick_what_the_driver_picks(spark):
+    from ledgerstone.config import Quota
+    from ledgerstone.operators import select
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["T", "t", "u"]), 0, float(rng.choice([1, 1, 1, 2, 3])), rng.sample("abcd", rng.randint(0, 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, stratum int, score double, themes array<string>").repartition(5)
+    for quotas in ((Quota("b", 30), Quota("a", 55), Quota("c", 1), Quota("d", 1000)), (), (Quota("none", 5), Quota("a", 0), Quota("b", 7))):
+        here, there = (sorted((r["phase"], r["step"], r["doc_id"]) for r in select.sequential_quotas(df, quotas, driver_rows=n).collect()) for n in (10_000, -1))
+        assert here == there and (here or not quotas)
