@@ -11,24 +11,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import os
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, pieces, table
+from .common import drop, materialise, pieces, settle, table
 
 TOKENIZERS = "/opt/tokenizers"
 FILE_BYTES = 64 << 20  # a vocabulary file may have
-FREQUENT, FREQUENT_BYTES = 1 << 17, 48 << 20  # rows and bytes that the table of frequent segments may have
-HELD = 200_000  # distinct segments or pairs that a task counts before it hands them on
+FREQUENT, FREQUENT_BYTES = 1 << 19, 80 << 20  # rows and bytes that the table of frequent segments may have
+HELD = 600_000  # distinct segments or other pairs that a task counts before it hands them on
 BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # whatever any engine takes for white space
-ALIGNED = "ok boolean, n_a int, n_b int, n_groups int, n_links long, groups string, pairs array<struct<a:int,b:int,m:int>>"
+ALIGNED = "ok boolean, n_a int, n_b int, n_groups int, n_links long, groups string, codes array<long>, times array<int>"  # codes: of linked pairs, a << 32 | b
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -76,7 +76,7 @@ class Vocabularies:
 
     def align(self, segments: list[str]):
         """For each segment what ALIGNED names."""
-        ours = self.a.encode_batch(segments, add_special_tokens=False)
+        ours = self.a.encode_batch_fast(segments, add_special_tokens=False)
         theirs = self.b.encode([s[1:] for s in segments], num_threads=1)  # it adds the space
         for text, x, y in zip(segments, ours, theirs):
             yield groups_of(text.encode(), x.ids, y, self.bytes_a, self.bytes_b)
@@ -96,27 +96,28 @@ def cut_pattern(tokens) -> str:
 
 
 def groups_of(whole: bytes, ids_a, ids_b, bytes_a, bytes_b):
-    """ok, counts, groups and linked pairs of one segment: a group ends where tokens of both end."""
-    if b"".join([bytes_a[i] for i in ids_a]) != whole or b"".join([bytes_b[i] for i in ids_b]) != whole:
-        return False, 0, 0, 0, 0, "", []
-    said, pairs, links, i, j, groups = [], Counter(), 0, 0, 0, 0
-    while i < len(ids_a):
-        first_a, first_b = i, j
-        at_a, at_b = len(bytes_a[ids_a[i]]), len(bytes_b[ids_b[j]])
+    """What ALIGNED names of one segment: a group ends where tokens of both end."""
+    x, y = [bytes_a[i] for i in ids_a], [bytes_b[i] for i in ids_b]
+    if b"".join(x) != whole or b"".join(y) != whole:
+        return False, 0, 0, 0, 0, "", [], []
+    said, codes, i, j = [], [], 0, 0
+    while i < len(x):
+        first_a, first_b, ahead = i, j, len(x[i]) - len(y[j])
         i, j = i + 1, j + 1
-        while at_a != at_b:
-            if at_a < at_b:
-                at_a += len(bytes_a[ids_a[i]])
+        while ahead:
+            if ahead < 0:
+                ahead += len(x[i])
                 i += 1
             else:
-                at_b += len(bytes_b[ids_b[j]])
+                ahead -= len(y[j])
                 j += 1
-        x, y = ids_a[first_a:i], ids_b[first_b:j]
-        for (a, m), (b, n) in ((p, q) for p in Counter(x).items() for q in Counter(y).items()):
-            pairs[a, b] += m * n
-        links, groups = links + len(x) * len(y), groups + 1
-        said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-    return True, len(ids_a), len(ids_b), groups, links, ";".join(said), [{"a": a, "b": b, "m": m} for (a, b), m in pairs.items()]
+        a, b = ids_a[first_a:i], ids_b[first_b:j]
+        codes += [p << 32 | q for p in a for q in b]
+        said.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+    links, times = len(codes), [1] * len(codes)
+    if len(codes) > 1 and len(set(codes)) < len(codes):
+        codes, times = map(list, zip(*Counter(codes).items()))
+    return True, len(ids_a), len(ids_b), len(said), links, ";".join(said), codes, times
 
 
 def segment_counts(docs: DataFrame, cut: str) -> DataFrame:
@@ -152,18 +153,18 @@ def dictionary(docs: DataFrame, files, cut: str) -> DataFrame:
 
     def tokenise(batches):
         vocabularies = Vocabularies(*files)
-        kinds = {"ok": pa.bool_(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "n_links": pa.int64(), "groups": pa.string(), "pairs": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())]))}
+        kinds = {"ok": pa.bool_(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "n_links": pa.int64(), "groups": pa.string(), "codes": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
         for part in pieces(batches, 500):
             cells = list(zip(*vocabularies.align(part["seg"].to_pylist())))
             yield pa.record_batch([part["seg"], part["n"], *(pa.array(x, t) for x, t in zip(cells, kinds.values()))], names=["seg", "n", *kinds])
 
-    return materialise(segment_counts(docs, cut).mapInArrow(tokenise, f"seg string, n long, {ALIGNED}").withColumn("sid", F.monotonically_increasing_id()), "align-segments")
+    return materialise(segment_counts(docs, cut).mapInArrow(tokenise, f"seg string, n long, {ALIGNED}").withColumn("sid", F.monotonically_increasing_id()), "align-segments", "zstd")
 
 
 def frequent_from(segments: DataFrame, most=FREQUENT, most_bytes=FREQUENT_BYTES) -> int:
     """The least power of the fourth root of two such that the segments with that many occurrences keep to both bounds."""
     level = F.floor(F.log2("n") * 4).cast("int")
-    weight = F.octet_length("seg") + F.octet_length("groups") + 32 * F.size("pairs")
+    weight = F.octet_length("seg") + F.octet_length("groups") + 8 * F.size("codes")
     rows = segments.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum(weight).alias("bytes")).collect()  # 4 levels for each bit of a count at most
     left, room, least = most, most_bytes, 1 << 10
     for r in sorted(rows, key=lambda r: -r["level"]):
@@ -174,8 +175,42 @@ def frequent_from(segments: DataFrame, most=FREQUENT, most_bytes=FREQUENT_BYTES)
     return least
 
 
+ESCAPE = 0xFFFF
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers from -1 to 2^32 - 3, two bytes each if small: others are an escape and the number plus one in four bytes."""
+    small = (ids >= 0) & (ids < ESCAPE)
+    begin = np.cumsum(np.where(small, 1, 3)) - np.where(small, 1, 3)
+    out = np.zeros(int(np.where(small, 1, 3).sum()), np.uint16)
+    out[begin[small]] = ids[small]
+    large = begin[~small]
+    out[large], out[large + 1], out[large + 2] = ESCAPE, (ids[~small] + 1) & 0xFFFF, (ids[~small] + 1) >> 16
+    return out.tobytes()
+
+
+def unpacked(cell: bytes | None) -> np.ndarray:
+    """What packed() was given; null: nothing. Both halves of a large number are less than the escape, or stand where none can begin."""
+    if cell is None:
+        return np.zeros(0, np.int64)
+    x = np.frombuffer(cell, np.uint16).astype(np.int64)
+    marks = np.flatnonzero(x == ESCAPE)
+    if not len(marks):
+        return x
+    begin, last = [], -1
+    for m in marks.tolist():  # a half may look like the escape
+        if m > last:
+            begin.append(m)
+            last = m + 2
+    begin = np.array(begin)
+    x[begin] = x[begin + 1] + (x[begin + 2] << 16) - 1
+    keep = np.ones(len(x), bool)
+    keep[begin + 1] = keep[begin + 2] = False
+    return x[keep]
+
+
 def encoded(docs: DataFrame, cut: str, frequent) -> DataFrame:
-    """rid, doc_id, ids (of frequent segments, in order, -1 for the others), rare (the others), materialised. Texts without tokens have null ids.
+    """rid, doc_id, ids (of frequent segments, in order, -1 for the others, packed), rare (the others), materialised. Texts without tokens have null ids.
 
     frequent: a broadcast list of segments.
     """
@@ -187,87 +222,99 @@ def encoded(docs: DataFrame, cut: str, frequent) -> DataFrame:
         for part in pieces(batches, 200):
             ids, rare = [], []
             for text in part["text"].to_pylist():
-                if not text:
-                    ids.append(None)
-                    rare.append(None)
-                    continue
-                said = between.split(f" {text}")
+                said = between.split(f" {text}") if text else ()
                 own = [number.get(s, -1) for s in said]
-                ids.append(np.array(own, np.int32))
-                rare.append([s for s, i in zip(said, own) if i < 0] if min(own) < 0 else [])
-            yield pa.record_batch([part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"])
+                ids.append(packed(np.array(own, np.int64)) if own else None)
+                rare.append([s for s, i in zip(said, own) if i < 0] if own and min(own) < 0 else None)
+            yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"])
 
-    return materialise(docs.mapInArrow(encode, f"doc_id {kind}, ids array<int>, rare array<string>").withColumn("rid", F.monotonically_increasing_id()), "align-encoded")
+    return materialise(docs.mapInArrow(encode, f"doc_id {kind}, ids binary, rare array<string>").withColumn("rid", F.monotonically_increasing_id()), "align-encoded", "zstd")
 
 
-def pair_counts(texts: DataFrame, frequent) -> DataFrame:
-    """a, b, documents: how many texts hold each linked pair. texts: ids, rare_ok, rare_pairs. frequent: a broadcast (ok, begin, codes), the pairs of segment i being codes[begin[i]:begin[i + 1]]."""
+def codes_of(groups: str) -> list[int]:
+    """The linked pairs of groups as they are spelt."""
+    return [int(p) << 32 | int(q) for g in groups.split(";") for a, b in (g.split("|"),) for p in a.split(",") for q in b.split(",")]
 
-    def count(batches):
-        ok, begin, codes = frequent.value
-        size = np.diff(begin)
-        held, n = [], 0
 
-        def rows():
-            code, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            total = np.bincount(place, np.concatenate([c for _, c in held])).astype(np.int64)
+def composed(texts: DataFrame, frequent) -> DataFrame:
+    """Two kinds of rows. Of each text: rid, ok (whether it has tokens), groups_sha256, sids (of its other segments). Of each task's linked pairs: code, documents (how many texts hold it).
+
+    texts: rid, ids, rare (sid and groups of the other segments, in order, null groups if a segment doesn't come back byte for byte).
+    frequent: a broadcast (ok, groups, begin, place, codes), the pairs of segment i being codes[place[begin[i]:begin[i + 1]]], codes sorted.
+    """
+
+    def compose(batches):
+        ok, said, begin, place, codes = frequent.value
+        size, times, held, n = np.diff(begin), np.zeros(len(codes), np.int64), [], 0
+
+        def rows(**cells):
+            kinds = {"rid": pa.int64(), "ok": pa.bool_(), "groups_sha256": pa.string(), "sids": pa.list_(pa.int64()), "code": pa.int64(), "documents": pa.int64()}
+            some = len(next(iter(cells.values())))
+            return pa.record_batch([cells.get(k, pa.nulls(some, t)) for k, t in kinds.items()], names=list(kinds))
+
+        def others():
+            code, many = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.record_batch({"a": pa.array((code >> 32).astype(np.int32)), "b": pa.array((code & 0xFFFFFFFF).astype(np.int32)), "documents": pa.array(total)})
+            return rows(code=pa.array(code), documents=pa.array(many))
 
-        for part in pieces(batches, 500):
-            found = []
-            for ids, fine, rare in zip(part["ids"], part["rare_ok"].to_pylist(), part["rare_pairs"]):
-                if not ids.is_valid:
-                    continue
-                own = np.unique(ids.values.to_numpy(zero_copy_only=False))
-                own = own[own >= 0]
-                if fine is False or not ok[own].all():
+        for part in pieces(batches, 200):
+            fine, digests = [], []
+            rare = part["rare"].fill_null([])
+            inside, ends = rare.flatten(), pc.list_value_length(rare).to_numpy().cumsum().tolist()
+            spelt, at = inside.field("groups").to_pylist(), 0
+            for cell, end in zip(part["ids"].to_pylist(), ends):
+                ids, mine, at = unpacked(cell), spelt[at:end], end
+                fine.append(len(ids) > 0 and bool(ok[ids].all()) and None not in mine)
+                digests.append("")
+                if not fine[-1]:
                     continue
+                rest = iter(mine)
+                digests[-1] = hashlib.sha256(";".join([said[i] if i >= 0 else next(rest) for i in ids.tolist()]).encode()).hexdigest()
+                own = ids[ids >= 0]
                 many = size[own]
-                at = np.repeat(begin[own] - np.concatenate(([0], many.cumsum()[:-1])), many) + np.arange(many.sum()) if len(own) else np.zeros(0, np.int64)
-                linked = codes[at]
-                if rare.is_valid:
-                    linked = np.concatenate((linked, rare.values.to_numpy(zero_copy_only=False)))
-                found.append(np.unique(linked))
-            if found:
-                code, times = np.unique(np.concatenate(found), return_counts=True)
-                held.append((code, times))
-                n += len(code)
-            if n > 4 * HELD:
-                yield rows()
+                found = place[np.repeat(begin[own] - many.cumsum() + many, many) + np.arange(many.sum())]
+                if mine:
+                    more = np.unique([c for x in mine for c in codes_of(x)])
+                    k = np.minimum(np.searchsorted(codes, more), max(0, len(codes) - 1))
+                    there = codes[k] == more if len(codes) else np.zeros(len(more), bool)
+                    found = np.concatenate((found, k[there]))
+                    held.append(more[~there])
+                    n += len(held[-1])
+                times[found] += 1  # once for a text, however often a pair is in found
+            offsets = pa.array([0, *ends], pa.int32())
+            yield rows(rid=part["rid"], ok=pa.array(fine, pa.bool_()), groups_sha256=pa.array(digests, pa.string()), sids=pa.ListArray.from_arrays(offsets, inside.field("sid")))
+            if n > HELD:
+                yield others()
                 n = 0
         if held:
-            yield rows()
+            yield others()
+        some = np.flatnonzero(times)
+        yield rows(code=pa.array(codes[some]), documents=pa.array(times[some]))
 
-    return texts.mapInArrow(count, "a int, b int, documents long").groupBy("a", "b").agg(F.sum("documents").alias("documents"))
+    return texts.mapInArrow(compose, "rid long, ok boolean, groups_sha256 string, sids array<long>, code long, documents long")
 
 
-def composed(texts: DataFrame, frequent) -> DataFrame:
-    """The result's rows. texts: doc_id, ids, rare (array of pos, ok, groups and counts, in order). frequent: a broadcast (ok, counts of each segment in a matrix, groups)."""
+def composed_with_rare(texts: DataFrame, others: DataFrame, told, parts: int) -> DataFrame:
+    """What composed() gives of all texts, materialised: other segments come back to their texts by a join. A function of its own, so that nothing holds its shuffles when it is done."""
+    places = texts.filter(F.col("rare").isNotNull()).select("rid", F.posexplode("rare").alias("pos", "seg"))
+    rare = places.join(others.select("seg", "sid", F.when(F.col("ok"), F.col("groups")).alias("groups")), "seg").drop("seg")
+    rare = rare.repartition(parts, "rid")  # as rows: lists put together before the shuffle would be longer
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("pos", "sid", "groups"))), lambda x: F.struct(x["sid"].alias("sid"), x["groups"].alias("groups")))
+    met = texts.select("rid", "ids").join(rare.groupBy("rid").agg(inside.alias("rare")), "rid", "left")
+    return materialise(composed(met, told), "align-composed", "zstd")
+
+
+def frequent_counts(texts: DataFrame, frequent) -> DataFrame:
+    """rid, doc_id and COUNTS over the frequent segments of each text. frequent: a broadcast matrix, a row a segment and one of zeros."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def compose(batches):
-        ok, counts, said = frequent.value
-        none = np.zeros(len(COUNTS), np.int64)
-        for part in pieces(batches, 500):
-            out, digests = [], []
-            for ids, rare in zip(part["ids"], part["rare"].to_pylist()):
-                own, rare, digest, total = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else (), rare or [], "", none
-                if len(own) and ok[own].all() and all(x["ok"] for x in rare):
-                    total = counts[own].sum(0)
-                    if rare:
-                        total = total + np.array([[x[c] for c in COUNTS] for x in rare], np.int64).sum(0)
-                        rest = (x["groups"] for x in rare)
-                        spelt = ";".join([said[i] if i >= 0 else next(rest) for i in own.tolist()])
-                    else:
-                        spelt = ";".join([said[i] for i in own.tolist()])
-                    digest = hashlib.sha256(spelt.encode()).hexdigest()
-                out.append(total)
-                digests.append(digest)
-            cells = np.array(out, np.int64).reshape(-1, len(COUNTS))
-            yield pa.record_batch([part["doc_id"], *(pa.array(cells[:, i]) for i in range(len(COUNTS))), pa.array(digests, pa.string())], names=["doc_id", *COUNTS, "groups_sha256"])
-
-    return texts.select("doc_id", "ids", "rare").mapInArrow(compose, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
+    def count(batches):
+        counts = frequent.value
+        for part in pieces(batches, 1000):
+            cells = np.array([counts[unpacked(x)].sum(0) for x in part["ids"].to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            yield pa.record_batch([part["rid"], part["doc_id"], *(pa.array(cells[:, i]) for i in range(len(COUNTS)))], names=["rid", "doc_id", *COUNTS])
+
+    return texts.select("rid", "doc_id", "ids").mapInArrow(count, f"rid long, doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, most=FREQUENT, most_bytes=FREQUENT_BYTES, id_col="doc_id", text_col="text") -> DataFrame:
@@ -284,31 +331,34 @@ def align(docs: DataFrame, path_a: str, path_b: str, most=FREQUENT, most_bytes=F
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(F.is_valid_utf8(text), text).alias("text"))
     cut = Vocabularies(*files).cut
     segments = dictionary(own, files, cut)
+    settle(spark)
     least = frequent_from(segments, most, most_bytes)
     often = F.floor(F.log2("n") * 4).cast("int") >= least
-    known = sorted(segments.filter(often).select("sid", "seg", "ok", *COUNTS[:4], "groups", "pairs").collect(), key=lambda r: r["sid"])  # at most `most` rows of most_bytes
-    ok = np.array([r["ok"] for r in known] + [True], bool)  # the last stands for those that aren't frequent
-    codes = np.array([p["a"] << 32 | p["b"] for r in known for p in r["pairs"]], np.int64)
-    begin = np.concatenate(([0], np.cumsum([len(r["pairs"]) for r in known]))).astype(np.int64)
-    texts = encoded(own, cut, spark.sparkContext.broadcast([r["seg"] for r in known]))
-    places = texts.select("rid", F.posexplode("rare").alias("pos", "seg"))
-    rare = materialise(places.join(segments.filter(~often).drop("n"), "seg").drop("seg"), "align-rare")
-    code = F.transform("pairs", lambda p: F.shiftleft(p["a"].cast("long"), 32).bitwiseOR(p["b"].cast("long")))
-    linked = rare.groupBy("rid").agg(F.min("ok").alias("rare_ok"), F.flatten(F.collect_list(code)).alias("rare_pairs"))
-    counted = pair_counts(texts.join(linked, "rid", "left").select("ids", "rare_ok", "rare_pairs"), spark.sparkContext.broadcast((ok, begin, codes)))
-    counted = materialise(counted, "align-pairs")
-    ranked = counted.withColumn("most", F.max("documents").over(Window.partitionBy("a")))
-    links = segments.select("sid", "n", F.explode("pairs").alias("p")).select("sid", "n", "p.*").join(ranked, ["a", "b"])
+    known = segments.filter(often).select("sid", "seg", "ok", *COUNTS[:4], "groups", "codes").toArrow()  # at most `most` rows of most_bytes
+    ok = np.array([*known["ok"].to_pylist(), True], bool)  # the last stands for those that aren't frequent
+    codes, place = np.unique(known["codes"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(pc.list_value_length(known["codes"]).to_numpy()))).astype(np.int64)
+    texts = encoded(own, cut, spark.sparkContext.broadcast(known["seg"].to_pylist()))
+
+    told = spark.sparkContext.broadcast((ok, known["groups"].to_pylist(), begin, place.astype(np.int32), codes))
+    found = composed_with_rare(texts, segments.filter(~often), told, partitions(docs))
+    told.unpersist()
+    settle(spark)
+
+    counted = found.filter(F.col("code").isNotNull()).groupBy("code").agg(F.sum("documents").alias("documents"))
+    ranked = counted.withColumn("most", F.max("documents").over(Window.partitionBy(F.shiftright("code", 32))))
+    links = segments.select("sid", F.explode(F.arrays_zip("codes", "times")).alias("p")).select("sid", F.col("p.codes").alias("code"), F.col("p.times").alias("m")).join(ranked, "code")
     best = F.sum(F.when(F.col("documents") == F.col("most"), F.col("m")).otherwise(0)).cast("long").alias("n_best")
-    scores = materialise(links.groupBy("sid", "n").agg(best, F.sum(F.col("m") * F.col("documents")).cast("long").alias("count_sum")), "align-scores")
+    scores = links.groupBy("sid").agg(best, F.sum(F.col("m") * F.col("documents")).cast("long").alias("count_sum"))
+    scores = materialise(segments.select("sid", "n", *COUNTS[:4]).join(scores, "sid", "left").fillna(0, ["n_best", "count_sum"]), "align-scores", "zstd")
     drop(segments)
-    drop(counted)
-    scored = {r["sid"]: (r["n_best"], r["count_sum"]) for r in scores.filter(often).collect()}  # as many rows as known at most
-    counts = np.array([[*(r[c] for c in COUNTS[:4]), *scored.get(r["sid"], (0, 0))] for r in known] + [[0] * len(COUNTS)], np.int64)
-    table_of = spark.sparkContext.broadcast((ok, counts, [r["groups"] for r in known]))
-    back = rare.join(scores.select("sid", "n_best", "count_sum"), "sid", "left").fillna(0, ["n_best", "count_sum"])
-    back = back.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "ok", "groups", *COUNTS))).alias("rare"))
-    return composed(texts.drop("rare").join(back, "rid", "left"), table_of)
+    scored = scores.filter(often).select("sid", *COUNTS).toArrow().sort_by("sid")  # as many rows as known
+    counts = np.column_stack([scored[c].to_numpy() for c in COUNTS]).astype(np.int64)[pc.index_in(known["sid"], scored["sid"].combine_chunks()).to_numpy()]
+    counts = np.vstack([counts, np.zeros((1, len(COUNTS)), np.int64)])
+    out = frequent_counts(texts, spark.sparkContext.broadcast(counts)).join(found.filter(F.col("rid").isNotNull()).select("rid", "ok", "groups_sha256"), "rid")
+    more = found.select("rid", F.explode("sids").alias("sid")).join(scores.filter(~often).drop("n"), "sid").groupBy("rid").agg(*(F.sum(c).alias(f"more_{c}") for c in COUNTS))
+    both = lambda c: F.when(F.col("ok"), F.col(c) + F.coalesce(f"more_{c}", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias(c)
+    return out.join(more, "rid", "left").select("doc_id", *(both(c) for c in COUNTS), "groups_sha256")
 
 
 def op12_alignment(spark, sf_dir, tokenizers=TOKENIZERS):
