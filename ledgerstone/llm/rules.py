@@ -143,8 +143,8 @@ _LINES = ", ".join(f"count(*) FILTER (regexp_matches(line, '{p}')) AS {n}" for n
 ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
 w AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
 s AS (SELECT row, count(*) AS n_stop_words FROM w WHERE rtrim(lower(word), '{MARKS}') IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}) GROUP BY row),
-v AS (SELECT row, unnest(range(1, len(words) - {WINDOW - 2})) AS place, words FROM d WHERE len(words) > {WINDOW}),
-g AS (SELECT row, place, count(*) OVER (PARTITION BY row, list_slice(words, place, place + {WINDOW - 1})) AS times FROM v),
+v AS (SELECT row, unnest(range(1, len(words) - {WINDOW - 2})) AS place, unnest(list_transform(range(1, len(words) - {WINDOW - 2}), lambda i: array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' '))) AS g FROM d WHERE len(words) > {WINDOW}),
+g AS (SELECT row, place, count(*) OVER (PARTITION BY row, g) AS times FROM v),
 r AS (SELECT row, count(DISTINCT p) AS n_repeat_words FROM (SELECT row, unnest(range(place, place + {WINDOW})) AS p FROM g WHERE times > 1) GROUP BY row),
 l AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, {_LINES} FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY row),
 m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {_COUNTS},
