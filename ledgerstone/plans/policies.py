@@ -31,7 +31,7 @@ def rescan(spark, d):
 def generalisation(spark, d):
     """Mean scores by language on either side of a split, and whether their gap is wide."""
     rows = scored_labels(spark, d).withColumn("split", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test"))
-    gaps = leakage.generalisation_gap(rows.select(F.col("lang").alias("model"), "split", "score"), 0.02)
+    gaps = leakage.generalisation_gap(rows.select(F.col("lang").alias("model"), "split", "score", "doc_id"), 0.02, "doc_id")
     return gaps.select("model", *(F.round(c, 6).alias(c) for c in ("train", "test", "gap")), "wide")
 
 
