@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import SLICE, sliced
 from ..sources.work import drop, materialise
 
 HELD = 600_000  # words or pairs that a task counts before it hands them on
 MOST, MOST_BYTES = 1 << 19, 64 << 20  # words, and bytes of them, that a dictionary may have
-SLICE = 200  # texts that are Python strings at a time
 
 
 def mark_ranges() -> str:
@@ -35,12 +35,6 @@ def words_of(text: str, find, stop) -> list[str]:
     return [w for w in found if w not in stop] if stop else found
 
 
-def sliced(batches, rows=SLICE):
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-
-
 # --- terms -----------------------------------------------------------------------------------------------------------------------------
 
 
