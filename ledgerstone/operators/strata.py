@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import SLICE, sliced
 from ..sources.work import drop, materialise
 
-HELD = 600_000  # words or pairs that a task counts before it hands them on
+HELD = 200_000  # words or pairs that a task counts before it hands them on
 MOST, MOST_BYTES = 1 << 19, 64 << 20  # words, and bytes of them, that a dictionary may have
 
 
@@ -350,13 +350,13 @@ def spread_start(x: np.ndarray, k: int, rng, of=4) -> np.ndarray:
 
 
 def mini_batches(x: np.ndarray, k: int, rounds: int, batch: int, seed: int) -> np.ndarray:
-    """Centres of one start: each round moves centres by a batch's means, weighted by how many rows they have had."""
+    """Centres of one start: each round moves centres by a batch's means, weighted by how many rows they have had. Only a batch at a time is in double precision."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
-    centres = spread_start(x[order[: max(10 * k, 8 * batch)]], k, rng)
+    centres = spread_start(x[order[: max(10 * k, 8 * batch)]].astype(np.float64), k, rng)
     had = np.zeros(len(centres))
     for i in range(rounds):
-        part = x[np.take(order, range(i * batch, (i + 1) * batch), mode="wrap")]
+        part = x[np.take(order, range(i * batch, (i + 1) * batch), mode="wrap")].astype(np.float64)
         label = squares(part, centres).argmin(1)
         count = np.bincount(label, minlength=len(centres))
         total = np.zeros_like(centres)
@@ -382,7 +382,7 @@ def fitted(vectors: DataFrame, k: int, tries: int, rounds: int, batch: int, seed
     def start(batches):
         for part in batches:
             for i in part["id"].to_pylist():
-                yield pa.record_batch({"i": pa.array([i]), "c": pa.array([mini_batches(shared.value.astype(np.float64), k, rounds, batch, seed + i).tobytes()], pa.binary())})
+                yield pa.record_batch({"i": pa.array([i]), "c": pa.array([mini_batches(shared.value, k, rounds, batch, seed + i).tobytes()], pa.binary())})
 
     dims = shared.value.shape[1]
     begun = spark.range(0, tries, 1, tries).mapInArrow(start, "i long, c binary").toArrow().sort_by("i")  # tries times k centres
