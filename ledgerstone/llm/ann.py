@@ -45,14 +45,38 @@ def list_array(values, sizes, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
 
 
+def dense(ids: np.ndarray) -> np.ndarray:
+    """Numbers of nodes, or any small ones, without the gap between a range and the next: in the same order, and under 2^31 as long as nodes in even ranges are."""
+    row = ids & ((1 << ROW_BITS) - 1)
+    return ((ids >> ROW_BITS) * (int(row.max(initial=0)) + 1) + row).astype(np.uint64)
+
+
+def falling(sims: np.ndarray) -> np.ndarray:
+    """Numbers that sort as the floats do from the largest."""
+    bits = (sims + np.float32(0)).view(np.uint32)
+    return np.where(bits >> 31, bits, ~(bits | np.uint32(1 << 31))).astype(np.uint64)
+
+
 def top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, flags: np.ndarray, k: int):
-    """The k largest of each owner, of repeats the one with the least flag: owner, ids, sims, flags by owner and falling sim, ties by id."""
-    order = np.lexsort((flags, ids, owner))
+    """The k largest of each owner, of repeats the one with the least flag: owner, ids, sims, flags by owner and falling sim, ties by id. Flags are from -1 to 2."""
+    own, other = dense(owner.astype(np.int64, copy=False)), dense(ids.astype(np.int64, copy=False))
+    if max(int(own.max(initial=0)), int(other.max(initial=0))) >> 31:
+        order = np.lexsort((flags, ids, owner))
+    else:  # one key sorts many times as fast as three
+        order = np.argsort(own << np.uint64(33) | other << np.uint64(2) | (flags + 1).astype(np.uint64))
     o, i, s, f = owner[order], ids[order], sims[order], flags[order]
     first = np.ones(len(o), bool)
     first[1:] = (o[1:] != o[:-1]) | (i[1:] != i[:-1])
     o, i, s, f = o[first], i[first], s[first], f[first]
-    order = np.lexsort((i, -s, o))
+    place = own[order][first]
+    if int(own.max(initial=0)) >> 32:
+        order = np.lexsort((i, -s, o))
+    else:
+        key = place << np.uint64(32) | falling(s)
+        order = np.argsort(key)
+        there = key[order]
+        if (there[1:] == there[:-1]).any():
+            order = np.lexsort((i, key))
     o, i, s, f = o[order], i[order], s[order], f[order]
     starts = starts_of(o) if len(o) else np.zeros(0, np.int64)
     rank = np.arange(len(o)) - np.repeat(starts, np.diff([*starts, len(o)]))
@@ -251,6 +275,100 @@ def merge(places: DataFrame, blocks: int, k: int) -> DataFrame:
     return by_block(places, blocks).mapInArrow(run, GRAPH)
 
 
+STOCK = "block int, kind int, asker int, ids array<long>, worst array<float>, x binary"  # kind 0: vectors; 1: what their lists lack room to ignore; 2: what a block asks for
+
+
+def stock_row(block: int, kind: int, asker, ids: np.ndarray, worst=None, x=None):
+    cells = ([block], [kind], [asker], [ids], [worst], [x])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.binary()), strict=True)], ["block", "kind", "asker", "ids", "worst", "x"])
+
+
+def split(ids: np.ndarray, blocks: int):
+    """For each block that ids are of: the block, and their places."""
+    block = (ids >> ROW_BITS) % blocks
+    order = np.argsort(block, kind="stable")
+    starts = starts_of(block[order]) if len(ids) else np.zeros(0, np.int64)
+    return [(int(block[p[0]]), p) for p in np.split(order, starts[1:]) if len(p)]
+
+
+def stocked(points: DataFrame, blocks: int) -> DataFrame:
+    """The vectors of points (id, x), many of a block in one row."""
+
+    def run(batches):
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for block, at in split(ids, blocks):
+                yield stock_row(block, 0, None, ids[at], x=x[at].tobytes())
+
+    return points.select("id", "x").mapInArrow(run, STOCK)
+
+
+def lowest(graph: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The least sim of each full list, many of a block in one row."""
+
+    def run(batches):
+        for batch in batches:
+            offsets, _ = lists(batch.column(1))
+            _, sims = lists(batch.column(1), np.float32)
+            ids = batch.column(0).to_numpy()
+            full = np.flatnonzero(np.diff(offsets) >= k)
+            ids, worst = ids[full], sims[offsets[full + 1] - 1]
+            for block, at in split(ids, blocks):
+                yield stock_row(block, 1, None, ids[at], worst=worst[at])
+
+    return graph.select("id", "sims").mapInArrow(run, STOCK)
+
+
+def fetched(asks: DataFrame, stock: DataFrame, blocks: int) -> DataFrame:
+    """asks: asker, ids. asker, ids, worst, x: the vectors that each asker asked for, a row for each block they are in.
+
+    Vectors travel by the block, not one by one: with n nodes there are up to blocks^2 rows, where there were up to n * blocks.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            offsets, ids = lists(batch.column(1))
+            for r, asker in enumerate(batch.column(0).to_pylist()):
+                own = ids[offsets[r] : offsets[r + 1]]
+                for block, at in split(own, blocks):
+                    yield stock_row(block, 2, asker, own[at])
+
+    def answer(batches):
+        held, told, asked = [], [], []
+        for batch in batches:
+            (offsets, ids), (w_offsets, worst) = lists(batch.column(3)), lists(batch.column(4), np.float32)
+            for r, kind in enumerate(batch.column(1).to_pylist()):
+                own = ids[offsets[r] : offsets[r + 1]]
+                if kind == 0:
+                    held.append((own, np.frombuffer(batch.column(5)[r].as_buffer(), np.float32).reshape(len(own), -1)))
+                elif kind == 1:
+                    told.append((own, worst[w_offsets[r] : w_offsets[r + 1]]))
+                else:
+                    asked.append((batch.column(2)[r].as_py(), own))
+        if not asked:
+            return
+        ids, x = (np.concatenate([h[c] for h in held]) for c in range(2))
+        held.clear()
+        order = np.argsort(ids)
+        ids, least = ids[order], np.full(len(ids), -np.inf, np.float32)
+        for own, worst in told:
+            least[np.searchsorted(ids, own)] = worst
+        for asker, own in asked:
+            at = np.searchsorted(ids, own)
+            yield stock_row(asker, 0, asker, own, least[at], x[order[at]].tobytes())
+
+    rows = stock.unionByName(asks.select("asker", "ids").mapInArrow(deal, STOCK))
+    return by_block(rows, blocks).mapInArrow(answer, STOCK)
+
+
+def received(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, x, worst of what fetched() gave one asker, by id. rows: its (ids, x, worst)."""
+    ids, worst = (np.concatenate([r[c] for r in rows]) for c in (0, 2))
+    x = np.concatenate([np.frombuffer(r[1], np.float32).reshape(len(r[0]), -1) for r in rows])
+    order = np.argsort(ids)
+    return ids[order], x[order], worst[order]
+
+
 ADJACENT = "block int, id long, near array<long>, flags array<tinyint>"
 
 
@@ -281,51 +399,61 @@ def both_ways(graph: DataFrame, blocks: int, k: int) -> DataFrame:
     return by_block(own.unionByName(other), blocks).mapInArrow(join, ADJACENT)
 
 
-def compare(adjacent: DataFrame, points: DataFrame, graph: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The join of neighbours with neighbours: the pairs, one of them new at least, that would improve a list."""
+def compare(adjacent: DataFrame, stock: DataFrame, graph: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The join of neighbours with neighbours: the pairs, one of them new at least, that would improve a list. stock: stocked()."""
 
     def offers(target, other, s, worst):
         """For each target the OFFER nearest of the others that its list lacks room to ignore."""
-        m = min(OFFER, len(other))
-        j = np.argpartition(-s, m - 1, 1)[:, :m]
-        v = np.take_along_axis(s, j, 1)
-        a, c = np.nonzero(v > worst[target][:, None])
-        return target[a], other[j[a, c]], v[a, c]
+        keep = s > worst[target][:, None]
+        crowded = np.flatnonzero(np.count_nonzero(keep, 1) > OFFER)
+        if len(crowded):
+            own = s[crowded]
+            keep[crowded] &= own >= np.partition(own, len(other) - OFFER, 1)[:, len(other) - OFFER, None]
+        a, c = np.nonzero(keep)
+        return target[a], other[c], s[a, c]
 
     def run(batches):
-        for batch in whole(batches):
-            kind = batch.column(1).to_numpy()
-            vec = batch.take(pa.array(np.flatnonzero(kind == 0)))
-            ids, x, worst = vec.column(2).to_numpy(), matrix(vec.column(5)), vec.column(6).to_numpy()
-            order = np.argsort(ids)
-            ids, x, worst = ids[order], x[order], worst[order]
-            rest = batch.take(pa.array(np.flatnonzero(kind == 1)))
-            offsets, near = lists(rest.column(3))
-            _, flags = lists(rest.column(4), np.int8)
-            at = np.searchsorted(ids, near)
-            own = np.searchsorted(ids, rest.column(2).to_numpy())
-            parts, size, best = [], 0, None
-            for n in range(len(own)):
-                b, old = at[offsets[n] : offsets[n + 1]], flags[offsets[n] : offsets[n + 1]] != 0
-                new, old = b[~old], np.append(b[old], own[n])
-                both = np.concatenate([new, old])
-                s = x[new] @ x[both].T
-                np.fill_diagonal(s, -np.inf)
-                parts += [offers(new, both, s, worst), offers(old, new, s[:, len(new) :].T, worst)]
-                size += sum(len(p[0]) for p in parts[-2:])
-                if size > 1_000_000 or n == len(own) - 1:
-                    o, i, v = (np.concatenate([p[c] for p in parts] + ([best[c]] if best else [])) for c in range(3))
-                    best, parts, size = top(o, i, v, np.zeros(len(o), np.int8), k), [], 0
-            if best and len(best[0]):
-                yield packs(ids[best[0]], ids[best[1]], best[2].astype(np.float32), best[3], blocks)
-
-    lowest = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(float("-inf"))).cast("float")
-    full = points.select("id", "x").join(graph.select("id", lowest.alias("worst")), "id", "left")
+        vectors, tasks = [], []
+        for batch in batches:
+            if len(batch):
+                kind = batch.column(1).to_numpy()
+                (o, ids), (w, worst) = lists(batch.column(3)), lists(batch.column(5), np.float32)
+                vectors += [(ids[o[r] : o[r + 1]], batch.column(6)[r].as_buffer(), worst[w[r] : w[r + 1]]) for r in np.flatnonzero(kind == 0)]
+                tasks.append(batch.take(pa.array(np.flatnonzero(kind == 1))))
+        if not vectors:
+            return
+        ids, x, worst = received(vectors)
+        vectors.clear()
+        rest = one_batch(tasks)
+        offsets, near = lists(rest.column(3))
+        _, flags = lists(rest.column(4), np.int8)
+        at = np.searchsorted(ids, near).astype(np.int32)
+        own = np.searchsorted(ids, rest.column(2).to_numpy()).astype(np.int32)
+        parts, size, best = [], 0, None
+        for n in range(len(own)):
+            b, old = at[offsets[n] : offsets[n + 1]], flags[offsets[n] : offsets[n + 1]] != 0
+            new, old = b[~old], np.append(b[old], own[n])
+            both = np.concatenate([new, old])
+            s = x[new] @ x[both].T
+            np.fill_diagonal(s, -np.inf)
+            parts += [offers(new, both, s, worst), offers(old, new, s[:, len(new) :].T, worst)]
+            size += sum(len(p[0]) for p in parts[-2:])
+            if size > max(1_000_000, len(best[0]) // 2 if best else 0) or n == len(own) - 1:
+                o, i, v = (np.concatenate([p[c] for p in parts] + ([best[c]] if best else [])) for c in range(3))
+                best, parts, size = top(o, i, v, np.zeros(len(o), np.int8), k), [], 0
+                if len(best[0]):  # what a full list of offers has no room for is not offered any more
+                    last = np.append(starts_of(best[0])[1:], len(best[0])) - 1
+                    full = last[np.diff(last, prepend=-1) >= k]
+                    worst[best[0][full]] = np.maximum(worst[best[0][full]], best[2][full])
+        if best and len(best[0]):
+            yield packs(ids[best[0]], ids[best[1]], best[2].astype(np.float32), best[3], blocks)
+
     none = F.lit(None)
-    wanted = adjacent.filter("id is null").select("block", F.explode("near").alias("id"))
-    vectors = wanted.join(full, "id").select("block", F.lit(0).alias("kind"), "id", none.cast("array<long>").alias("near"), none.cast("array<tinyint>").alias("flags"), "x", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+    asks = adjacent.filter("id is null").select(F.col("block").alias("asker"), F.col("near").alias("ids"))
+    vectors = fetched(asks, stock.unionByName(lowest(graph, blocks, k)), blocks)
+    vectors = vectors.select("block", F.lit(0).alias("kind"), none.cast("long").alias("id"), F.col("ids").alias("near"), none.cast("array<tinyint>").alias("flags"), "worst", "x")
     busy = adjacent.filter(F.col("id").isNotNull() & F.array_contains("flags", F.lit(0).cast("tinyint")))
-    rows = busy.select("block", F.lit(1).alias("kind"), "id", "near", "flags", none.cast("binary").alias("x"), F.lit(0.0).cast("float").alias("worst"))
+    rows = busy.select("block", F.lit(1).alias("kind"), "id", "near", "flags", none.cast("array<float>").alias("worst"), none.cast("binary").alias("x"))
     return by_block(vectors.unionByName(rows), blocks).mapInArrow(run, PACK)
 
 
@@ -333,9 +461,10 @@ def build(points: DataFrame, n: int, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH)
     """points: id, x, cell; n: how many. The graph: id, near, sims, flags. Rounds end, after one at least, when less than `enough` of all list places are new."""
     blocks = work_blocks(points, n)
     graph = materialise(merge(packed(first_graph(points, n, k), blocks), blocks, k), "graph")
+    stock = materialise(stocked(points, blocks), "stock")
     for _ in range(rounds):
         adjacent = materialise(both_ways(graph, blocks, k), "adjacent")
-        better = compare(adjacent, points, graph, blocks, k)
+        better = compare(adjacent, stock, graph, blocks, k)
         aged = graph.withColumn("flags", F.transform("flags", lambda _: F.lit(1).cast("tinyint")))
         new = materialise(merge(packed(aged, blocks).unionByName(better), blocks, k), "graph")
         drop(adjacent)
@@ -343,6 +472,7 @@ def build(points: DataFrame, n: int, k=NEIGHBOURS, rounds=ROUNDS, enough=ENOUGH)
         graph = new
         if (new.agg(F.sum(F.size(F.filter("flags", lambda f: f == 0)))).first()[0] or 0) < enough * n * k:
             break
+    drop(stock)
     return graph
 
 
@@ -377,7 +507,9 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want
     """
     asked, beam = queries.count(), max(beam, want)
     pieces = max(1, min(cores(points), math.ceil(asked / 64)), math.ceil(asked / 1024))
-    adjacent = materialise(both_ways(graph, work_blocks(points, n), NEIGHBOURS), "adjacent").filter("id is not null").select("id", F.col("near").alias("beside"))
+    blocks = work_blocks(points, n)
+    stock = materialise(stocked(points, blocks), "stock")
+    adjacent = materialise(both_ways(graph, blocks, NEIGHBOURS), "adjacent").filter("id is not null").select("id", F.col("near").alias("beside"))
     state = materialise(entered(queries, points), "found")
 
     def gather(batches):
@@ -401,9 +533,10 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want
         for batch in whole(batches):
             kind = batch.column(1).to_numpy()
             vec, known = (batch.take(pa.array(np.flatnonzero(kind == c))) for c in range(2))
-            ids, x = vec.column(2).to_numpy(), matrix(vec.column(7))
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
+            if not len(known):
+                continue
+            (v_off, v_flat), (_, v_worst) = lists(vec.column(3)), lists(vec.column(4), np.float32)
+            ids, x, _ = received([(v_flat[a:b], vec.column(7)[r].as_buffer(), v_worst[a:b]) for r, (a, b) in enumerate(zip(v_off, v_off[1:]))])
             (n_off, n_flat), (t_off, t_flat), (g_off, g_flat), (w_off, w_flat) = (lists(known.column(c)) for c in (3, 5, 6, 8))
             _, s_flat = lists(known.column(4), np.float32)
             out = []
@@ -432,9 +565,9 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, n: int, want
         step = state.select(F.col("id").alias("q"), F.explode("go").alias("id")).join(adjacent, "id").select(F.col("q").alias("id"), "beside")
         rows = shaped(state, 0, near="near").unionByName(shaped(step, 1, near="beside")).select("piece", "kind", "id", "near")
         lists_ = materialise(by_block(rows, pieces, "piece").mapInArrow(gather, "piece int, id long, todo array<long>"), "todo")
-        wanted = lists_.filter("id is null").select("piece", F.explode("todo").alias("id")).join(points.select("id", "x"), "id")
+        wanted = fetched(lists_.filter("id is null").select(F.col("piece").alias("asker"), F.col("todo").alias("ids")), stock, blocks)
         live = state.join(lists_.filter("id is not null").select("id", "todo"), "id")
-        rows = shaped(wanted, 0, F.col("piece"), x="x").unionByName(shaped(live, 1, near="near", sims="sims", todo="todo", seen="seen", go="go"))
+        rows = shaped(wanted.withColumn("id", F.lit(None).cast("long")), 0, F.col("block").alias("piece"), near="ids", sims="worst", x="x").unionByName(shaped(live, 1, near="near", sims="sims", todo="todo", seen="seen", go="go"))
         new = materialise(by_block(rows, pieces, "piece").mapInArrow(score, STATE), "found")
         drop(lists_)
         state, finished = new.filter("size(go) > 0"), new.filter("size(go) = 0").select("id", "near")
