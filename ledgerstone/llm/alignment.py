@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +75,76 @@ class Vocabularies:
         self.bytes_b = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace("\u2581", " ").encode() for p in model.pieces]
         self.cut = cut_pattern([*self.bytes_a, *self.bytes_b])
 
-    def align(self, segments: list[str]):
-        """For each segment what ALIGNED names."""
-        ours = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        theirs = self.b.encode([s[1:] for s in segments], num_threads=1)  # it adds the space
-        for text, x, y in zip(segments, ours, theirs):
-            yield groups_of(text.encode(), x.ids, y, self.bytes_a, self.bytes_b)
+        self.sizes = [np.array([len(x) for x in tokens]) for tokens in (self.bytes_a, self.bytes_b)]
+        self.some = max(map(len, self.sizes))
+        self.spelt = pa.array([f"{i}{after}" for after in (",", "|", ";", "") for i in range(self.some)])
+
+    def align(self, segments: list[str]) -> list[pa.Array]:
+        """The columns that ALIGNED names of segments, each without the space that it begins with."""
+        ours = [x.ids for x in self.a.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)]
+        theirs = self.b.encode(segments, num_threads=1)  # it adds the space
+        texts = [f" {s}".encode() for s in segments]
+        return self.columns(texts, ours, theirs) or [pa.array(c, t) for c, t in zip(zip(*(groups_of(text, x, y, self.bytes_a, self.bytes_b) for text, x, y in zip(texts, ours, theirs))), KINDS.values())]
+
+    def columns(self, texts: list[bytes], ours, theirs):
+        """What groups_of() gives of many texts, as columns; None if a text doesn't come back byte for byte: then they have to be looked at one by one."""
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ours, theirs))
+        many_a, many_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ours, theirs))
+        ends = np.cumsum([len(x) for x in texts])
+        size_a, size_b = self.sizes[0][a], self.sizes[1][b]
+        end_a, end_b, whole = size_a.cumsum(), size_b.cumsum(), b"".join(texts)
+        if not (len(a) and len(b) and many_a.all() and many_b.all() and size_a.all() and size_b.all()):
+            return None
+        if (end_a[many_a.cumsum() - 1] != ends).any() or (end_b[many_b.cumsum() - 1] != ends).any():
+            return None
+        if b"".join([self.bytes_a[i] for i in a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in b.tolist()]) != whole:
+            return None
+        group_ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        of_a, of_b, of = np.searchsorted(group_ends, end_a), np.searchsorted(group_ends, end_b), np.searchsorted(ends, group_ends)
+        in_a, in_b = np.bincount(of_a), np.bincount(of_b)
+        x, y, g = crossed(in_a, in_b)
+        codes, code = np.unique(a[x] << 32 | b[y], return_inverse=True)
+        pairs, times = np.unique(of[g] * len(codes) + code, return_counts=True)
+        offsets = lambda owner: pa.array(np.concatenate(([0], np.bincount(owner, minlength=len(texts)).cumsum())), pa.int32())
+        held = offsets(pairs // len(codes))
+        cells = np.empty(len(a) + len(b), np.int64)  # the numbers in the order in which they are spelt, each with what comes after it
+        last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
+        cells[np.arange(len(a)) + (in_b.cumsum() - in_b)[of_a]] = a + last_a * self.some
+        cells[np.arange(len(b)) + in_a.cumsum()[of_b]] = b + last_b * 2 * self.some + np.isin(end_b, ends) * self.some
+        said = self.spelt.take(pa.array(cells))
+        begins = np.frombuffer(said.buffers()[1], np.int32)[np.concatenate(([0], (many_a + many_b).cumsum()))]
+        groups = pa.StringArray.from_buffers(len(texts), pa.py_buffer(begins.copy()), said.buffers()[2])
+        links = np.bincount(of[g], minlength=len(texts))
+        numbers = (many_a, many_b, np.bincount(of, minlength=len(texts)), links)
+        lists = pa.ListArray.from_arrays(held, pa.array(codes[pairs % len(codes)])), pa.ListArray.from_arrays(held, pa.array(times, pa.int32()))
+        return [pa.array(np.ones(len(texts), bool)), *(pa.array(n, t) for n, t in zip(numbers, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))), groups, *lists]
+
+
+KINDS = {"ok": pa.bool_(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "n_links": pa.int64(), "groups": pa.string(), "codes": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
+
+
+def crossed(in_a: np.ndarray, in_b: np.ndarray):
+    """All pairs inside groups of so many of either side: the place of the one, of the other, and the group."""
+    links = in_a * in_b
+    g = np.repeat(np.arange(len(links)), links)
+    i = np.arange(len(g)) - np.repeat(links.cumsum() - links, links)
+    return (in_a.cumsum() - in_a)[g] + i // in_b[g], (in_b.cumsum() - in_b)[g] + i % in_b[g], g
+
+
+def splitter(cut: str):
+    """A function from a text to its segments, each without the space that it begins with. A cut depends on the character before a space, and on whether anything comes after it."""
+    between, fine = re.compile(cut), {"": False}
+
+    def segments(text: str) -> list[str]:
+        said = text.split(" ")
+        for c in {s[-1:] for s in said}:
+            if c not in fine:
+                fine[c] = bool(between.search(f"{c} x"))
+            if not fine[c]:
+                return [s[1:] for s in between.split(f" {text}")]
+        return said
+
+    return segments
 
 
 def cut_pattern(tokens) -> str:
@@ -124,7 +189,7 @@ def segment_counts(docs: DataFrame, cut: str) -> DataFrame:
     """seg, n: how often each distinct segment stands in the texts. cut: the pattern between segments."""
 
     def count(batches):
-        between, held = re.compile(cut), Counter()
+        segments, held = splitter(cut), Counter()
 
         def rows():
             out = pa.record_batch({"seg": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
@@ -134,7 +199,7 @@ def segment_counts(docs: DataFrame, cut: str) -> DataFrame:
         for part in pieces(batches, 200):
             for text in part["text"].to_pylist():
                 if text:
-                    held.update(between.split(f" {text}"))
+                    held.update(segments(text))
             if len(held) > HELD:
                 yield rows()
         if held:
@@ -153,10 +218,8 @@ def dictionary(docs: DataFrame, files, cut: str) -> DataFrame:
 
     def tokenise(batches):
         vocabularies = Vocabularies(*files)
-        kinds = {"ok": pa.bool_(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "n_links": pa.int64(), "groups": pa.string(), "codes": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
         for part in pieces(batches, 500):
-            cells = list(zip(*vocabularies.align(part["seg"].to_pylist())))
-            yield pa.record_batch([part["seg"], part["n"], *(pa.array(x, t) for x, t in zip(cells, kinds.values()))], names=["seg", "n", *kinds])
+            yield pa.record_batch([part["seg"], part["n"], *vocabularies.align(part["seg"].to_pylist())], names=["seg", "n", *KINDS])
 
     return materialise(segment_counts(docs, cut).mapInArrow(tokenise, f"seg string, n long, {ALIGNED}").withColumn("sid", F.monotonically_increasing_id()), "align-segments", "zstd")
 
@@ -212,28 +275,42 @@ def unpacked(cell: bytes | None) -> np.ndarray:
 def encoded(docs: DataFrame, cut: str, frequent) -> DataFrame:
     """rid, doc_id, ids (of frequent segments, in order, -1 for the others, packed), rare (the others), materialised. Texts without tokens have null ids.
 
-    frequent: a broadcast list of segments.
+    frequent: a broadcast list of segments, the most frequent first, since small numbers take least room.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        between = re.compile(cut)
-        number = {s: i for i, s in enumerate(frequent.value)}
+        segments, number = splitter(cut), {s: i for i, s in enumerate(frequent.value)}
         for part in pieces(batches, 200):
             ids, rare = [], []
             for text in part["text"].to_pylist():
-                said = between.split(f" {text}") if text else ()
-                own = [number.get(s, -1) for s in said]
-                ids.append(packed(np.array(own, np.int64)) if own else None)
-                rare.append([s for s, i in zip(said, own) if i < 0] if own and min(own) < 0 else None)
+                if not text:
+                    ids.append(None)
+                    rare.append(None)
+                    continue
+                said = segments(text)
+                own = np.array([number.get(s, -1) for s in said], np.int64)
+                ids.append(packed(own))
+                rare.append([said[i] for i in np.flatnonzero(own < 0).tolist()] or None)
             yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"])
 
     return materialise(docs.mapInArrow(encode, f"doc_id {kind}, ids binary, rare array<string>").withColumn("rid", F.monotonically_increasing_id()), "align-encoded", "zstd")
 
 
-def codes_of(groups: str) -> list[int]:
-    """The linked pairs of groups as they are spelt."""
-    return [int(p) << 32 | int(q) for g in groups.split(";") for a, b in (g.split("|"),) for p in a.split(",") for q in b.split(",")]
+SPACES = str.maketrans(",|;", "   ")
+
+
+def codes_of(groups: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of groups as they are spelt, and which of the list each is of."""
+    if not groups:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = ";".join(groups)
+    ids, marks = np.fromstring(whole.translate(SPACES), np.int64, sep=" "), np.frombuffer(whole.encode(), np.uint8)
+    marks = marks[(marks < 48) | (marks > 57)]
+    group = np.concatenate(([0], (marks == 59).cumsum()))
+    second = np.concatenate(([0], (marks == 124).cumsum())) > group
+    x, y, g = crossed(np.bincount(group[~second]), np.bincount(group[second]))
+    return ids[~second][x] << 32 | ids[second][y], np.repeat(np.arange(len(groups)), [s.count(";") + 1 for s in groups])[g]
 
 
 def composed(texts: DataFrame, frequent) -> DataFrame:
@@ -258,7 +335,7 @@ def composed(texts: DataFrame, frequent) -> DataFrame:
             return rows(code=pa.array(code), documents=pa.array(many))
 
         for part in pieces(batches, 200):
-            fine, digests = [], []
+            fine, digests, met, more = [], [], [], []
             rare = part["rare"].fill_null([])
             inside, ends = rare.flatten(), pc.list_value_length(rare).to_numpy().cumsum().tolist()
             spelt, at = inside.field("groups").to_pylist(), 0
@@ -272,15 +349,20 @@ def composed(texts: DataFrame, frequent) -> DataFrame:
                 digests[-1] = hashlib.sha256(";".join([said[i] if i >= 0 else next(rest) for i in ids.tolist()]).encode()).hexdigest()
                 own = ids[ids >= 0]
                 many = size[own]
-                found = place[np.repeat(begin[own] - many.cumsum() + many, many) + np.arange(many.sum())]
-                if mine:
-                    more = np.unique([c for x in mine for c in codes_of(x)])
-                    k = np.minimum(np.searchsorted(codes, more), max(0, len(codes) - 1))
-                    there = codes[k] == more if len(codes) else np.zeros(len(more), bool)
-                    found = np.concatenate((found, k[there]))
-                    held.append(more[~there])
-                    n += len(held[-1])
-                times[found] += 1  # once for a text, however often a pair is in found
+                met.append((place[np.repeat(begin[own] - many.cumsum() + many, many) + np.arange(many.sum())], len(more)))
+                more += mine
+            code, of = codes_of(more)
+            k = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+            there = codes[k] == code if len(codes) else np.zeros(len(code), bool)
+            bounds = np.array([first for _, first in met], np.int64)
+            text = np.searchsorted(bounds, of, "right")  # of texts without such segments none is found, whichever has the same bound
+            known, edges = k[there], np.searchsorted(text[there], np.arange(len(met) + 2))
+            for i, (found, _) in enumerate(met, 1):
+                times[np.concatenate((found, known[edges[i] : edges[i + 1]]))] += 1  # once for a text, however often a pair is in it
+            if not there.all():
+                new, inverse = np.unique(code[~there], return_inverse=True)
+                held.append(new[np.unique(text[~there] * len(new) + inverse) % len(new)])
+                n += len(held[-1])
             offsets = pa.array([0, *ends], pa.int32())
             yield rows(rid=part["rid"], ok=pa.array(fine, pa.bool_()), groups_sha256=pa.array(digests, pa.string()), sids=pa.ListArray.from_arrays(offsets, inside.field("sid")))
             if n > HELD:
@@ -334,7 +416,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, most=FREQUENT, most_bytes=F
     settle(spark)
     least = frequent_from(segments, most, most_bytes)
     often = F.floor(F.log2("n") * 4).cast("int") >= least
-    known = segments.filter(often).select("sid", "seg", "ok", *COUNTS[:4], "groups", "codes").toArrow()  # at most `most` rows of most_bytes
+    known = segments.filter(often).select("sid", "seg", "n", "ok", *COUNTS[:4], "groups", "codes").toArrow().sort_by([("n", "descending"), ("seg", "ascending")])  # at most `most` rows of most_bytes
     ok = np.array([*known["ok"].to_pylist(), True], bool)  # the last stands for those that aren't frequent
     codes, place = np.unique(known["codes"].combine_chunks().flatten().to_numpy(), return_inverse=True)
     begin = np.concatenate(([0], np.cumsum(pc.list_value_length(known["codes"]).to_numpy()))).astype(np.int64)

@@ -31,3 +31,29 @@ def test_top_by_one_key_is_top_by_three():
             want.setdefault(a, {})[b] = (-c, b, min(d, want.get(a, {}).get(b, (0, 0, 9))[2]))
         want = [(a, b, -c, d) for a in sorted(want) for c, b, d in sorted(want[a].values())[:7]]
         assert list(zip(*(x.tolist() for x in ann.top(o, i, s, f, 7)))) == want
+
+
+def test_frequent_segments_have_small_numbers(spark, monkeypatch):
+    """Two bytes a place for the commonest 65,535 instead of six for whatever stands late in a table."""
+    from ledgerstone.llm import alignment
+
+    seen, real = [], alignment.encoded
+    monkeypatch.setattr(alignment, "encoded", lambda docs, cut, frequent: seen.append(frequent.value) or real(docs, cut, frequent))
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words[i:], "the"] * 40)) for i in range(40)], "doc_id long, text string")
+    paths = [f"{alignment.TOKENIZERS}/{x}" for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert alignment.align(docs, *paths).filter("n_a > 0").count() == 40
+    assert seen[0][0] in ("the", "w39") and seen[0][1:] == [w for w in ("the", "w39", *words[38::-1]) if w != seen[0][0]][: len(seen[0]) - 1]
+
+
+def test_many_segments_align_as_each_alone():
+    from ledgerstone.llm import alignment
+
+    v = alignment.Vocabularies(*alignment.read_vocabularies(*(f"{alignment.TOKENIZERS}/{x}" for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))))
+    odd = ["a", "", "the", "naïve", "x" * 70, "你好　世", "  b", "\n\n", "ababab,abab", "1234567", "\U0001f468‍\U0001f469"]
+    for texts in (odd, [*odd, "▁"]):  # a mark that doesn't come back: all are looked at one by one
+        want = [alignment.groups_of(f" {t}".encode(), v.a.encode(f" {t}", add_special_tokens=False).ids, v.b.encode(t), v.bytes_a, v.bytes_b) for t in texts]
+        got = list(zip(*(c.to_pylist() for c in v.align(texts))))
+        assert [(*g[:6], dict(zip(*g[6:]))) for g in got] == [(*w[:6], dict(zip(*w[6:]))) for w in want]
+    code, of = alignment.codes_of(["5,6|7;8|9", "1|2,3"])
+    assert code.tolist() == [5 << 32 | 7, 6 << 32 | 7, 8 << 32 | 9, 1 << 32 | 2, 1 << 32 | 3] and of.tolist() == [0, 0, 0, 1, 1]
