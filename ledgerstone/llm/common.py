@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import sys
-import time
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.work import drop, materialise, remove, shared_dir, work_path
+from ..sources.work import drop, materialise, remove, settle, shared_dir, work_path
 
 __all__ = ["drop", "materialise", "pieces", "remove", "settle", "shared_dir", "table", "work_path"]
 
@@ -24,14 +22,6 @@ def pieces(batches, rows=1000):
             yield batch.slice(at, rows)
 
 
-def settle(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that nothing refers to any more. It takes two rounds: the first lets go of what the plans held."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table. One with fewer splits than there are cores, as one small file has, is dealt over all of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")

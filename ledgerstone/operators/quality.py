@@ -56,11 +56,21 @@ def centrality(distance: Column) -> Column:
     return 1.0 / (1.0 + distance)
 
 
+def v1_record(weights) -> Column:
+    """The part of the first audit's score that a record has of itself: direct themes, capped themes, coverage, evidence density and reproducibility."""
+    scores = F.col("theme_scores")
+    parts = {"direct": weighted(scores, weights), "capped": capped_sum(scores), "coverage": F.col("section_coverage"), "density": density(), "again": reproducibility()}
+    return sum((V1[k] * v for k, v in parts.items()), F.lit(0.0))
+
+
+def v1_placed(record: Column, distance: Column) -> Column:
+    """The score from v1_record() and the distance: centrality comes last."""
+    return F.round(record + V1["centrality"] * centrality(distance), 4)
+
+
 def v1_score(weights, distance: Column) -> Column:
     """Direct themes, capped themes, coverage, evidence density, reproducibility and centrality."""
-    scores = F.col("theme_scores")
-    parts = {"direct": weighted(scores, weights), "capped": capped_sum(scores), "coverage": F.col("section_coverage"), "density": density(), "again": reproducibility(), "centrality": centrality(distance)}
-    return F.round(sum((V1[k] * v for k, v in parts.items()), F.lit(0.0)), 4)
+    return v1_placed(v1_record(weights), distance)
 
 
 def v2_evidence() -> Column:

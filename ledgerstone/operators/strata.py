@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import SLICE, sliced
-from ..sources.work import drop, materialise
+from ..sources.work import drop, materialise, settle
 
 HELD = 200_000  # words or pairs that a task counts before it hands them on
 MOST, MOST_BYTES = 1 << 19, 64 << 20  # words, and bytes of them, that a dictionary may have
@@ -267,7 +267,7 @@ def through(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     kind = "block int, cells binary"
     blocks = -(-m // BLOCK)
     summed = few_tasks(rows).mapInArrow(multiply, kind).repartition(blocks, "block").mapInArrow(add, kind).toArrow().sort_by("block")  # terms by columns
-    shared.unpersist()
+    shared.destroy()
     return np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in summed["cells"]]).reshape(m, width)
 
 
@@ -305,6 +305,7 @@ def truncated_svd(rows: DataFrame, terms: int, dims: int, seed=3407, rounds=4) -
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     for _ in range(rounds):
         basis = np.linalg.qr(through(rows, basis))[0]
+        settle(rows.sparkSession)  # a matrix of each task was shuffled
     _, s, w = np.linalg.svd(triangle(rows, basis))
     vectors = basis @ w.T[:, :dims]
     return s[:dims], vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
@@ -443,7 +444,9 @@ def strata(docs: DataFrame, text: str, k: int, tries=20, rounds=300, batch=256,
     rows, terms = weigh(docs, text, id_col=id_col, **options)
     vectors = reduced(rows, len(terms), dims, seed, id_col)
     drop(rows)
-    return cluster(vectors, k, tries, rounds, batch, seed, id_col)
+    labels = materialise(cluster(vectors, k, tries, rounds, batch, seed, id_col), "labels")
+    drop(vectors)
+    return labels
 
 
 def euclid(a, b):
