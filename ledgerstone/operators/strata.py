@@ -238,8 +238,8 @@ def rows_of(part):
 
 
 def few_tasks(rows: DataFrame) -> DataFrame:
-    """As many tasks as there are cores: each holds a matrix of terms by columns, and hands on one."""
-    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    """As many tasks as there are cores, or fewer if few rows are there: each holds a matrix of terms by columns, and hands on one."""
+    return rows.coalesce(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // BLOCK)))
 
 
 def through(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
